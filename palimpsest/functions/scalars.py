@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICRO = 1_000_000
@@ -16,6 +16,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bind_columns(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters use by name. A plain projection would be inlined into every
+    filter that mentions it and computed again there; a one-element explode is not."""
+    for name, value in columns.items():
+        df = df.select("*", F.explode(F.array(value)).alias(name))
+    return df
+
+
 def seconds_between(start: str, end: str) -> Column:
     """Seconds from one timestamp column to another, never negative."""
     return F.greatest(F.lit(0.0), F.expr(f"timestampdiff(MICROSECOND, {start}, {end})") / F.lit(float(MICRO)))
@@ -81,8 +89,24 @@ def sniff_content_type(content: Column, header: Column) -> Column:
     )
 
 
-def expected_types(extension: Column, by_suffix: Mapping[str, Sequence[str]],
-                   default: Sequence[str]) -> Column:
+# Content types by document suffix; response headers kept with an observation;
+# candidate states that unchanged content leaves as they are.
+DOCUMENT_TYPES = {
+    ".csv": ("application/csv", "text/csv"),
+    ".doc": ("application/msword",),
+    ".docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document",),
+    ".json": ("application/json",),
+    ".pdf": ("application/pdf",),
+    ".xml": ("application/xml", "text/xml"),
+}
+KEPT_HEADERS = ("cache-control", "content-length", "content-type", "date", "etag", "expires",
+                "last-modified", "retry-after")
+STABLE_STATES = ("raw_stored", "extracted", "normalized", "identity_resolved", "versioned", "diffed",
+                 "published", "manual_review")
+
+
+def expected_types(extension: Column, default: Sequence[str],
+                   by_suffix: Mapping[str, Sequence[str]] = DOCUMENT_TYPES) -> Column:
     """Content types acceptable for a URL suffix, else the endpoint's own list."""
     out = F.array(*[F.lit(t) for t in default])
     for suffix, types in by_suffix.items():
@@ -90,7 +114,7 @@ def expected_types(extension: Column, by_suffix: Mapping[str, Sequence[str]],
     return out
 
 
-def whitelist_headers(headers: Column, keep: Sequence[str]) -> Column:
+def whitelist_headers(headers: Column, keep: Sequence[str] = KEPT_HEADERS) -> Column:
     """Header map with lower-case names, limited to the kept names."""
     lowered = F.transform_keys(headers, lambda k, _: F.lower(k))
     return F.map_filter(lowered, lambda k, _: k.isin(*[n.lower() for n in keep]))
@@ -116,6 +140,6 @@ def json_field(document: Column, path: str, default: str = "") -> Column:
     return F.coalesce(F.get_json_object(document, path), F.lit(default))
 
 
-def restore_state(state: Column, stable: Sequence[str], reset: str = "raw_stored") -> Column:
+def restore_state(state: Column, stable: Sequence[str] = STABLE_STATES, reset: str = "raw_stored") -> Column:
     """Keep a stable state after unchanged content, reset any other."""
     return F.when(state.isin(*stable), state).otherwise(F.lit(reset))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+
+from palimpsest.functions.udf import vectorized
 
 
 def _codes(left, right):
@@ -84,7 +85,7 @@ def opcodes(left, right) -> list[tuple[str, int, int, int, int]]:
     return steps
 
 
-@F.pandas_udf("double")
+@vectorized("double")
 def ratio_udf(left: pd.Series, right: pd.Series) -> pd.Series:
     """Character similarity ratio of two texts in [0, 1]."""
     return pd.Series([None if x is None or y is None else ratio(x, y)
@@ -98,7 +99,7 @@ DELTA = ("struct<opcodes:array<struct<tag:string,before_start:int,before_end:int
 def word_delta_udf(maximum: int = 200):
     """Word-level edit steps, at most ``maximum`` (the feature's own bound) with a flag."""
 
-    @F.pandas_udf(DELTA)
+    @vectorized(DELTA)
     def delta(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         out = []
         for x, y in zip(left, right):
@@ -110,7 +111,7 @@ def word_delta_udf(maximum: int = 200):
     return delta
 
 
-@F.pandas_udf("array<string>")
+@vectorized("array<string>")
 def stable_keys_udf(before: pd.Series, after: pd.Series) -> pd.Series:
     """Keys inside matching blocks of two key sequences: present in the same relative order."""
     return pd.Series([[key for i, _, k in matching_blocks(list(x), list(y)) for key in x[i:i + k]]

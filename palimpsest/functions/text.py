@@ -9,7 +9,7 @@ from palimpsest.functions.scalars import let
 
 # White space as Unicode text editors see it (NBSP included); word characters are letters, digits
 # and the underscore. Explicit classes match much faster than the (?U) shorthands.
-SPACE_CLASS = r"\s\u0085   -     　\u001c-\u001f"
+SPACE_CLASS = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f"
 SPACE = rf"[{SPACE_CLASS}]+"
 WORD = r"[\p{L}\p{N}_]+"
 WORD_NO_UNDERSCORE = r"[\p{L}\p{N}]+"

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from palimpsest.functions.udf import vectorized
+
 # Extensions that mark a fetchable document unless a source says otherwise.
 DOCUMENT_EXTENSIONS = (".pdf", ".doc", ".docx", ".csv", ".json", ".xml")
 
@@ -46,24 +48,26 @@ def extension(url_or_path: Column) -> Column:
     return F.lower(F.regexp_extract(bare, r"[^/](\.[^./]+)$", 1))
 
 
+# Characters that stay as they are in a path or a query.
+PATH_SAFE = r"A-Za-z0-9/%:@._~!$&'()*+,;=-"
+QUERY_SAFE = PATH_SAFE + "?"
+
+
+def quote(text: Column, safe: str) -> Column:
+    """Percent-encode every character outside the safe class (UTF-8)."""
+    encoded = lambda ch: F.regexp_replace(F.url_encode(ch), r"\+", "%20")
+    one_by_one = F.array_join(F.transform(F.split(text, ""), lambda ch: F.when(
+        ch.rlike(rf"^[{safe}]?$"), ch).otherwise(encoded(ch))), "")
+    return F.when(text.rlike(rf"^[{safe}]*$"), text).otherwise(one_by_one)
+
+
 def normalize_url(url: Column) -> Column:
     """Lower-case scheme and host, ``/`` for an empty path, query kept, fragment dropped,
     unsafe characters percent-encoded."""
-    encoded = lambda c: F.regexp_replace(F.url_encode(c), r"\+", "%20")
-    # url_encode escapes too much; keep the whole string when it already is plain ASCII.
-    keep = lambda c: F.when(c.rlike(r"^[\x21-\x7e]*$"), c).otherwise(_quote(c, encoded))
     p = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
     q = query(url)
-    return F.concat(scheme(url), F.lit("://"), host(url), keep(p),
-                    F.when(q != "", F.concat(F.lit("?"), keep(q))).otherwise(F.lit("")))
-
-
-def _quote(text: Column, encode) -> Column:
-    """Percent-encode characters outside printable ASCII, one character at a time."""
-    chars = F.split(text, "")
-    return F.array_join(
-        F.transform(chars, lambda ch: F.when(ch.rlike(r"^[\x21-\x7e]$"), ch)
-                    .when(ch == "", F.lit("")).otherwise(encode(ch))), "")
+    return F.concat(scheme(url), F.lit("://"), host(url), quote(p, PATH_SAFE),
+                    F.when(q != "", F.concat(F.lit("?"), quote(q, QUERY_SAFE))).otherwise(F.lit("")))
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -84,7 +88,7 @@ def resolve(base: Column, href: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def resolve_udf(base: pd.Series, href: pd.Series) -> pd.Series:
     """Full relative resolution (dot segments included), Arrow-batched."""
     from urllib.parse import urljoin
@@ -159,7 +163,7 @@ def unwrap_link(value: Column, wrapper_path: str, parameter: str) -> Column:
     """Decode a wrapped link: its only query parameter is base64 of ``target|sha256``.
     Values on another path pass through; a malformed wrapper gives null."""
     bare = F.regexp_replace(value, r"[?#].*$", "")
-    value_path = F.concat(F.lit("/"), F.ltrim(F.lit("/"), F.when(scheme(value) != "", path(value)).otherwise(bare)))
+    value_path = F.concat(F.lit("/"), F.ltrim(F.when(scheme(value) != "", path(value)).otherwise(bare), F.lit("/")))
     q = query(value)
     payload = F.regexp_extract(q, rf"^{parameter}=([^&]+)$", 1)
     decoded = F.try_to_binary(F.try_url_decode(payload), F.lit("base64")).cast("string")

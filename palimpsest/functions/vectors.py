@@ -8,7 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+
+from palimpsest.functions.udf import vectorized
 
 _TOKEN = re.compile(r"\w+", re.UNICODE)
 
@@ -46,7 +47,7 @@ def embed_batch(texts, dimensions: int = 384, digest: str = "md5") -> np.ndarray
 def embed_udf(dimensions: int = 384, digest: str = "md5"):
     """Arrow-batched text to vector; needs no shuffle because a row's features stay in its row."""
 
-    @F.pandas_udf("array<double>")
+    @vectorized("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series(list(embed_batch(texts.tolist(), dimensions, digest)))
 

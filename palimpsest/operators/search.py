@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bounded_excerpt, query_title_overlap, tokens
+from palimpsest.functions.udf import vectorized
 from palimpsest.functions.vectors import embed_batch
 from palimpsest.operators.history import top_n
 
@@ -29,7 +30,7 @@ WEIGHT_FIFTHS = {"A": 5, "B": 2, "C": 1}
 CLAUSE = "array<struct<terms:array<string>,phrases:array<string>,excluded:array<string>>>"
 
 
-@F.pandas_udf(CLAUSE)
+@vectorized(CLAUSE)
 def parse_query_udf(text: pd.Series) -> pd.Series:
     """Web-style query text to OR-ed clauses: required terms, quoted phrases, ``-excluded`` terms."""
     import re
@@ -302,7 +303,7 @@ def approximate_nearest(corpus: DataFrame, queries: DataFrame, k: int, *, bits:
     dim = corpus.select(F.size("vector").alias("d")).first()["d"]
     planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
 
-    @F.pandas_udf("array<bigint>")
+    @vectorized("array<bigint>")
     def signatures(vectors: pd.Series) -> pd.Series:
         m = np.array(vectors.tolist(), dtype="float64").reshape(len(vectors), -1)
         powers = 1 << np.arange(bits)

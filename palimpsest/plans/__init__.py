@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bindings", "texts")
+MODULES = ("bindings", "texts", "pages")
 
 
 def load() -> dict:
