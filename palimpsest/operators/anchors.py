@@ -68,7 +68,8 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
     lead = lambda c: F.length(c) - F.length(F.regexp_replace(c, rf"^[{SPACE_CLASS}]+", ""))
     offset = lambda lengths, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("bigint"),
                                             lambda acc, n: acc + n)
-    is_anchor = lambda p: line_anchor(F.regexp_extract(strip(p), r"^[^\r\n]*", 0)).isNotNull()
+    any_line = "|".join(f"(?:{p})" for _, p in ANCHOR_LINES)
+    is_anchor = lambda p: F.regexp_extract(strip(p), r"^[^\r\n]*", 0).rlike(rf"(?i)^(?:{any_line})$")
     # A first piece without an anchor line is the preamble and starts at 0.
     start = lambda p, lengths, i: F.when(is_anchor(p), offset(lengths, i) + lead(p))
     pieces_of = lambda pieces, lengths: F.transform(pieces, lambda p, i: F.struct(

@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.functions.similarity import (matching_blocks, ratio, ratio_udf, stable_keys_udf,
-                                             word_delta_udf)
+from palimpsest.functions.similarity import ratio, ratio_udf, stable_keys_udf, word_delta_udf
 from palimpsest.functions.text import normalize_inline
 from palimpsest.operators.history import History, first
 
@@ -167,20 +166,21 @@ def _may_reach(x: str, y: str, cx: dict, cy: dict, threshold: float) -> bool:
 
 def align_by_similarity(before: DataFrame, after: DataFrame,
                         threshold: float = SIMILARITY_THRESHOLD,
-                        margin: float = AMBIGUITY_MARGIN) -> DataFrame:
+                        margin: float = AMBIGUITY_MARGIN, with_rest: bool = False) -> DataFrame:
     """Greedy one-to-one alignment of leftover anchors of equal type.
 
     ``before`` anchors are visited in order; the best free ``after`` anchor at or above the
     threshold is taken, unless the runner-up is within the margin: then the anchor is ambiguous
     and consumes nothing. The order dependence makes this a per-comparison step; a comparison's
     leftovers are bounded by its two documents, and texts are compared only when neither exact
-    upper bound rules them out.
+    upper bound rules them out. ``with_rest`` adds the anchors left on either side as removed and
+    added.
     """
     slim = lambda df: df.select("comparison_id", "anchor_id", "ordinal", "anchor_type",
                                 normalize_inline(F.col("text")).alias("norm"))
 
     def resolve(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        rows, used = [], set()
+        rows, used, taken = [], set(), set()
         pool: dict = {}
         for t in a.sort_values(["ordinal", "anchor_id"]).itertuples(index=False):
             pool.setdefault(t.anchor_type, []).append((t, _char_counts(t.norm)))
@@ -195,6 +195,7 @@ def align_by_similarity(before: DataFrame, after: DataFrame,
             if not hits:
                 continue
             hits.sort()
+            taken.add(s.anchor_id)
             score = -hits[0][0]
             if len(hits) > 1 and score + hits[1][0] <= margin:
                 rows.append((s.comparison_id, s.anchor_id, None, s.ordinal, None, "ambiguous",
@@ -203,6 +204,11 @@ def align_by_similarity(before: DataFrame, after: DataFrame,
                 used.add(hits[0][2])
                 rows.append((s.comparison_id, s.anchor_id, hits[0][2], s.ordinal, hits[0][1],
                              "modified", "structural_text_similarity", score, []))
+        if with_rest:
+            rows += [(s.comparison_id, s.anchor_id, None, s.ordinal, None, "removed", "unmatched_before",
+                      0.0, []) for s in b.itertuples(index=False) if s.anchor_id not in taken]
+            rows += [(t.comparison_id, None, t.anchor_id, None, t.ordinal, "added", "unmatched_after",
+                      0.0, []) for t in a.itertuples(index=False) if t.anchor_id not in used]
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in ITEM.split(", ")])
         return out.astype({"before_ordinal": "Int32", "after_ordinal": "Int32"})
 
@@ -239,16 +245,18 @@ def one_sided(before: DataFrame, after: DataFrame, aligned: DataFrame) -> DataFr
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """All alignment rows of every comparison: by key, by exact text, by similarity, then the
-    one-sided rest."""
-    keyed = classify_key_pairs(align_by_key(before, after), stable_keys(before, after))
-    by_key = align_by_key(before, after).select("comparison_id", "before_anchor_id", "after_anchor_id")
+    one-sided rest.
+
+    Both inputs are read several times, so they should be tables (or staged ones), not long
+    pipelines."""
+    pairs = align_by_key(before, after)
+    keyed = classify_key_pairs(pairs, stable_keys(before, after))
+    by_key = pairs.select("comparison_id", "before_anchor_id", "after_anchor_id")
     b1, a1 = _unmatched(before, by_key, "before"), _unmatched(after, by_key, "after")
     hashed = align_by_hash(b1, a1)
     b2, a2 = _unmatched(b1, hashed, "before"), _unmatched(a1, hashed, "after")
-    similar = align_by_similarity(b2, a2)
-    aligned = _as_item(keyed).unionByName(_as_item(hashed)).unionByName(similar)
-    done = similar.select("comparison_id", "before_id", "after_id")
-    return aligned.unionByName(one_sided(b2, a2, done))
+    rest = align_by_similarity(b2, a2, with_rest=True)
+    return _as_item(keyed).unionByName(_as_item(hashed)).unionByName(rest)
 
 
 def with_text_delta(items: DataFrame, before: DataFrame, after: DataFrame, maximum: int = 200) -> DataFrame:

@@ -296,7 +296,7 @@ def chat_sources(ranked: DataFrame, sections: DataFrame, threads: DataFrame, lim
     return best.unionByName(fallback.select("query_id", "section_id", "source_number", F.lit(True).alias("fallback")))
 
 
-def approximate_nearest(corpus: DataFrame, queries: DataFrame, k: int, *, bits: int = 12, tables: int = 8,
+def approximate_nearest(corpus: DataFrame, queries: DataFrame, k: int, *, bits: int = 6, tables: int = 16,
                         seed: int = 7) -> DataFrame:
     """Approximate cosine neighbours: random-hyperplane signatures pick candidates by equality on
     any of ``tables`` signatures, then exact distances re-rank them. corpus: item_id, vector."""

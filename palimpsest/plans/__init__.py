@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bindings", "texts", "pages")
+MODULES = ("bindings", "texts", "pages", "versions", "searching")
 
 
 def load() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators.anchors import version_anchors
 from palimpsest.operators.sections import line_sections
 from palimpsest.plans.registry import SQL_ONLY, shared, spark_binding
+from palimpsest.session import stage
 
 # --- documents: versions, sections, anchors ------------------------------------------------------
 
@@ -89,7 +90,7 @@ SQL_ONLY["headed_line"] = """
             generate_subscripts(string_split(content, chr(10)), 1) AS i FROM version)"""
 
 # The edited version of every document: line 3 dropped, words appended to line 5, lines 8 and 9
-# swapped under their headings, a space doubled in line 10.
+# swapped under their headings, line 7 renumbered to 7a with a word added, a space doubled in line 12.
 
 
 @spark_binding
@@ -102,6 +103,7 @@ def edited_section(t):
                           .when((i == 9) & (n > 9), F.get(headed, F.lit(8))).otherwise(l))
     edited = F.transform(swapped, lambda l, i: F.when(i == 2, F.lit(None).cast("string"))
                          .when(i == 4, F.concat(l, F.lit(" as amended from time to time")))
+                         .when(i == 6, F.concat(F.regexp_replace(l, "^Section 7 ", "Section 7a "), F.lit(" herein")))
                          .when(i == 11, F.regexp_replace(l, "^(Section \\d+) ", "$1  ")).otherwise(l))
     return t.version.select(
         F.col("version_id").cast("string").alias("section_id"), "version_id", F.lit(1).alias("ordinal"),
@@ -110,6 +112,7 @@ def edited_section(t):
 
 SQL_ONLY["edited_line"] = r"""
     SELECT version_id, i, CASE WHEN i = 5 THEN line || ' as amended from time to time'
+        WHEN i = 7 THEN regexp_replace(line, '^Section 7 ', 'Section 7a ') || ' herein'
         WHEN i = 12 THEN regexp_replace(line, '^(Section \d+) ', '\1  ') ELSE line END AS line
     FROM (SELECT a.version_id, a.i, coalesce(b.line, a.line) AS line
           FROM (SELECT *, max(i) OVER (PARTITION BY version_id) AS n FROM headed_line) a
@@ -129,7 +132,7 @@ def _anchor_sql(lines: str) -> str:
       SELECT version_id, span, min(start_) AS relative_start, max(end_) AS relative_end, max(n) AS n,
         CASE WHEN max(hit) = 0 AND max(n) = 0 THEN 'section' WHEN max(hit) = 0 THEN 'preamble' ELSE 'section' END AS anchor_type,
         CASE WHEN max(hit) = 0 AND max(n) = 0 THEN 'section:1' WHEN max(hit) = 0 THEN 'preamble:1'
-          ELSE 'section:' || regexp_extract(min_by(line, i), '^Section (\d+) ', 1) END AS base_key,
+          ELSE 'section:' || regexp_extract(min_by(line, i), '^Section (\d+[a-z]?) ', 1) END AS base_key,
         CASE WHEN max(hit) = 0 AND max(n) = 0 THEN 'Section 1' WHEN max(hit) = 0 THEN 'Preamble' ELSE trim(min_by(line, i)) END AS label,
         CASE WHEN max(hit) = 0 AND max(n) = 0 THEN string_agg(line, chr(10) ORDER BY i)
           ELSE trim(string_agg(line, chr(10) ORDER BY i)) END AS text
@@ -137,7 +140,7 @@ def _anchor_sql(lines: str) -> str:
         SELECT *, sum(hit) OVER (PARTITION BY version_id ORDER BY i) AS span, sum(hit) OVER (PARTITION BY version_id) AS n,
           off AS start_, off + length(line) + CASE WHEN i = last_i THEN 0 ELSE 1 END AS end_
         FROM (
-          SELECT version_id, i, line, CASE WHEN regexp_matches(line, '^Section \d{{1,3}} ') THEN 1 ELSE 0 END AS hit,
+          SELECT version_id, i, line, CASE WHEN regexp_matches(line, '^Section \d{{1,3}}[a-z]? ') THEN 1 ELSE 0 END AS hit,
             max(i) OVER (PARTITION BY version_id) AS last_i,
             cast(coalesce(sum(length(line) + 1) OVER (PARTITION BY version_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bigint) AS off
           FROM {lines}))
@@ -161,13 +164,14 @@ def edited_anchor(t):
 
 @spark_binding
 def before_anchor(t):
-    return t.anchor.withColumn("comparison_id", F.col("version_id").cast("string"))
+    return stage(t.anchor.withColumn("comparison_id", F.col("version_id").cast("string")), "before-anchors")
 
 
 @spark_binding
 def after_anchor(t):
-    return (t.edited_anchor.withColumn("comparison_id", F.col("version_id").cast("string"))
-            .withColumn("anchor_id", F.concat(F.lit("e"), F.col("anchor_id"))))
+    after = (t.edited_anchor.withColumn("comparison_id", F.col("version_id").cast("string"))
+             .withColumn("anchor_id", F.concat(F.lit("e"), F.col("anchor_id"))))
+    return stage(after, "after-anchors")
 
 
 # --- retrieval -----------------------------------------------------------------------------------
