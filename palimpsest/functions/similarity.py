@@ -22,40 +22,72 @@ def _codes(left, right):
     return as_ids(left), as_ids(right)
 
 
-def _longest(a, b, alo, ahi, blo, bhi):
+class _Index:
+    """Positions of every symbol of b, and reusable run-length rows for the block search."""
+
+    def __init__(self, b):
+        order = np.argsort(b, kind="stable")
+        symbols, starts = np.unique(b[order], return_index=True)
+        self.where = dict(zip(symbols.tolist(), np.split(order, starts[1:])))
+        self.rows = (np.zeros(len(b) + 1, dtype=np.int32), np.zeros(len(b) + 1, dtype=np.int32))
+        self.none = np.zeros(0, dtype=np.int64)
+
+
+def _longest(a, index, alo, ahi, blo, bhi):
     """Earliest longest common block of a[alo:ahi] and b[blo:bhi]."""
-    width = bhi - blo
-    window = b[blo:bhi]
-    run = np.zeros(width + 1, dtype=np.int32)
-    best = (alo, blo, 0)
-    for i in range(alo, ahi):
-        nxt = np.zeros(width + 1, dtype=np.int32)
-        hit = np.nonzero(window == a[i])[0]
+    run, nxt = index.rows
+    best, previous, older = (alo, blo, 0), index.none, index.none
+    for i, symbol in enumerate(a[alo:ahi].tolist(), alo):
+        hit = index.where.get(symbol, index.none)
+        if hit.size and (hit[0] < blo or hit[-1] >= bhi):
+            hit = hit[np.searchsorted(hit, blo):np.searchsorted(hit, bhi)]
+        nxt[older] = 0
         if hit.size:
-            nxt[hit + 1] = run[hit] + 1
-            j = hit[np.argmax(nxt[hit + 1])]
-            k = int(nxt[j + 1])
-            if k > best[2]:
-                best = (i - k + 1, blo + int(j) - k + 1, k)
-        run = nxt
+            # run[p] is the length of the block that ends right before position p of b.
+            lengths = run[hit] + 1
+            if blo and hit[0] == blo:
+                lengths[0] = 1
+            nxt[hit + 1] = lengths
+            j = int(np.argmax(lengths))
+            if lengths[j] > best[2]:
+                k = int(lengths[j])
+                best = (i - k + 1, int(hit[j]) - k + 1, k)
+        older, previous = previous, hit + 1
+        run, nxt = nxt, run
+    run[previous] = 0
+    nxt[older] = 0
     return best
 
 
-def matching_blocks(left, right) -> list[tuple[int, int, int]]:
-    """Non-adjacent matching blocks in order."""
+def matching_blocks(left, right, threshold: float = 0.0) -> list[tuple[int, int, int]] | None:
+    """Non-adjacent matching blocks in order.
+
+    With a threshold, the search stops with None as soon as the blocks still possible cannot bring
+    the ratio up to it."""
     a, b = _codes(left, right)
     if len(a) == len(b) and np.array_equal(a, b):
         return [(0, 0, len(a))] if len(a) else []
+    index, total = _Index(b), len(a) + len(b)
     stack, found = [(0, len(a), 0, len(b))], []
+    possible = min(len(a), len(b))
     while stack:
+        if 2.0 * possible / total < threshold:
+            return None
+        if threshold:
+            # The widest range first: its split lowers the bound most.
+            stack.sort(key=lambda r: min(r[1] - r[0], r[3] - r[2]))
         alo, ahi, blo, bhi = stack.pop()
-        if alo >= ahi or blo >= bhi:
-            continue
-        i, j, k = _longest(a, b, alo, ahi, blo, bhi)
+        i, j, k = _longest(a, index, alo, ahi, blo, bhi)
+        possible -= min(ahi - alo, bhi - blo)
         if k:
             found.append((i, j, k))
-            stack.append((alo, i, blo, j))
-            stack.append((i + k, ahi, j + k, bhi))
+            possible += k
+            for r in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                if r[0] < r[1] and r[2] < r[3]:
+                    stack.append(r)
+                    possible += min(r[1] - r[0], r[3] - r[2])
+    if 2.0 * possible / total < threshold:
+        return None
     merged: list[tuple[int, int, int]] = []
     for i, j, k in sorted(found):
         if merged and merged[-1][0] + merged[-1][2] == i and merged[-1][1] + merged[-1][2] == j:
@@ -65,11 +97,13 @@ def matching_blocks(left, right) -> list[tuple[int, int, int]]:
     return merged
 
 
-def ratio(left, right) -> float:
+def ratio(left, right, threshold: float = 0.0) -> float:
+    """Share of both sequences inside matching blocks; 0.0 when it cannot reach the threshold."""
     total = len(left) + len(right)
     if not total:
         return 1.0
-    return 2.0 * sum(k for _, _, k in matching_blocks(left, right)) / total
+    blocks = matching_blocks(left, right, threshold)
+    return 0.0 if blocks is None else 2.0 * sum(k for _, _, k in blocks) / total
 
 
 def opcodes(left, right) -> list[tuple[str, int, int, int, int]]:

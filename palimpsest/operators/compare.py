@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.similarity import ratio, ratio_udf, stable_keys_udf, word_delta_udf
 from palimpsest.functions.text import normalize_inline
 from palimpsest.operators.history import History, first
+from palimpsest.session import spread
 
 SIMILARITY_THRESHOLD = 0.72
 AMBIGUITY_MARGIN = 0.03
@@ -119,12 +120,12 @@ def classify_key_pairs(pairs: DataFrame, stable: DataFrame) -> DataFrame:
     strategy = (F.when(same, "canonical_key_exact_text").when(nb == na, "canonical_key_normalized_text")
                 .otherwise("canonical_key"))
     changed = ~same & (nb != na)
-    # Equal texts are sent as nulls, so Python does no work for them.
-    score = ratio_udf(F.when(changed, nb), F.when(changed, na))
-    return j.select(
+    # Equal texts become nulls: they are neither moved nor compared.
+    slim = spread(j.select(
         "comparison_id", "before_anchor_id", "after_anchor_id", "before_ordinal", "after_ordinal",
         change.alias("change_type"), strategy.alias("match_strategy"),
-        F.coalesce(score, F.lit(1.0)).alias("similarity_score"))
+        F.when(changed, nb).alias("_b"), F.when(changed, na).alias("_a")), "comparison_id", "before_anchor_id")
+    return slim.withColumn("similarity_score", F.coalesce(ratio_udf("_b", "_a"), F.lit(1.0))).drop("_b", "_a")
 
 
 def _unmatched(anchors: DataFrame, matched: DataFrame, side: str) -> DataFrame:
@@ -178,6 +179,7 @@ def align_by_similarity(before: DataFrame, after: DataFrame,
     """
     slim = lambda df: df.select("comparison_id", "anchor_id", "ordinal", "anchor_type",
                                 normalize_inline(F.col("text")).alias("norm"))
+    before, after = spread(slim(before), "comparison_id"), spread(slim(after), "comparison_id")
 
     def resolve(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         rows, used, taken = [], set(), set()
@@ -189,7 +191,7 @@ def align_by_similarity(before: DataFrame, after: DataFrame,
             for t, other in pool.get(s.anchor_type, ()):
                 if t.anchor_id in used or not _may_reach(s.norm, t.norm, counts, other, threshold):
                     continue
-                score = ratio(s.norm, t.norm)
+                score = ratio(s.norm, t.norm, threshold)
                 if score >= threshold:
                     hits.append((-score, t.ordinal, t.anchor_id))
             if not hits:
@@ -212,7 +214,7 @@ def align_by_similarity(before: DataFrame, after: DataFrame,
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in ITEM.split(", ")])
         return out.astype({"before_ordinal": "Int32", "after_ordinal": "Int32"})
 
-    return (slim(before).groupBy("comparison_id").cogroup(slim(after).groupBy("comparison_id"))
+    return (before.groupBy("comparison_id").cogroup(after.groupBy("comparison_id"))
             .applyInPandas(resolve, ITEM))
 
 

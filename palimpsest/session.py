@@ -25,3 +25,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over the configured number of shuffle partitions. Unlike an implicit shuffle this
+    one is not merged into few tasks at run time, which suits CPU-heavy Python steps on rows that
+    are small in bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
