@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bindings", "texts", "pages", "versions", "searching")
+MODULES = ("bindings", "texts", "pages", "versions", "searching", "changes")
 
 
 def load() -> dict:
