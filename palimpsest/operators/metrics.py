@@ -32,6 +32,11 @@ def rows(df: DataFrame, name: str, value: Column, **labels) -> DataFrame:
     return df.select(F.lit(name).alias("name"), _labels(**labels).alias("labels"), value.cast("double").alias("value"))
 
 
+def sample(name: str, value: Column, **labels) -> Column:
+    """One metric row as a struct, so that many metrics of a row come from one pass over it."""
+    return F.struct(F.lit(name).alias("name"), _labels(**labels).alias("labels"), value.cast("double").alias("value"))
+
+
 def union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -141,28 +146,29 @@ def source_metrics(endpoints: DataFrame, assessed: DataFrame, runs: DataFrame, s
     facts = assessed.select("endpoint_id", "status", "freshness_deadline", "candidate_count", "section_count", "findings",
                             "artifact_ready", "extraction_ready", "graph_ready", "local_embedding_ready", "configured_embedding_ready")
     j = (e.join(ok, "endpoint_id", "left").join(facts, "endpoint_id", "left").join(streaks, "endpoint_id", "left"))
+    window = recent(runs.filter("trigger = 'scheduled'"), "created_at", as_of, 24 * 7)
+    counted = window.groupBy("endpoint_id").agg(*[F.count_if(F.col("status") == x).alias(f"_n_{x}") for x in RUN_STATES])
+    j = j.join(counted, "endpoint_id", "left")
     lab = dict(source=F.col("source"), endpoint=F.col("endpoint_id").cast("string"))
     head = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{as_of}', freshness_deadline)") / 1e6
-    parts = [
-        rows(j, "source_reliability_info", F.lit(1), **lab, status=F.coalesce("status", F.lit("unknown"))),
-        rows(j, "source_http_health_info", F.lit(1), **lab, health_state=F.col("health_state")),
-        rows(j, "source_last_success_age_seconds", age_seconds(as_of, "last_success_at", float("inf")), **lab),
-        rows(j, "source_freshness_headroom_seconds", head, **lab),
-        rows(j, "source_poll_overdue_seconds", age_seconds(as_of, "next_poll_at", float("inf")), **lab),
-        rows(j, "source_consecutive_failures", F.coalesce("consecutive_failures", F.lit(0)), **lab),
-        rows(j, "source_candidate_count", F.coalesce("candidate_count", F.lit(0)), **lab),
+    samples = [
+        sample("source_reliability_info", F.lit(1), **lab, status=F.coalesce("status", F.lit("unknown"))),
+        sample("source_http_health_info", F.lit(1), **lab, health_state=F.col("health_state")),
+        sample("source_last_success_age_seconds", age_seconds(as_of, "last_success_at", float("inf")), **lab),
+        sample("source_freshness_headroom_seconds", head, **lab),
+        sample("source_poll_overdue_seconds", age_seconds(as_of, "next_poll_at", float("inf")), **lab),
+        sample("source_consecutive_failures", F.coalesce("consecutive_failures", F.lit(0)), **lab),
+        sample("source_candidate_count", F.coalesce("candidate_count", F.lit(0)), **lab),
     ]
     for stage, total in (("artifact", "candidate_count"), ("extraction", "candidate_count"), ("graph", "candidate_count"),
                          ("local_embedding", "section_count"), ("configured_embedding", "section_count")):
-        parts.append(rows(j, "source_coverage_ratio", safe_ratio(F.col(f"{stage}_ready"), F.col(total)), **lab, stage=stage))
-    window = recent(runs.filter("trigger = 'scheduled'"), "created_at", as_of, 24 * 7)
-    states = e.select("endpoint_id", "source", F.explode(F.array(*[F.lit(s) for s in RUN_STATES])).alias("status"))
-    counted = window.groupBy("endpoint_id", "status").agg(F.count(F.lit(1)).alias("n"))
-    w = states.join(counted, ["endpoint_id", "status"], "left")
-    parts.append(rows(w, "source_scheduled_runs_window", F.coalesce("n", F.lit(0)), **lab, status=F.col("status")))
-    found = j.select("endpoint_id", "source", F.inline("findings")).groupBy("endpoint_id", "source", "code", "severity").agg(F.count(F.lit(1)).alias("n"))
-    parts.append(rows(found, "source_reliability_findings", F.col("n"), **lab, code=F.col("code"), severity=F.col("severity")))
-    return union(parts)
+        samples.append(sample("source_coverage_ratio", safe_ratio(F.col(f"{stage}_ready"), F.col(total)), **lab, stage=stage))
+    for x in RUN_STATES:
+        samples.append(sample("source_scheduled_runs_window", F.coalesce(f"_n_{x}", F.lit(0)), **lab, status=x))
+    # A finding occurs once per code and severity in an assessment.
+    found = F.transform(F.coalesce("findings", F.array().cast("array<struct<code:string,severity:string>>")),
+                        lambda f: sample("source_reliability_findings", F.lit(1), **lab, code=f["code"], severity=f["severity"]))
+    return j.select(F.inline(F.concat(F.array(*samples), found)))
 
 
 def release_metrics(items: DataFrame, reviews: DataFrame, publications: DataFrame, impact_states: DataFrame,
@@ -173,41 +179,57 @@ def release_metrics(items: DataFrame, reviews: DataFrame, publications: DataFram
     publications: review_id, reviewed_at, published_at; impact_states: output of
     ``impacts.impact_readiness``; impact_publications: the same columns; outbox: event_id, status,
     attempts, available_at, published_at."""
-    now_age = lambda c, empty=0.0: age_seconds(as_of, c, empty)
-    changed = with_latest_review(items.filter("change_type <> 'unchanged'"), reviews)
-    queue = changed.filter("decision is null or decision = 'needs_context'").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.coalesce("reviewed_at", "created_at")).alias("t"))
-    done = publications.select("review_id").distinct()
-    ready = changed.filter("decision = 'confirmed'").join(done, "review_id", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.min("reviewed_at").alias("t"))
-    i_queue = impact_states.filter("state in ('unreviewed', 'needs_context')").agg(F.count(F.lit(1)).alias("n"), F.min("reviewed_at").alias("t"))
-    i_ready = impact_states.filter("state = 'ready'").agg(F.count(F.lit(1)).alias("n"), F.min("reviewed_at").alias("t"))
-    blocked = impact_states.filter("state = 'blocked'").agg(F.count(F.lit(1)).alias("n"))
-    parts = []
-    for kind, q, r in (("change", queue, ready), ("impact", i_queue, i_ready)):
-        parts += [rows(q, "review_queue", F.col("n"), kind=kind), rows(q, "review_oldest_age_seconds", now_age("t"), kind=kind),
-                  rows(r, "publication_ready", F.col("n"), kind=kind), rows(r, "publication_ready_oldest_age_seconds", now_age("t"), kind=kind)]
-    parts.append(rows(blocked, "publication_blocked", F.col("n"), kind="impact", reason="stale_source_review"))
-    decisions = {"change": (reviews, ("confirmed", "rejected", "needs_context")), "impact": (impact_reviews, ("approved", "amended", "rejected", "needs_context"))}
-    for kind, (df, expected) in decisions.items():
-        c = grouped_counts(recent(df, "created_at", as_of, window_hours), "decision", expected)
-        parts.append(rows(c, "review_decisions_window", F.col("count"), kind=kind, decision=F.col("decision")))
+    age = lambda c, empty=0.0: age_seconds(as_of, c, empty)
+    least = lambda test, c: F.min(F.when(test, c))
+    state, decision = F.col("state"), F.col("decision")
+
+    done = publications.select("review_id", F.lit(True).alias("_done")).distinct()
+    changed = with_latest_review(items.filter("change_type <> 'unchanged'"), reviews).join(done, "review_id", "left")
+    waiting = decision.isNull() | (decision == "needs_context")
+    ready = (decision == "confirmed") & F.col("_done").isNull()
+    change = changed.agg(F.count_if(waiting).alias("q"), least(waiting, F.coalesce("reviewed_at", "created_at")).alias("qt"),
+                         F.count_if(ready).alias("r"), least(ready, F.col("reviewed_at")).alias("rt"), F.lit(None).cast("bigint").alias("b"))
+    i_wait, i_ready = state.isin("unreviewed", "needs_context"), state == "ready"
+    impact = impact_states.agg(F.count_if(i_wait).alias("q"), least(i_wait, F.col("reviewed_at")).alias("qt"),
+                               F.count_if(i_ready).alias("r"), least(i_ready, F.col("reviewed_at")).alias("rt"),
+                               F.count_if(state == "blocked").alias("b"))
+    queue = lambda kind: [
+        sample("review_queue", F.col("q"), kind=kind), sample("review_oldest_age_seconds", age("qt"), kind=kind),
+        sample("publication_ready", F.col("r"), kind=kind), sample("publication_ready_oldest_age_seconds", age("rt"), kind=kind)]
+    blocked = sample("publication_blocked", F.col("b"), kind="impact", reason="stale_source_review")
+    parts = [change.select(F.inline(F.array(*queue("change")))), impact.select(F.inline(F.array(*queue("impact"), blocked)))]
+
+    for kind, df, expected in (("change", reviews, ("confirmed", "rejected", "needs_context")),
+                               ("impact", impact_reviews, ("approved", "amended", "rejected", "needs_context"))):
+        inside = recent(df, "created_at", as_of, window_hours).agg(*[F.count_if(F.col("decision") == d).alias(d) for d in expected])
+        parts.append(inside.select(F.inline(F.array(*[
+            sample("review_decisions_window", F.col(d), kind=kind, decision=d) for d in expected]))))
+
     for kind, df in (("change", publications), ("impact", impact_publications)):
-        inside = recent(df, "published_at", as_of, window_hours).withColumn("_s", F.greatest(F.lit(0.0), F.expr(
-            "timestampdiff(MICROSECOND, reviewed_at, published_at)") / 1e6))
-        q = quantiles(inside, "_s")
-        parts += [rows(q, "publications_window", F.col("n"), kind=kind),
-                  rows(q, "publication_duration_quantile_seconds", F.col("q50"), kind=kind, quantile="0.50"),
-                  rows(q, "publication_duration_quantile_seconds", F.col("q95"), kind=kind, quantile="0.95"),
-                  rows(df.agg(F.max("published_at").alias("t")), "last_publication_age_seconds", now_age("t", float("inf")), kind=kind)]
+        seconds = F.greatest(F.lit(0.0), F.expr("timestampdiff(MICROSECOND, reviewed_at, published_at)") / 1e6)
+        inside = F.col("published_at") >= _now(as_of) - F.make_interval(hours=F.lit(window_hours))
+        rows_ = df.select("published_at", F.when(inside, seconds).alias("_s"))
+        agg = rows_.agg(F.count("_s").alias("n"), F.max("published_at").alias("t"), *[
+            F.expr(f"percentile_disc({q}) within group (order by _s)").alias(n) for q, n in ((0.5, "q50"), (0.95, "q95"))])
+        parts.append(agg.select(F.inline(F.array(
+            sample("publications_window", F.col("n"), kind=kind),
+            sample("publication_duration_quantile_seconds", F.col("q50"), kind=kind, quantile="0.50"),
+            sample("publication_duration_quantile_seconds", F.col("q95"), kind=kind, quantile="0.95"),
+            sample("last_publication_age_seconds", age("t", float("inf")), kind=kind)))))
+
     states = ("pending", "publishing", "published", "failed")
-    parts.append(rows(grouped_counts(outbox, "status", states), "impact_delivery_events", F.col("count"), status=F.col("status")))
-    parts.append(rows(grouped_counts(recent(outbox, "available_at", as_of, window_hours), "status", states),
-                      "impact_delivery_events_window", F.col("count"), status=F.col("status")))
-    parts.append(rows(attempts_by_state(outbox, states), "impact_delivery_attempts", F.col("attempts"), status=F.col("status")))
-    parts.append(rows(outbox.filter("status in ('pending', 'publishing')").agg(F.min("available_at").alias("t")),
-                      "impact_delivery_oldest_pending_age_seconds", now_age("t")))
-    parts.append(rows(outbox.filter("status = 'published'").agg(F.max("published_at").alias("t")),
-                      "impact_delivery_last_success_age_seconds", now_age("t", float("inf"))))
+    recent_row = F.col("available_at") >= _now(as_of) - F.make_interval(hours=F.lit(window_hours))
+    is_ = lambda x: F.col("status") == x
+    sent = outbox.agg(
+        *[F.count_if(is_(x)).alias(f"n_{x}") for x in states], *[F.count_if(is_(x) & recent_row).alias(f"w_{x}") for x in states],
+        *[F.coalesce(F.sum(F.when(is_(x), F.col("attempts"))), F.lit(0)).alias(f"a_{x}") for x in states],
+        least(F.col("status").isin("pending", "publishing"), F.col("available_at")).alias("oldest"),
+        F.max(F.when(is_("published"), F.col("published_at"))).alias("newest"))
+    parts.append(sent.select(F.inline(F.array(
+        *[sample(name, F.col(f"{p}_{x}"), status=x) for p, name in (("n", "impact_delivery_events"), ("w", "impact_delivery_events_window"),
+                                                                  ("a", "impact_delivery_attempts")) for x in states],
+        sample("impact_delivery_oldest_pending_age_seconds", age("oldest")),
+        sample("impact_delivery_last_success_age_seconds", age("newest", float("inf")))))))
     return union(parts)
 
 
