@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("bindings", "texts", "pages", "versions", "searching", "changes", "sources", "operations")
+MODULES = ("bindings", "texts", "pages", "versions", "searching", "changes", "sources", "operations", "streams")
 
 
 def load() -> dict:
