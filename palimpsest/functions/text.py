@@ -11,6 +11,8 @@ from palimpsest.functions.scalars import let
 # and the underscore. Explicit classes match much faster than the (?U) shorthands.
 SPACE_CLASS = r"\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f"
 SPACE = rf"[{SPACE_CLASS}]+"
+SPACE_CHARS = (" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B)))
+               + "\u2028\u2029\u202f\u205f\u3000")
 WORD = r"[\p{L}\p{N}_]+"
 WORD_NO_UNDERSCORE = r"[\p{L}\p{N}]+"
 
@@ -24,6 +26,11 @@ TITLE_STOP_WORDS = (
 CITATION_GROUP = r"\[((?:\s*\d+\s*)(?:(?:,|;)\s*\d+\s*)*)\]"
 
 
+def strip(text: Column) -> Column:
+    """Trim white space of every kind at both ends (cheaper than a regular expression)."""
+    return F.btrim(text, F.lit(SPACE_CHARS))
+
+
 def normalize_inline(text: Column) -> Column:
     """Collapse every whitespace run (NBSP included) to one space and trim."""
     return F.trim(F.regexp_replace(text, SPACE, " "))

@@ -30,16 +30,19 @@ SLOTS = {"md5": _md5_slot, "blake2b": _blake2b_slot}
 
 def embed_batch(texts, dimensions: int = 384, digest: str = "md5") -> np.ndarray:
     """Signed hashing of word uni- and bigrams into unit vectors, one row per text."""
-    slot = lru_cache(maxsize=1 << 18)(lambda feature: SLOTS[digest](feature, dimensions))
+
+    @lru_cache(maxsize=1 << 18)
+    def code(feature):
+        """Bucket number from 1, negative for a negative sign."""
+        index, sign = SLOTS[digest](feature, dimensions)
+        return int(sign) * (index + 1)
+
     out = np.zeros((len(texts), dimensions))
     for row, text in enumerate(texts):
         words = _TOKEN.findall((text or "").lower())
-        for feature in words:
-            i, s = slot(feature)
-            out[row, i] += s
-        for left, right in zip(words, words[1:]):
-            i, s = slot(f"{left}\x1f{right}")
-            out[row, i] += s
+        features = words + [f"{left}\x1f{right}" for left, right in zip(words, words[1:])]
+        codes = np.fromiter(map(code, features), dtype=np.int64, count=len(features))
+        out[row] = np.bincount(np.abs(codes) - 1, weights=np.sign(codes), minlength=dimensions) if features else 0.0
     norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, norms, out=out, where=norms > 0)
 
@@ -52,3 +55,12 @@ def embed_udf(dimensions: int = 384, digest: str = "md5"):
         return pd.Series(list(embed_batch(texts.tolist(), dimensions, digest)))
 
     return embed
+
+
+# Embedding providers by name; each is a column function (text column) -> vector column.
+PROVIDERS = {"local_hash": embed_udf(digest="blake2b"), "local_md5": embed_udf(digest="md5")}
+
+
+def register_provider(name: str, embed) -> None:
+    """Add an embedding provider, for example a pandas UDF around a hosted model."""
+    PROVIDERS[name] = embed

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import let
-from palimpsest.functions.text import SPACE, SPACE_CLASS
+from palimpsest.functions.text import SPACE, SPACE_CHARS, strip
 
 # Anchor types in priority order with the line pattern (English and Malay), matched
 # case-insensitively at the start of a line; group 1 is the reference.
@@ -64,16 +64,16 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
         "section_id", "version_id", F.col("ordinal").alias("section_ordinal"),
         F.col("text").alias("_text"), F.coalesce(heading, F.lit("")).alias("_heading"),
         page.alias("_page"), base.cast("bigint").alias("_base"))
-    strip = lambda c: F.regexp_replace(c, rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
-    lead = lambda c: F.length(c) - F.length(F.regexp_replace(c, rf"^[{SPACE_CLASS}]+", ""))
+    lead = lambda c: F.length(c) - F.length(F.ltrim(c, F.lit(SPACE_CHARS)))
+    first_line = lambda c: strip(F.split_part(F.replace(c, F.lit("\r"), F.lit("\n")), F.lit("\n"), F.lit(1)))
     offset = lambda lengths, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("bigint"),
                                             lambda acc, n: acc + n)
     any_line = "|".join(f"(?:{p})" for _, p in ANCHOR_LINES)
-    is_anchor = lambda p: F.regexp_extract(strip(p), r"^[^\r\n]*", 0).rlike(rf"(?i)^(?:{any_line})$")
+    is_anchor = lambda text: first_line(text).rlike(rf"(?i)^(?:{any_line})$")
     # A first piece without an anchor line is the preamble and starts at 0.
-    start = lambda p, lengths, i: F.when(is_anchor(p), offset(lengths, i) + lead(p))
-    pieces_of = lambda pieces, lengths: F.transform(pieces, lambda p, i: F.struct(
-        i.alias("i"), strip(p).alias("text"), start(p, lengths, i).alias("start")))
+    start = lambda p, text, lengths, i: F.when(is_anchor(text), offset(lengths, i) + lead(p))
+    pieces_of = lambda pieces, lengths: F.transform(pieces, lambda p, i: let(strip(p), lambda text: F.struct(
+        i.alias("i"), text.alias("text"), start(p, text, lengths, i).alias("start"))))
     end = lambda spans, s: F.coalesce(F.get(spans, s["i"] + 1)["start"], F.length("_text").cast("bigint"))
     rows = lambda spans: F.filter(F.transform(spans, lambda s: F.struct(
         s["i"].alias("span"), s["text"].alias("text"),
@@ -86,7 +86,7 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
         lambda lengths: let(pieces_of(pieces, lengths), rows)))
     out = sections.select("section_id", "version_id", "section_ordinal", "_text", "_heading", "_page",
                           "_base", F.inline(spans))
-    label_line = strip(F.regexp_extract("text", r"^[^\r\n]*", 0))
+    label_line = first_line(F.col("text"))
     hit = line_anchor(label_line)
     out = out.withColumn("_hit", F.when(F.col("is_anchor"), hit))
     fallback = ~F.col("is_anchor") & (F.col("_n") == 1)

@@ -47,9 +47,10 @@ def repeated_content(sections: DataFrame, minimum: int = DEFAULTS["repeated_mini
 
     Hot sections are handled in two steps: (version, hash) sums first, so the join on the hash
     carries one row per pair, and AQE splits a skewed hash."""
-    length = non_space_length(F.col("text"))
+    # Equal hashes mean equal texts, so one length per pair is enough.
     per_pair = sections.groupBy("version_id", "text_sha256").agg(
-        F.sum(length).alias("_chars"), F.count(F.lit(1)).alias("_n"), F.max(length).alias("_len"))
+        F.max(non_space_length(F.col("text"))).alias("_len"), F.count(F.lit(1)).alias("_n"))
+    per_pair = per_pair.withColumn("_chars", F.col("_len") * F.col("_n"))
     per_hash = (per_pair.groupBy("text_sha256")
                 .agg(F.count(F.lit(1)).alias("_docs"), F.max("_len").alias("_l"))
                 .filter((F.col("_docs") > 1) & (F.col("_l") >= minimum))

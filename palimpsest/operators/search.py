@@ -74,23 +74,23 @@ def full_text(sections: DataFrame, queries: DataFrame, fields: dict[str, str],
     postings. Joins carry no hint: the query side is broadcast at run time only when its
     measured size allows it.
     """
-    corpus = sections.select("section_id", *[tokens(F.coalesce(c, F.lit(""))).alias(f"_t_{c}") for c in fields])
-    every = F.concat(*[F.col(f"_t_{c}") for c in fields])
-    corpus = corpus.withColumn("_all", every)
+    fielded = lambda df, *keep: df.select(*keep, "section_id", *[tokens(F.coalesce(c, F.lit(""))).alias(f"_t_{c}") for c in fields])
+    words = F.array_distinct(F.concat(*[tokens(F.coalesce(c, F.lit(""))) for c in fields]))
+    # Only (section, term) pairs are exploded; token arrays are rebuilt later for the candidates.
+    postings = sections.select("section_id", F.explode(words).alias("term"))
     clauses = (queries.select("query_id", F.explode(parse_query_udf("query")).alias("_c"))
                .select("query_id", "_c.*").withColumn("clause_id", F.xxhash64("query_id", F.to_json(F.struct("terms", "phrases", "excluded")))))
     wanted = clauses.select(F.explode("terms").alias("term")).distinct()
-    frequency = (corpus.select(F.explode(F.array_distinct("_all")).alias("term"))
-                 .join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("_df")))
+    frequency = (postings.select("term").join(wanted, "term").groupBy("term").agg(F.count(F.lit(1)).alias("_df")))
     # A clause with a term that no section has cannot match: the inner join and count drop it.
     exploded = clauses.select("query_id", "clause_id", F.size("terms").alias("_need"), F.explode("terms").alias("term"))
     seeds = (exploded.join(frequency, "term").groupBy("query_id", "clause_id")
              .agg(F.min_by("term", F.struct("_df", "term")).alias("term"),
                   F.count(F.lit(1)).alias("_have"), F.max("_need").alias("_need"))
              .filter("_have = _need").select("clause_id", "query_id", "term"))
-    seeded = seeds.join(clauses, ["query_id", "clause_id"])
-    postings = corpus.withColumn("term", F.explode(F.array_distinct("_all")))
-    hits = postings.join(seeded, "term")
+    found = postings.join(seeds, "term").select("query_id", "clause_id", "section_id")
+    hits = fielded(sections.join(found, "section_id"), "query_id", "clause_id").join(clauses, ["query_id", "clause_id"])
+    hits = hits.withColumn("_all", F.concat(*[F.col(f"_t_{c}") for c in fields]))
     in_field = lambda phrase: _any([F.contains(
         F.concat(F.lit(" "), F.array_join(f"_t_{c}", " "), F.lit(" ")),
         F.concat(F.lit(" "), phrase, F.lit(" "))) for c in fields])

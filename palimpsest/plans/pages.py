@@ -174,14 +174,14 @@ def page_structure(t):
 @query("structure_incidents", "G14", """
 SELECT page_id, sha IS DISTINCT FROM good AND good IS NOT NULL AS structure_changed, good AS last_good_sha256, pause_day FROM (
   SELECT *, last_value(CASE WHEN matched THEN sha END IGNORE NULLS) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS good FROM (
-    SELECT page_id, """ + HOST("url") + """ AS host, length(html) % 3 <> 0 AS matched, sha256(substr(html, 1, 60)) AS sha,
+    SELECT page_id, """ + HOST("url") + """ AS host, length(html) % 3 <> 0 AS matched, sha256(regexp_extract(html, '<html lang="([a-z]+)"', 1)) AS sha,
       CASE WHEN length(url) > 40 THEN 3 ELSE 1 END AS pause_day FROM pages)) WHERE NOT matched""")
 def structure_incidents(t):
     # A page is an observation of its host; a length divisible by three plays the selector miss.
     obs = t.pages.select(
         urls.host(F.col("url")).alias("resource_id"), F.col("page_id").alias("observation_id"),
         F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,cast(page_id as int),0)").alias("checked_at"),
-        (F.length("html") % 3 != 0).alias("matched"), F.sha2(F.substring("html", 1, 60), 256).alias("structure_sha256"),
+        (F.length("html") % 3 != 0).alias("matched"), F.sha2(F.regexp_extract("html", '<html lang="([a-z]+)"', 1), 256).alias("structure_sha256"),
         F.expr("CASE WHEN length(url) > 40 THEN timestamp_ntz'2024-01-01' + make_interval(0,0,0,3,0,cast(page_id as int),0) END").alias("next_poll_at"))
     out = links.structure_incidents(obs)
     return out.select(F.col("observation_id").alias("page_id"), "structure_changed", "last_good_sha256",

@@ -609,11 +609,11 @@ def alias_resolution(t):
 
 
 @query("supersession_updates", "G20", """
-WITH a AS (SELECT DISTINCT p_partkey AS source_id, p_size AS target_id FROM part WHERE p_partkey > 100 AND p_retailprice < 1000)
+WITH a AS (SELECT DISTINCT p_partkey AS source_id, p_size AS target_id FROM part WHERE p_retailprice BETWEEN 950 AND 1000)
 SELECT workflow_id, identity_id, CASE WHEN identity_id IN (SELECT source_id FROM a) THEN 'completed' ELSE 'pending' END AS new_status, retry_count + CASE WHEN identity_id IN (SELECT source_id FROM a) THEN 0 ELSE 1 END AS retry_count
 FROM workflow_row WHERE status = 'quality_review_required' AND (identity_id IN (SELECT source_id FROM a) OR identity_id IN (SELECT target_id FROM a))""")
 def supersession_updates(t):
-    aliases = t.part.filter("p_partkey > 100 and p_retailprice < 1000").select(F.col("p_partkey").alias("source_id"), F.col("p_size").cast("bigint").alias("target_id"))
+    aliases = t.part.filter("p_retailprice between 950 and 1000").select(F.col("p_partkey").alias("source_id"), F.col("p_size").cast("bigint").alias("target_id"))
     return workflow.supersede(aliases, t.workflow_row)
 
 

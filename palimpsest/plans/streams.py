@@ -101,7 +101,7 @@ def stream_link_states(t):
 
 @query("stream_retry_table", "R10 W21", """
 SELECT event_id, attempts, CASE WHEN attempts >= 8 THEN 'terminal' WHEN last_at <= timestamp '2024-01-29 00:00:00' THEN 'eligible' ELSE 'waiting' END AS delivery_state, CASE WHEN attempts < 8 THEN cast(least(60, pow(2, greatest(0, attempts - 1))) AS int) END AS retry_minutes
-FROM (SELECT cast(json_extract_string(props, '$.k') AS bigint) AS event_id, user_id AS attempts, max(ts) AS last_at FROM events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY json_extract_string(props, '$.k') ORDER BY user_id DESC) = 1)""")
+FROM (SELECT event_id, max(attempts) AS attempts, arg_max(last_at, attempts) AS last_at FROM (SELECT cast(json_extract_string(props, '$.k') AS bigint) AS event_id, user_id AS attempts, max(ts) AS last_at FROM events GROUP BY ALL) GROUP BY 1)""")
 def stream_retry_table(t):
     rows = source(t).select(F.get_json_object("props", "$.k").cast("bigint").alias("event_id"), F.lit("failed").alias("status"),
                             F.col("user_id").cast("int").alias("attempts"), F.col("ts").alias("available_at"))

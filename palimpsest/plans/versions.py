@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.functions.scalars import representation_kind, representation_track
+from palimpsest.functions.scalars import any_locator, representation_kind, representation_track
 from palimpsest.functions.similarity import word_delta_udf
 from palimpsest.operators import compare
+from palimpsest.operators import versions as version_ops
 from palimpsest.operators.history import hour_chunk
 from palimpsest.plans.registry import SQL_ONLY, query, shared
 
@@ -168,3 +169,28 @@ def word_deltas(t):
     pairs = compare.align_by_key(t.before_anchor, t.after_anchor)
     changed = F.col("before_text_sha256") != F.col("after_text_sha256")
     return pairs.filter(changed).select("comparison_id", "canonical_key", word_delta_udf()("before_text", "after_text").alias("delta"))
+
+
+# Lines as observations of publications (a part at a supplier's nation), flags as contents.
+SQL_ONLY["resolved"] = """
+    SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS observation_id, l_shipdate AS retrieved_at, identity_id, sha256(identity_id || chr(10) || content) AS version_id
+    FROM (SELECT *, sha256('c' || (l_suppkey // 10) || chr(10) || 'https://x.example.org/' || l_partkey) AS identity_id, l_returnflag || l_linestatus AS content FROM lineitem)"""
+
+
+@query("version_resolution", "G8 F15", """
+SELECT version_id, identity_id, count(*) AS observation_count, arg_min(observation_id, (retrieved_at, observation_id)) AS first_observation FROM resolved GROUP BY ALL""")
+def version_resolution(t):
+    obs = t.lineitem.select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("observation_id"),
+        F.lit("a").alias("artifact_id"), F.concat(F.lit("c"), F.floor(F.col("l_suppkey") / 10).cast("string")).alias("collection_id"),
+        F.concat(F.lit("https://x.example.org/"), F.col("l_partkey").cast("string")).alias("identity_url"),
+        F.concat("l_returnflag", "l_linestatus").alias("content_sha256"), F.lit("").alias("title"), F.col("l_shipdate").alias("retrieved_at"))
+    return version_ops.versions(version_ops.resolve(obs)).select("version_id", "identity_id", "observation_count", F.col("observation_id").alias("first_observation"))
+
+
+@query("precise_locators", "P14", "SELECT page_id, length(url) % 2 = 0 OR contains(html, '<h1>') AS precise FROM (SELECT page_id, url, CASE WHEN length(html) % 3 = 0 THEN html ELSE '' END AS html FROM pages)")
+def precise_locators(t):
+    page = F.when(F.length("url") % 2 == 0, F.length("url").cast("string")).otherwise(F.lit(""))
+    path = F.when((F.length("html") % 3 == 0) & F.contains("html", F.lit("<h1>")), F.lit("body > h1"))
+    locator = F.create_map(F.lit("page"), page, F.lit("html_path"), path, F.lit("other"), F.lit("x"))
+    return t.pages.select("page_id", any_locator(locator).alias("precise"))
