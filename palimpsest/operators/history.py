@@ -52,8 +52,9 @@ def range_chunk(column: str, width: int) -> Column:
 class History:
     """Builder for chunked per-key windows.
 
-    ``History(df, keys, order, chunk)`` then any of ``previous``, ``carried``, ``running`` and
-    finally ``result()``. ``chunk`` must be non-decreasing in the first order column.
+    ``History(df, keys, order, chunk)`` then any of ``previous``, ``carried``, ``running``, then
+    ``result()``. ``chunk`` must be non-decreasing in the first order column; keys and chunk must
+    not be null.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column):
@@ -98,7 +99,7 @@ class History:
         self._tail[tail] = F.sum(value)
         self._carry[tail] = F.coalesce(
             F.sum(F.col(tail)).over(self._key_w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        self._out[out] = F.col(inner) + F.col(tail)
+        self._out[out] = F.col(inner) + F.coalesce(F.col(tail), F.lit(0))
         return self
 
     def numbered(self, out: str) -> "History":
@@ -110,14 +111,9 @@ class History:
         tails = rows.groupBy(*self.keys, "_chunk").agg(*[e.alias(n) for n, e in self._tail.items()])
         heads = tails.select(*self.keys, "_chunk", *[e.alias(n) for n, e in self._carry.items()])
         inner = rows.select("*", *[e.alias(n) for n, e in self._inner.items()])
-        # Keys and chunk are compared null-safely so that a null key keeps its history.
-        right = heads.select(*[F.col(c).alias(f"_k_{c}") for c in [*self.keys, "_chunk"]],
-                             *self._carry)
-        on = None
-        for c in [*self.keys, "_chunk"]:
-            test = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-            on = test if on is None else on & test
-        joined = inner.join(right, on, "left")
+        # Plain equality on the columns the window is already partitioned and sorted by: the rows
+        # are shuffled once, only the small summaries move again.
+        joined = inner.join(heads, [*self.keys, "_chunk"], "left")
         return joined.select(*self.df.columns, *[e.alias(n) for n, e in self._out.items()])
 
 

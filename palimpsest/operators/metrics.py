@@ -128,9 +128,14 @@ def dashboard(endpoints: DataFrame, assessments: DataFrame, workflows: DataFrame
     b = last.agg(F.count_if(F.col("status").isin("warning", "critical")).alias("alerting"))
     c = workflows.agg(F.count_if(F.col("status").isin("pending", "queued", "running", "waiting_ocr")).alias("active"),
                       F.count_if(F.col("status").isin("failed", "retryable_failure", "quality_review_required")).alias("failed"))
-    # Three one-row tables side by side.
-    one = lambda df: df.withColumn("_k", F.lit(1))
-    return one(a).join(one(b), "_k").join(one(c), "_k").drop("_k")
+    return side_by_side([a, b, c])
+
+
+def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
+    """One-row tables as one row, by stacking and aggregating (no join)."""
+    fields = [f for p in parts for f in p.schema.fields]
+    stacked = union([p.select(*[(F.col(f.name) if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]) for p in parts])
+    return stacked.agg(*[F.max(f.name).alias(f.name) for f in fields])
 
 
 RUN_STATES = ("pending", "running", "completed", "failed", "cancelled")

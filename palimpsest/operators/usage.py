@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions.keys import pseudonym
+from palimpsest.operators.metrics import side_by_side
 
 SEARCH, VIEW, DOWNLOAD, FEEDBACK = "search", "view", "download", "feedback"
 
@@ -57,13 +58,10 @@ def product_criteria(confidence: DataFrame, workflows: DataFrame, journeys: Data
     """One row of five criteria. confidence: is_enabled, state, status, coverage_percent;
     milestones: rows of selected next milestones."""
     good = (F.col("state") == "operational") & (F.col("status") == "healthy") & (F.col("coverage_percent") == 100)
-    one = lambda df: df.withColumn("_k", F.lit(1))
     base = confidence.filter("is_enabled").agg(F.count(F.lit(1)).alias("_enabled"), F.count_if(good).alias("_good"))
     held = workflows.agg(F.count_if(F.col("status") == "quality_review_required").alias("_held"))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    j = one(base)
-    for part in (held, n(journeys, "_journeys"), usage_totals(events), n(engaged, "_engaged"), n(milestones, "_milestones")):
-        j = j.join(one(part), "_k")
+    j = side_by_side([base, held, n(journeys, "_journeys"), usage_totals(events), n(engaged, "_engaged"), n(milestones, "_milestones")])
     return j.select(
         ((F.col("_enabled") > 0) & (F.col("_good") == F.col("_enabled")) & (F.col("_held") == 0)).alias("production_baseline"),
         (F.col("_journeys") > 0).alias("complete_change_journey"), (F.col("_engaged") >= 3).alias("three_engaged_users"),
