@@ -6,12 +6,18 @@ numpy table so that long texts do not fall into a Python loop per character.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pandas as pd
 
 from palimpsest.functions.udf import vectorized
 
 
+# Below this size the standard library's own search has less overhead than numpy rows.
+SMALL = 4096
+
+
 def _codes(left, right):
     """Two sequences as integer arrays over one shared alphabet."""
     if isinstance(left, str):
@@ -64,6 +70,9 @@ def matching_blocks(left, right, threshold: float = 0.0) -> list[tuple[int, int,
 
     With a threshold, the search stops with None as soon as the blocks still possible cannot bring
     the ratio up to it."""
+    if not threshold and len(left) * len(right) <= SMALL:
+        found = SequenceMatcher(None, left, right, autojunk=False).get_matching_blocks()
+        return [tuple(m) for m in found if m.size]
     a, b = _codes(left, right)
     if len(a) == len(b) and np.array_equal(a, b):
         return [(0, 0, len(a))] if len(a) else []

@@ -6,6 +6,8 @@ text_sha256. Work inside one comparison is bounded by its two documents.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -104,7 +106,7 @@ def stable_keys(before: DataFrame, after: DataFrame) -> DataFrame:
     ordered = lambda df, name: df.groupBy("comparison_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("ordinal", "canonical_key"))),
         lambda s: s["canonical_key"]).alias(name))
-    both = ordered(before, "_b").join(ordered(after, "_a"), "comparison_id")
+    both = spread(ordered(before, "_b").join(ordered(after, "_a"), "comparison_id"), "comparison_id")
     return both.select("comparison_id", F.explode(stable_keys_udf("_b", "_a")).alias("canonical_key")).withColumn(
         "stable", F.lit(True))
 
@@ -146,14 +148,7 @@ def align_by_hash(before: DataFrame, after: DataFrame) -> DataFrame:
                     F.lit(1.0).alias("similarity_score"))
 
 
-def _char_counts(text: str) -> dict:
-    counts: dict = {}
-    for ch in text:
-        counts[ch] = counts.get(ch, 0) + 1
-    return counts
-
-
-def _may_reach(x: str, y: str, cx: dict, cy: dict, threshold: float) -> bool:
+def _may_reach(x: str, y: str, cx: Counter, cy: Counter, threshold: float) -> bool:
     """Two upper bounds on the ratio: by length, then by shared characters."""
     total = len(x) + len(y)
     if not total:
@@ -161,8 +156,40 @@ def _may_reach(x: str, y: str, cx: dict, cy: dict, threshold: float) -> bool:
     if 2.0 * min(len(x), len(y)) / total < threshold:
         return False
     small, big = (cx, cy) if len(cx) <= len(cy) else (cy, cx)
-    shared = sum(min(n, big.get(ch, 0)) for ch, n in small.items())
-    return 2.0 * shared / total >= threshold
+    return 2.0 * sum(min(n, big[ch]) for ch, n in small.items()) / total >= threshold
+
+
+def _resolve(comparison, before, after, threshold, margin, with_rest):
+    """Item rows of one comparison's leftovers; both lists are in reading order."""
+    rows, used, taken, pool = [], set(), set(), {}
+    for t in after:
+        pool.setdefault(t["anchor_type"], []).append((t, Counter(t["norm"])))
+    for s in before:
+        counts, hits = Counter(s["norm"]), []
+        for t, other in pool.get(s["anchor_type"], ()):
+            if t["anchor_id"] in used or not _may_reach(s["norm"], t["norm"], counts, other, threshold):
+                continue
+            score = ratio(s["norm"], t["norm"], threshold)
+            if score >= threshold:
+                hits.append((-score, t["ordinal"], t["anchor_id"]))
+        if not hits:
+            continue
+        hits.sort()
+        taken.add(s["anchor_id"])
+        score = -hits[0][0]
+        if len(hits) > 1 and score + hits[1][0] <= margin:
+            rows.append((comparison, s["anchor_id"], None, s["ordinal"], None, "ambiguous",
+                         "similarity_ambiguous", score, [h[2] for h in hits[:5]]))
+        else:
+            used.add(hits[0][2])
+            rows.append((comparison, s["anchor_id"], hits[0][2], s["ordinal"], hits[0][1],
+                         "modified", "structural_text_similarity", score, []))
+    if with_rest:
+        rows += [(comparison, s["anchor_id"], None, s["ordinal"], None, "removed", "unmatched_before", 0.0, [])
+                 for s in before if s["anchor_id"] not in taken]
+        rows += [(comparison, None, t["anchor_id"], None, t["ordinal"], "added", "unmatched_after", 0.0, [])
+                 for t in after if t["anchor_id"] not in used]
+    return rows
 
 
 def align_by_similarity(before: DataFrame, after: DataFrame,
@@ -177,45 +204,21 @@ def align_by_similarity(before: DataFrame, after: DataFrame,
     upper bound rules them out. ``with_rest`` adds the anchors left on either side as removed and
     added.
     """
-    slim = lambda df: df.select("comparison_id", "anchor_id", "ordinal", "anchor_type",
-                                normalize_inline(F.col("text")).alias("norm"))
-    before, after = spread(slim(before), "comparison_id"), spread(slim(after), "comparison_id")
-
-    def resolve(b: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        rows, used, taken = [], set(), set()
-        pool: dict = {}
-        for t in a.sort_values(["ordinal", "anchor_id"]).itertuples(index=False):
-            pool.setdefault(t.anchor_type, []).append((t, _char_counts(t.norm)))
-        for s in b.sort_values(["ordinal", "anchor_id"]).itertuples(index=False):
-            counts, hits = _char_counts(s.norm), []
-            for t, other in pool.get(s.anchor_type, ()):
-                if t.anchor_id in used or not _may_reach(s.norm, t.norm, counts, other, threshold):
-                    continue
-                score = ratio(s.norm, t.norm, threshold)
-                if score >= threshold:
-                    hits.append((-score, t.ordinal, t.anchor_id))
-            if not hits:
-                continue
-            hits.sort()
-            taken.add(s.anchor_id)
-            score = -hits[0][0]
-            if len(hits) > 1 and score + hits[1][0] <= margin:
-                rows.append((s.comparison_id, s.anchor_id, None, s.ordinal, None, "ambiguous",
-                             "similarity_ambiguous", score, [h[2] for h in hits[:5]]))
-            else:
-                used.add(hits[0][2])
-                rows.append((s.comparison_id, s.anchor_id, hits[0][2], s.ordinal, hits[0][1],
-                             "modified", "structural_text_similarity", score, []))
-        if with_rest:
-            rows += [(s.comparison_id, s.anchor_id, None, s.ordinal, None, "removed", "unmatched_before",
-                      0.0, []) for s in b.itertuples(index=False) if s.anchor_id not in taken]
-            rows += [(t.comparison_id, None, t.anchor_id, None, t.ordinal, "added", "unmatched_after",
-                      0.0, []) for t in a.itertuples(index=False) if t.anchor_id not in used]
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in ITEM.split(", ")])
-        return out.astype({"before_ordinal": "Int32", "after_ordinal": "Int32"})
-
-    return (before.groupBy("comparison_id").cogroup(after.groupBy("comparison_id"))
-            .applyInPandas(resolve, ITEM))
+    def gather(df: DataFrame, name: str) -> DataFrame:
+        anchor = F.struct("ordinal", "anchor_id", "anchor_type", normalize_inline(F.col("text")).alias("norm"))
+        return df.groupBy("comparison_id").agg(F.array_sort(F.collect_list(anchor)).alias(name))
+
+    def resolve(batches):
+        names = [c.split()[0] for c in ITEM.split(", ")]
+        for pdf in batches:
+            rows = []
+            for c, b, a in zip(pdf["comparison_id"], pdf["_b"], pdf["_a"]):
+                rows += _resolve(c, b if b is not None else (), a if a is not None else (), threshold, margin, with_rest)
+            out = pd.DataFrame(rows, columns=names)
+            yield out.astype({"before_ordinal": "Int32", "after_ordinal": "Int32"})
+
+    both = gather(before, "_b").join(gather(after, "_a"), "comparison_id", "full_outer")
+    return spread(both, "comparison_id").mapInPandas(resolve, ITEM)
 
 
 def _as_item(df: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 import random
 from difflib import SequenceMatcher
 
+import pytest
+
+from palimpsest.functions import similarity
 from palimpsest.functions.similarity import matching_blocks, opcodes, ratio
 
 
@@ -18,7 +21,9 @@ def _cases():
         yield a, "".join(b)
 
 
-def test_ratio_and_blocks_equal_difflib():
+@pytest.mark.parametrize("small", [0, 4096])
+def test_ratio_and_blocks_equal_difflib(small, monkeypatch):
+    monkeypatch.setattr(similarity, "SMALL", small)
     for a, b in _cases():
         m = SequenceMatcher(a=a, b=b, autojunk=False)
         assert matching_blocks(a, b) == [tuple(x) for x in m.get_matching_blocks() if x.size]
