@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import urls
-from palimpsest.operators.history import first
+from palimpsest.operators.history import first, top_n
 from palimpsest.operators.reliability import recent_runs
 
 
@@ -87,8 +87,6 @@ def browser_admission(endpoints: DataFrame, captures: DataFrame, *, required: in
     raw_count (qualifying links without the browser), rendered_count, precise, set_sha256,
     lineage_ready, lineage_total; endpoints: endpoint_id, is_enabled, next_poll_at, promoted,
     has_snapshot."""
-    from palimpsest.operators.history import top_n
-
     last = top_n(captures, ["endpoint_id"], [F.desc("finished_at"), F.desc("capture_id")], required, "recency")
     newest = F.col("recency") == 1
     agg = last.groupBy("endpoint_id").agg(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.keys import set_digest
 from palimpsest.functions.scalars import safe_ratio
-from palimpsest.operators.history import History, latest, top_n
+from palimpsest.operators.history import latest, top_n
 
 FRESHNESS_GRACE_MINUTES = 60
 PIPELINE_GRACE_MINUTES = 30
