@@ -87,7 +87,7 @@ def fit(labels: DataFrame, bits: int = BITS, l2: float = 0.003) -> tuple[float,
 
 
 def probability(host_: Column, path_: Column, intercept: float, weights: list[float], bits: int = BITS) -> Column:
-    table = F.lit(weights)
+    table = F.split(F.lit(" ".join(map(repr, weights))), " ").cast("array<double>")  # folded to one constant
     score = F.aggregate(cells(host_, path_, bits), F.lit(intercept), lambda total, c: total + F.get(table, c))
     return 1 / (1 + F.exp(-score))
 
