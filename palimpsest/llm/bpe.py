@@ -35,7 +35,8 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import Batches, column_values, with_columns
 
-CACHE = 400_000  # distinct chunks and words that a task remembers before it starts anew
+CACHE = 200_000  # distinct chunks, and words, that a task remembers; it keeps the last two such lots
+ROWS = 1_000  # texts encoded at a time
 
 
 def byte_symbols() -> dict[int, str]:
@@ -183,48 +184,54 @@ class Encoder(dict):
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.symbols = {b: ord(c) for b, c in byte_symbols().items()}
         self.spelling = self.automaton.spelling()
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # what was remembered before the last new start
+        self.old_words: dict[str, bytes] = {}
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             base = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.symbols)
+            ids = self.old_words.get(word)
+            if ids is None:
+                ids = array("i", self.automaton.encode(base, self.spelling)).tobytes() if base else b""
             if len(self.words) >= CACHE:
-                self.words.clear()
-            ids = self.words[word] = tuple(self.automaton.encode(base, self.spelling)) if base else ()
+                self.words, self.old_words = {}, self.words
+            self.words[word] = ids
         return ids
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        if chunk.isascii():
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is not None:
+            pass
+        elif chunk.isascii():
             text = chunk.lower()
             if text.isalpha():
                 ids = self.word(text)
             elif text[:-1].isalpha() and not text[-1].isalnum():
                 ids = self.word(text[:-1]) + self.word(text[-1])
             else:
-                ids = tuple(chain.from_iterable(map(self.word, self.find(text))))
+                ids = b"".join(map(self.word, self.find(text)))
         else:
             text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            ids = tuple(chain.from_iterable(map(self.word, self.find(text))))
+            ids = b"".join(map(self.word, self.find(text)))
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
         if len(chunk) <= 200:
             self[chunk] = ids
         return ids
 
-    def plain(self, text: str) -> array:
-        chunks = (c for c in self.SPACE.split(text) if c) if self.ODD.search(text) else text.split()
-        return array("i", chain.from_iterable(map(self.__getitem__, chunks)))
+    def plain(self, text: str) -> bytes:
+        chunks = [c for c in self.SPACE.split(text) if c] if self.ODD.search(text) else text.split()
+        return b"".join(map(self.__getitem__, chunks))
 
-    def encode(self, text: str) -> array:
-        """Ids of a whole text. Added tokens are found first; the rest is split at white space, which no
-        word of the pre-splitting rule crosses."""
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text, as 32-bit numbers in a row. Added tokens are found first; the rest is split
+        at white space, which no word of the pre-splitting rule crosses."""
         if self.special is None or not self.special.search(text):
             return self.plain(text)
-        out = array("i")
-        for part in self.special.split(text):
-            out.extend([self.added[part]] if part in self.added else self.plain(part))
-        return out
+        return b"".join(array("i", [self.added[p]]).tobytes() if p in self.added else self.plain(p) for p in self.special.split(text))
 
 
 def default_path() -> str:
@@ -241,41 +248,53 @@ def load(spark: SparkSession, path: str | None = None):
 def encode(docs: DataFrame, tokenizer, text: str = "text", ids: str = "ids") -> DataFrame:
     """Add ``ids`` array<int>, the token ids of the whole text; a column of that name is replaced.
     A null or empty text, and one of white space only, has none. Rows stay where they are: no shuffle."""
-    kept = [f for f in docs.schema.fields if f.name not in (ids, text)]
+    return _coded(docs, tokenizer, text, ids, None)
+
+
+def _coded(docs: DataFrame, tokenizer, text: str, ids: str, decoded: str | None) -> DataFrame:
+    kept = [f for f in docs.schema.fields if f.name not in (ids, text, decoded)]
 
     def run(batches: Batches) -> Batches:
-        encoder = cloudpickle.loads(tokenizer.value).encoder()
+        own = cloudpickle.loads(tokenizer.value)
+        encoder, labels = own.encoder(), own.labels
         gc.disable()  # the caches hold no cycles, and walking them again and again is slow
         for batch in batches:
-            flat, offsets = array("i"), [0]
-            for value in column_values(batch, "__text"):
-                if value:
-                    flat.extend(encoder.encode(value))
-                offsets.append(len(flat))
-            column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
-            yield with_columns(batch, ("__text",), **{ids: column})
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                flat = [encoder.encode(t) if t else b"" for t in column_values(part, "__text")]
+                offsets = np.concatenate(([0], np.cumsum([len(f) // 4 for f in flat]))).astype(np.int32)
+                new = {ids: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(flat), np.int32)))}
+                if decoded:
+                    new[decoded] = pa.array([emit(np.frombuffer(f, np.int32).tolist(), labels) for f in flat], pa.string())
+                yield with_columns(part, ("__text",), **new)
 
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    return source.mapInArrow(run, T.StructType([*kept, *new]))
+
+
+def emit(ids: list[int], labels: dict[int, str]) -> str:
+    """Labels of the arcs, joined by one space (the tokenizer file names no decoder)."""
+    return " ".join([labels[i] for i in ids if i in labels])
 
 
 def decode(coded: DataFrame, tokenizer, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add ``text``, the labels of the ids' arcs joined by one space (the tokenizer file names no decoder);
-    ids without a label are skipped, null and empty lists give an empty text."""
+    """Add ``text``, the labels of the ids' arcs joined by one space; ids without a label are skipped, null
+    and empty lists give an empty text."""
     kept = [f for f in coded.schema.fields if f.name != text]
 
     def run(batches: Batches) -> Batches:
         labels = cloudpickle.loads(tokenizer.value).labels
         for batch in batches:
-            out = [" ".join([labels[i] for i in value if i in labels]) if value else "" for value in column_values(batch, ids)]
-            yield with_columns(batch, **{text: pa.array(out, pa.string())})
+            yield with_columns(batch, **{text: pa.array([emit(v or [], labels) for v in column_values(batch, ids)], pa.string())})
 
     return coded.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, T.StructType([*kept, T.StructField(text, T.StringType())]))
 
 
 def digests(docs: DataFrame, tokenizer) -> DataFrame:
-    """``doc_id``, number of tokens, sha256 of the ids in decimal and of the decoded text."""
-    both = decode(encode(docs.select("doc_id", "text"), tokenizer), tokenizer)
+    """``doc_id``, number of tokens, sha256 of the ids in decimal and of the decoded text. Texts are encoded
+    and decoded in one pass, by one Python worker."""
+    both = _coded(docs.select("doc_id", "text"), tokenizer, "text", "ids", "decoded")
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

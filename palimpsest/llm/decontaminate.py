@@ -117,8 +117,8 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, share: float = 0.0) -> DataFrame:
     """Documents whose share of hit words is at most ``share``, with their own columns."""
-    kept = contamination(docs.withColumn("__text", F.col("text")), items).where(F.col("n_hit") <= F.col("n_words") * share)
-    return kept.select(*[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
+    return contamination(whole, items).where(F.col("n_hit") <= F.col("n_words") * share).select("__doc.*")
 
 
 SQL = r"""

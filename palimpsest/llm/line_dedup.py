@@ -206,11 +206,11 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     document and stay equal. A null text stays null and an empty one empty; a document whose lines all stand
     in earlier ones gets an empty text. Blank lines go with the block around them. Lines are compared without
     white space at their ends."""
-    changes = edits(docs, key, text, min_words).select(F.col("key").alias("__key"), F.col("uid").alias("__uid"), "keep", *[F.col(c).alias("__" + c) for c in ("n_removed_lines", "n_removed_words")])
+    changes = edits(docs, key, text, min_words).select(F.col("key").alias("__key"), F.col("uid").alias("__uid"), F.col("keep").alias("__keep"), *[F.col(c).alias("__" + c) for c in ("n_removed_lines", "n_removed_words")])
     kept = [c for c in docs.columns if c not in ("n_removed_lines", "n_removed_words")]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(F.col(f"`{text}`")).alias("__id"))
     joined = source.join(changes, F.col(f"`{key}`").eqNullSafe(F.col("__key")) & (F.col("__id") == F.col("__uid")), "left")
-    lines = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: F.get("keep", i))
-    new = F.when(F.col("keep").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(lines, "\n"))
+    lines = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda _, i: F.get("__keep", i))
+    new = F.when(F.col("__keep").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(lines, "\n"))
     return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in kept],
                          F.coalesce("__n_removed_lines", F.lit(0)).alias("n_removed_lines"), F.coalesce("__n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"))

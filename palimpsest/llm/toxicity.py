@@ -86,10 +86,17 @@ def ordinal_fit(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.nda
     return params[:n_cols], theta
 
 
+def least_pairs(text: bytes | None) -> list[int]:
+    """Under two hashes the least of a text's word pairs: near copies agree on one of them nearly always."""
+    w = WORD.findall((text or b"").lower())
+    pairs = {a + b" " + b for a, b in zip(w, w[1:])} or set(w)
+    return [min((xxhash.xxh32_intdigest(p, seed) for p in pairs), default=-1) for seed in (1, 2)]
+
+
 def _counts(batches: Batches) -> Batches:
     for batch in batches:
         counts = [features(t) for t in column_values(batch, "text")]
-        sketch = [[min((xxhash.xxh32_intdigest(f, seed) for f in c if not f.endswith(b"*") and len(f) > 6), default=-1) for seed in (1, 2)] for c in counts]
+        sketch = [least_pairs(t) for t in column_values(batch, "text")]
         yield with_columns(batch, ("text",), sketch=pa.array(sketch, pa.list_(pa.int64())), features=pa.array([list(c) for c in counts], pa.list_(pa.binary())),
                            counts=pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())))
 
@@ -121,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, max_wo
     chosen = docs.select("doc_id", as_bytes().alias("text")).join(F.broadcast(sample), "doc_id").select("label", "text")
     counted = stage(chosen.mapInArrow(_counts, "label int, sketch array<long>, features array<binary>, counts array<int>")
                     .withColumn("n", F.monotonically_increasing_id()), "labelled-words")
-    for i in range(2):  # of copies and near copies one is learnt from: those with the same least word hash
+    for i in range(2):  # of copies and near copies one is learnt from: those with the same least word pair
         one = counted.select(F.col("sketch")[i].alias("s"), "label", "n").groupBy("s", "label").agg(F.min("n").alias("n"))
         counted = stage(counted.join(one.select("n"), "n", "left_semi"), "labelled-words")
     n_pos, n_neg = counted.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") == 0)).first()
@@ -176,5 +183,5 @@ def severity(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The documents below the cut, with their own columns."""
-    judged = severity(docs.withColumn("__copy", F.col("text")), fit(docs, labels), "__copy", cut)
-    return judged.where("not toxic").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
+    return severity(whole, fit(docs, labels), cut=cut).where("not toxic").select("__doc.*")
