@@ -46,13 +46,13 @@ def stream_status_signals(t):
     return streams.status_signals(rows).select("assessment_id", "endpoint_id", "signal")
 
 
-@query("stream_ingest_once", "R4 K1", "SELECT user_id || '/' || json_extract_string(props, '$.k') AS idempotency_key, count(DISTINCT 1) AS n FROM events GROUP BY 1")
+@query("stream_ingest_once", "R4 K1", "SELECT user_id || '/' || json_extract_string(props, '$.k') AS idempotency_key, count(DISTINCT 1) AS n, epoch_us(min(ts)) AS first_us FROM events GROUP BY 1")
 def stream_ingest_once(t):
     key = F.concat_ws("/", F.col("user_id").cast("string"), F.get_json_object("props", "$.k"))
     rows = source(t).select(key.alias("idempotency_key"), "ts", "event_id")
     path = new_folder(t.spark, "ingested")
     streams.ingest_once(rows, "idempotency_key", "ts", path)
-    return t.spark.read.parquet(path).groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("n"))
+    return t.spark.read.parquet(path).groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("n"), F.min(_us("ts")).alias("first_us"))
 
 
 _CLOSED = "(SELECT epoch_us(max(ts)) - 3600000000 FROM events)"
@@ -73,7 +73,7 @@ def stream_hourly_starts(t):
 
 
 @query("stream_silent_keys", "R7", """
-SELECT user_id, epoch_ms(max(ts)) AS last_event_ms FROM events GROUP BY 1 HAVING max(ts) + to_minutes(30) < (SELECT max(ts) FROM events) - to_hours(1)""")
+SELECT user_id, epoch_us(max(ts)) AS last_event_us FROM events GROUP BY 1 HAVING max(ts) + to_minutes(30) < (SELECT max(ts) FROM events) - to_hours(1)""")
 def stream_silent_keys(t):
     return streams.silent_keys(source(t), "user_id", "ts")
 

@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from palimpsest.operators import history, links, workflow
-from palimpsest.sinks.tables import append_new
-from palimpsest.streaming.state import StateTable, new_folder, replay, run_append, run_batches
+from palimpsest.streaming.state import Tables, new_folder, replay, run_append, run_batches
 
 DELAY = "1 hour"
 
 
-def changed_content(stream: DataFrame) -> DataFrame:
+def _prefixed(operator, prefix, row_id: str):
+    """A step whose state is the rows that later rows depend on."""
+
+    def step(before: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = before.unionByName(rows)
+        return operator(both).join(before.select(row_id), row_id, "left_anti"), prefix(both)
+
+    return step
+
+
+def changed_content(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Content changes per resource; only the last row per key is carried over."""
     last = lambda df: history.latest(df, ["resource_id"], ["checked_at", "observation_id"])
-    return replay(stream, history.with_changes, last, "observation_id", "changed-content", "resource_id", "checked_at")
+    step = _prefixed(history.with_changes, last, "observation_id")
+    return replay(stream, step, stream.schema, "changed-content", "checked_at", folder)
 
 
-def status_signals(stream: DataFrame) -> DataFrame:
+def status_signals(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Alert and recovery signals; a key carries its last row and its last row that was not
     processing."""
 
@@ -30,41 +40,31 @@ def status_signals(stream: DataFrame) -> DataFrame:
         signal = history.latest(df.filter("status <> 'processing'"), ["endpoint_id"], order)
         return last.unionByName(signal).dropDuplicates(["assessment_id"])
 
-    return replay(stream, history.status_signals, prefix, "assessment_id", "status-signals", "endpoint_id", "assessed_at")
+    step = _prefixed(history.status_signals, prefix, "assessment_id")
+    return replay(stream, step, stream.schema, "status-signals", "assessed_at", folder)
 
 
-def failure_streaks(stream: DataFrame) -> DataFrame:
-    """Failure streaks and health states; a key carries its last run with its streak."""
-    spark = stream.sparkSession
-    folder = new_folder(spark, "failure-streaks")
-    state = StateTable(f"{folder}/state")
-    schema = "endpoint_id bigint, streak bigint, seen_at timestamp"
+def failure_streaks(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Failure streaks and health states; a key carries its streak."""
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        before = state.read(batch.sparkSession, batch_id, schema)
-        fresh = batch.join(before, "endpoint_id", "left").filter(F.col("seen_at").isNull() | (F.col("finished_at") > F.col("seen_at")))
-        base = fresh.select(batch.columns)
+    def step(before: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         ok = F.when(F.col("status") != "failed", 1).otherwise(0).cast("bigint")
-        h = history.History(history.failure_streaks(base), ["endpoint_id"], ["finished_at", "run_id"],
+        h = history.History(history.failure_streaks(rows), ["endpoint_id"], ["finished_at", "run_id"],
                             history.hour_chunk("finished_at")).running("_ok", ok).result()
         # Until a run of this batch succeeds, the streak continues the one carried over.
         carried = F.when(F.col("_ok") == 0, F.coalesce("streak", F.lit(0))).otherwise(0)
         out = h.join(before, "endpoint_id", "left").withColumn("consecutive_failures", F.col("consecutive_failures") + carried)
         health = F.when(F.col("consecutive_failures") == 0, "healthy").when(F.col("consecutive_failures") >= 3, "unhealthy").otherwise("degraded")
         out = out.withColumn("health_state", health).select("run_id", "endpoint_id", "finished_at", "consecutive_failures", "health_state")
-        path = f"{folder}/out/batch={batch_id}"
-        out.write.mode("overwrite").parquet(path)
-        written = batch.sparkSession.read.parquet(path)
-        now = written.groupBy("endpoint_id").agg(
-            F.max_by("consecutive_failures", F.struct("finished_at", "run_id")).alias("streak"), F.max("finished_at").alias("seen_at"))
+        now = out.groupBy("endpoint_id").agg(F.max_by("consecutive_failures", F.struct("finished_at", "run_id")).alias("streak"))
         kept = before.join(now.select("endpoint_id"), "endpoint_id", "left_anti")
-        state.write(kept.unionByName(now), batch_id)
+        return out, kept.unionByName(now)
 
-    run_batches(stream, each, folder)
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    kind = stream.schema["endpoint_id"].dataType.simpleString()
+    return replay(stream, step, f"endpoint_id {kind}, streak bigint", "failure-streaks", "finished_at", folder)
 
 
-def link_states(stream: DataFrame) -> DataFrame:
+def link_states(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Link states per observation, against the resource's observation before. stream: row_id,
     resource_id, observation_id, checked_at, target_url (one row per link)."""
 
@@ -76,15 +76,28 @@ def link_states(stream: DataFrame) -> DataFrame:
         last = history.latest(df.select("resource_id", "checked_at", "observation_id"), ["resource_id"], ["checked_at", "observation_id"])
         return df.join(last.select("resource_id", "observation_id"), ["resource_id", "observation_id"], "left_semi").select(df.columns)
 
-    out = replay(stream, operator, prefix, "row_id", "link-states", "resource_id", "checked_at")
-    return out.drop("row_id")
+    def step(before: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        both = before.unionByName(rows)
+        return operator(both).join(before.select("observation_id").distinct(), "observation_id", "left_anti"), prefix(both)
+
+    return replay(stream, step, stream.schema, "link-states", "checked_at", folder).drop("row_id")
+
 
+def ingest_once(stream: DataFrame, key: str, at: str, path: str, folder: str | None = None) -> None:
+    """Append each idempotency key once, however late its copies come: the first row of a key in a batch (by
+    time) is written unless an earlier batch holds the key. A batch is written under its id, so one that is
+    repeated overwrites itself."""
+    schema = stream.schema
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        once = history.first(batch, [key], [at])
+        for earlier in range(0, batch_id, 1000):  # path lists of bounded length
+            ids = range(earlier, min(batch_id, earlier + 1000))
+            written = batch.sparkSession.read.schema(schema).parquet(*[f"{path}/batch={i}" for i in ids])
+            once = once.join(written.select(key), key, "left_anti")
+        once.select(batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def ingest_once(stream: DataFrame, key: str, at: str, path: str) -> None:
-    """Append each idempotency key once: duplicates inside the watermark are dropped by the stream,
-    older ones by the keyed append."""
-    once = stream.withWatermark(at, DELAY).dropDuplicatesWithinWatermark([key])
-    run_batches(once, lambda batch, _: append_new(batch, path, [key]), new_folder(stream.sparkSession, "ingest-once"))
+    run_batches(stream, each, folder or new_folder(stream.sparkSession, "ingest-once"))
 
 
 def rolling_counts(stream: DataFrame, at: str, state: str, length: str = "24 hours", slide: str = "1 hour") -> DataFrame:
@@ -116,35 +129,37 @@ def silent_keys(stream: DataFrame, key: str, at: str, minutes: int = 30) -> Data
         if state.hasTimedOut:
             (last,) = state.get
             state.remove()
-            yield pd.DataFrame({key: [k[0]], "last_event_ms": [last]})
+            yield pd.DataFrame({key: [k[0]], "last_event_us": [last]})
             return
         last = state.get[0] if state.exists else 0
         for pdf in frames:
-            last = max(last, int(pdf["_ms"].max()))
+            last = max(last, int(pdf["_us"].max()))
         state.update((last,))
         # A deadline the watermark has already passed fires as soon as allowed.
-        state.setTimeoutTimestamp(max(last + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(last // 1000 + 1 + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
 
     kind = stream.schema[key].dataType.simpleString()
-    rows = stream.withWatermark(at, DELAY).select(key, at, F.unix_millis(at).alias("_ms"))
-    out = rows.groupBy(key).applyInPandasWithState(track, f"{key} {kind}, last_event_ms bigint", "last bigint", "append",
+    rows = stream.withWatermark(at, DELAY).select(key, at, F.unix_micros(at).alias("_us"))
+    out = rows.groupBy(key).applyInPandasWithState(track, f"{key} {kind}, last_event_us bigint", "last bigint", "append",
                                                    GroupStateTimeout.EventTimeTimeout)
     return run_append(out, new_folder(stream.sparkSession, "silent-keys"))
 
 
-def retry_updates(stream: DataFrame, as_of: str) -> DataFrame:
+def retry_updates(stream: DataFrame, as_of: str, folder: str | None = None) -> DataFrame:
     """Current retry table after all delivery attempts of the stream: the latest attempt per event
-    decides. stream: event_id, status, attempts, available_at."""
+    decides, in whatever order they come. stream: event_id, status, attempts, available_at."""
     spark, schema = stream.sparkSession, stream.schema
-    folder = new_folder(spark, "retry-table")
-    state = StateTable(folder)
-    last_id = [0]
+    folder = folder or new_folder(spark, "retry-table")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        both = state.read(batch.sparkSession, batch_id, schema).unionByName(batch)
-        state.write(history.latest(both, ["event_id"], ["attempts", "available_at"]), batch_id)
-        last_id[0] = batch_id
+        own = Tables(batch.sparkSession, folder, {"state": schema})
+        last = own.last(batch_id)
+        both = own.read("state", last.batch_id if last else None).unionByName(batch)
+        own.write("state", history.latest(both, ["event_id"], ["attempts", "available_at"]), batch_id)
+        own.commit(batch_id, None, None, 0)
 
     run_batches(stream, each, folder)
-    current = state.read(spark, last_id[0] + 1, schema).withColumn("available_at", F.col("available_at").cast("timestamp_ntz"))
+    tables = Tables(spark, folder, {"state": schema})
+    last = tables.last()
+    current = tables.read("state", last.batch_id if last else None).withColumn("available_at", F.col("available_at").cast("timestamp_ntz"))
     return workflow.retry_table(current, as_of)

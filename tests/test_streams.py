@@ -11,11 +11,13 @@ from palimpsest.streaming import streams
 SCHEMA = "id bigint, k bigint, ts timestamp, kind string"
 
 
-@pytest.fixture
-def split_log(spark, tmp_path):
-    """A log written as five time-ordered files, read one file per micro-batch."""
+@pytest.fixture(params=["in order", "ties and disorder"])
+def split_log(spark, tmp_path, request):
+    """A log written as five files, read one file per micro-batch. With ties many rows share their time with
+    rows of other files; with disorder rows come up to half the allowance late."""
     rng = random.Random(11)
-    rows = [(i, 0 if rng.random() < 0.6 else rng.randrange(1, 4), i * 97, rng.choice(["failed", "completed", "processing", "critical"])) for i in range(300)]
+    at = (lambda i: i * 97) if request.param == "in order" else (lambda i: max(0, i * 97 // 600 * 600 - rng.choice([0, 0, 600, 1200])))
+    rows = [(i, 0 if rng.random() < 0.6 else rng.randrange(1, 4), at(i), rng.choice(["failed", "completed", "processing", "critical"])) for i in range(300)]
     df = spark.createDataFrame(rows, "id bigint, k bigint, s int, kind string").withColumn("ts", F.expr("timestampadd(SECOND, s, timestamp'2024-01-01')")).select("id", "k", "ts", "kind")
     folder = str(tmp_path / "log")
     for b in range(5):
@@ -75,6 +77,24 @@ def test_ingest_once_over_batches(spark, split_log, tmp_path):
     assert got.count() == 50 == got.select("key").distinct().count()
 
 
+def test_a_restart_goes_on_and_late_rows_are_kept(spark, tmp_path):
+    rows = [(i, i % 2, i * 600, "critical" if i % 3 else "completed") for i in range(60)]
+    log, folder = str(tmp_path / "log"), str(tmp_path / "stream")
+    frame = lambda part: spark.createDataFrame(part, "id bigint, k bigint, s int, kind string").withColumn("ts", F.expr("timestampadd(SECOND, s, timestamp'2024-01-01')")).select("id", "k", "ts", "kind")
+    shape = lambda d: d.select(F.col("id").alias("observation_id"), F.col("k").alias("resource_id"), F.col("ts").alias("checked_at"), F.col("kind").alias("content_sha256"))
+    run = lambda: streams.changed_content(shape(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(log)), folder)
+    cols = ("observation_id", "previous_observation_id", "content_changed")
+    early, rest = rows[:28] + [rows[31]], rows[28:31] + rows[32:]
+    for part, known in ((early, early), (rest, rows)):
+        frame(part).coalesce(1).write.mode("append").parquet(log)
+        same(run(), history.with_changes(shape(frame(known))), *cols)
+    frame([(99, 0, 5, "late")]).coalesce(1).write.mode("append").parquet(log)
+    same(run(), history.with_changes(shape(frame(rows))), *cols)
+    late = spark.read.parquet(f"{folder}/late").select("observation_id").collect()
+    commits = spark.read.parquet(f"{folder}/commits").agg(F.sum("n_late")).first()[0]
+    assert [r[0] for r in late] == [99] and commits == 1
+
+
 def test_sessions_and_silence(split_log):
     stream, batch = split_log
     sessions = streams.reader_sessions(stream, "k", "ts", "10 minutes")
