@@ -49,7 +49,10 @@ def test_rss_bound_quarantine_and_date(spark):
     xml = rss([("A", "https://gov.example.org/a", "1", "Mon, 25 Aug 2025 08:40:41 +0800"), ("B", "https://evil.test/b", "2", ""), ("C", "https://gov.example.org/c", "3", "")])
     df = spark.createDataFrame([(1, "https://gov.example.org/feed", xml)], "feed_id bigint, feed_url string, content string")
     got = one(feeds.feed_links(df, ["example.org"], max_entries=2).orderBy("position").select("target_url", "disposition", "quarantine_reason", "published_at"))
-    assert got == [("https://gov.example.org/a", "accepted", "", "2025-08-25T00:40:41+00:00"), ("https://evil.test/b", "quarantined", "hostname_not_allowlisted", "")]
+    assert got == [("https://gov.example.org/a", "accepted", "", "2025-08-25T00:40:41+00:00"), ("https://evil.test/b", "quarantined", "hostname_not_allowlisted", ""),
+                   ("https://gov.example.org/c", "quarantined", "over_limit", "")]
+    assert [r[2] for r in one(feeds.feed_links(df, ["example.org"]).orderBy("position").select("target_url", "disposition", "quarantine_reason"))] == ["", "hostname_not_allowlisted", ""]
+    assert one(feeds.feed_links(df, ["example.org"], max_bytes=10).select("disposition", "quarantine_reason")) == [("error", "feed_too_large")]
 
 
 def test_atom_and_ambiguous_identifier_and_bad_xml(spark):
@@ -58,7 +61,8 @@ def test_atom_and_ambiguous_identifier_and_bad_xml(spark):
     df = spark.createDataFrame([(1, "https://gov.example.org/feed", atom), (2, "https://gov.example.org/f", "<rss><chan"), (3, "https://gov.example.org/g", "<html/>")],
                                "feed_id bigint, feed_url string, content string")
     got = one(feeds.feed_links(df, ["example.org"]).orderBy("position").select("feed_type", "target_url", "quarantine_reason", "updated_at"))
-    assert got == [("atom", "https://gov.example.org/x", "ambiguous_external_identifier", "2024-02-01T10:00:00+00:00"),
+    assert sorted(got, key=str)[2:] == [(None, None, "not_well_formed", ""), (None, None, "unsupported_root", "")]
+    assert sorted(got, key=str)[:2] == [("atom", "https://gov.example.org/x", "ambiguous_external_identifier", "2024-02-01T10:00:00+00:00"),
                    ("atom", "https://gov.example.org/y", "ambiguous_external_identifier", "")]
     errors = {r.feed_id: r.error for r in feeds.entries(df).filter("error is not null").collect()}
     assert errors == {2: "not_well_formed", 3: "unsupported_root"}
