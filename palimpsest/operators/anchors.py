@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import let
 from palimpsest.functions.text import SPACE, SPACE_CHARS, strip
+from palimpsest.operators.sections import running_starts
 
 # Anchor types in priority order with the line pattern (English and Malay), matched
 # case-insensitively at the start of a line; group 1 is the reference.
@@ -52,7 +53,7 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
     """Split each section at its anchor lines.
 
     Input: section_id, version_id, ordinal, text, optional heading, page_number, char_start.
-    The split, the running offsets and the fallback are computed inside the row; no shuffle.
+    The split, the running offsets and the fallback are computed inside the row; no shuffle, linear in its pieces.
     Output per span: section_id, version_id, section_ordinal, span, anchor_type, base_key, label,
     text, relative_start, relative_end, char_start, char_end.
     """
@@ -66,14 +67,12 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
         page.alias("_page"), base.cast("bigint").alias("_base"))
     lead = lambda c: F.length(c) - F.length(F.ltrim(c, F.lit(SPACE_CHARS)))
     first_line = lambda c: strip(F.split_part(F.replace(c, F.lit("\r"), F.lit("\n")), F.lit("\n"), F.lit(1)))
-    offset = lambda lengths, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("bigint"),
-                                            lambda acc, n: acc + n)
     any_line = "|".join(f"(?:{p})" for _, p in ANCHOR_LINES)
     is_anchor = lambda text: first_line(text).rlike(rf"(?i)^(?:{any_line})$")
     # A first piece without an anchor line is the preamble and starts at 0.
-    start = lambda p, text, lengths, i: F.when(is_anchor(text), offset(lengths, i) + lead(p))
-    pieces_of = lambda pieces, lengths: F.transform(pieces, lambda p, i: let(strip(p), lambda text: F.struct(
-        i.alias("i"), text.alias("text"), start(p, text, lengths, i).alias("start"))))
+    start = lambda p, text, i: F.when(is_anchor(text), F.get("_starts", i) + lead(p))
+    pieces = F.transform("_pieces", lambda p, i: let(strip(p), lambda text: F.struct(
+        i.alias("i"), text.alias("text"), start(p, text, i).alias("start"))))
     end = lambda spans, s: F.coalesce(F.get(spans, s["i"] + 1)["start"], F.length("_text").cast("bigint"))
     rows = lambda spans: F.filter(F.transform(spans, lambda s: F.struct(
         s["i"].alias("span"), s["text"].alias("text"),
@@ -81,9 +80,9 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
         end(spans, s).alias("relative_end"), s["start"].isNotNull().alias("is_anchor"),
         F.size(spans).alias("_n"))),
         lambda r: r["is_anchor"] | (r["text"] != "") | (r["_n"] == 1))
-    spans = let(F.split(F.col("_text"), _split_pattern()), lambda pieces: let(
-        F.transform(pieces, lambda p: F.length(p).cast("bigint")),
-        lambda lengths: let(pieces_of(pieces, lengths), rows)))
+    spans = let(pieces, rows)
+    sections = sections.withColumn("_pieces", F.split(F.col("_text"), _split_pattern()))
+    sections = sections.withColumn("_starts", running_starts(F.transform("_pieces", lambda p: F.length(p).cast("bigint"))))
     out = sections.select("section_id", "version_id", "section_ordinal", "_text", "_heading", "_page",
                           "_base", F.inline(spans))
     label_line = first_line(F.col("text"))

@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 from palimpsest.functions import urls
 from palimpsest.functions.keys import fingerprint
 from palimpsest.functions.scalars import bind_columns
-from palimpsest.operators.history import History, first, hour_chunk, latest, top_n
+from palimpsest.operators.history import History, first, hour_chunk, latest
 
 
 def candidates(links: DataFrame, key: str, base_url: str, domains: Sequence[str], *,
                include_prefixes: Sequence[str] = (), exclude_suffixes: Sequence[str] = ("/feed/",),
                upload_prefixes: Sequence[str] = ("/wp-content/uploads/",),
                extensions: Sequence[str] = urls.DOCUMENT_EXTENSIONS, aliases: dict | None = None,
-               cap: int = 20) -> DataFrame:
+               cap: int | None = None) -> DataFrame:
     """Listing links to candidate documents: resolved, normalized, allowlisted, filtered by path,
-    first mention wins, document links first, at most ``cap`` per listing (the listing's own
-    bound). Output: key, candidate_url, title, is_document, rank."""
+    first mention wins, document links first. With a ``cap`` the candidates beyond it are marked
+    ``over_cap``. Output: key, candidate_url, title, is_document, rank, disposition."""
     url = urls.normalize_url(urls.resolve(F.col(base_url), F.col("href")))
     if aliases:
         url = urls.canonical_host(url, aliases)
@@ -43,7 +43,10 @@ def candidates(links: DataFrame, key: str, base_url: str, domains: Sequence[str]
     kept = rows.filter(keep).select(key, "position", "candidate_url", title.alias("title"),
                                     is_document.alias("is_document"))
     once = first(kept, [key, "candidate_url"], ["position"])
-    return top_n(once, [key], [F.desc("is_document"), F.asc("position")], cap, "rank").drop("position")
+    place = W.partitionBy(key).orderBy(F.desc("is_document"), F.asc("position"))
+    ranked = once.withColumn("rank", F.row_number().over(place)).drop("position")
+    over = F.lit(False) if cap is None else F.col("rank") > cap
+    return ranked.withColumn("disposition", F.when(over, "over_cap").otherwise("accepted"))
 
 
 def expand_details(listing: DataFrame, detail_links: DataFrame) -> DataFrame:

@@ -1,32 +1,35 @@
-"""Documents to ordered sections with offsets, all inside the row (no shuffle)."""
+"""Documents to ordered sections with offsets, all inside the row (no shuffle, linear in its lines)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.scalars import let
 from palimpsest.functions.text import normalize_inline
+from palimpsest.functions.udf import vectorized
 
 
-def with_offsets(texts: Column, gap: int = 2) -> Column:
-    """Array of ``struct(ordinal, text, char_start, char_end)`` for texts that are joined by a
-    separator of ``gap`` characters."""
-    start = lambda lengths, i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0).cast("bigint"),
-                                           lambda acc, n: acc + n)
-    rows = lambda items, lengths: F.transform(items, lambda t, i: let(start(lengths, i), lambda at: F.struct(
-        (i + 1).alias("ordinal"), t.alias("text"), at.alias("char_start"),
-        (at + F.length(t)).alias("char_end"))))
-    return let(texts, lambda items: let(F.transform(items, lambda t: F.length(t) + gap),
-                                        lambda lengths: rows(items, lengths)))
+@vectorized("array<bigint>")
+def running_starts(lengths: pd.Series) -> pd.Series:
+    """For an array of lengths the sum of those before each element."""
+    return lengths.map(lambda a: None if a is None else a.cumsum() - a)
 
 
-def line_sections(documents: DataFrame, key: str = "version_id", text: str = "content") -> DataFrame:
-    """One section per non-empty normalized line of each document."""
+def line_sections(documents: DataFrame, key: str = "version_id", text: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """One section per non-empty normalized line of each document; lines are joined by two characters
+    when offsets are counted. ``keep``: columns of the document that its sections carry."""
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), normalize_inline), lambda l: l != "")
+    split = documents.select(key, *keep, lines.alias("_lines"))
+    placed = split.withColumn("_starts", running_starts(F.transform("_lines", lambda t: F.length(t).cast("bigint") + 2)))
+    rows = F.transform("_lines", lambda t, i: F.struct(
+        (i + 1).alias("ordinal"), t.alias("text"), F.get("_starts", i).alias("char_start"),
+        (F.get("_starts", i) + F.length(t)).alias("char_end")))
     return (
-        documents.select(key, F.inline(with_offsets(lines)))
+        placed.select(key, *keep, F.inline(rows))
         .select(
             F.concat_ws(":", F.col(key).cast("string"), F.col("ordinal").cast("string")).alias("section_id"),
-            key, "ordinal", "text", F.sha2("text", 256).alias("text_sha256"), "char_start", "char_end")
+            key, "ordinal", "text", F.sha2("text", 256).alias("text_sha256"), "char_start", "char_end", *keep)
     )

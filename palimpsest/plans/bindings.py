@@ -62,8 +62,8 @@ SQL_ONLY["section"] = r"""
 @spark_binding
 def corpus_section(t):
     """Sections with the identity and title of their version, for search."""
-    v = t.version.select("version_id", "identity_id", "title", "canonical_url", "collection_id", "language", "created_at")
-    return t.section.join(v, "version_id").withColumn("heading", F.lit(""))
+    keep = ("identity_id", "title", "canonical_url", "collection_id", "language", "created_at")
+    return line_sections(t.version, keep=keep).withColumn("heading", F.lit(""))
 
 
 SQL_ONLY["corpus_section"] = """

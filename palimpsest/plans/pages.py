@@ -66,24 +66,30 @@ def resolve_relative_urls_full(t):
     return t.page_link.select("page_id", "position", urls.resolve_udf("url", "href").alias("abs_url"))
 
 
-SQL_ONLY["listing"] = f"""
-    SELECT page_id, candidate_url, title, is_document, cast(rn AS int) AS rank FROM (
+SQL_ONLY["ranked_listing"] = f"""
+    SELECT page_id, candidate_url, title, is_document, cast(rn AS int) AS rank, CASE WHEN rn <= 4 THEN 'accepted' ELSE 'over_cap' END AS disposition FROM (
       SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY is_document DESC, position) AS rn FROM (
         SELECT page_id, target AS candidate_url, min(position) AS position, arg_min(title, position) AS title,
           list_contains({EXT}, {EXTN("target")}) AS is_document
         FROM page_target WHERE {SCHEME("target")} = 'https' AND {ALLOWED(HOST("target"))} AND target <> {NORM("url")}
           AND NOT ends_with({PATH("target")}, '/feed/')
-        GROUP BY page_id, target)) WHERE rn <= 4"""
+        GROUP BY page_id, target))"""
+SQL_ONLY["listing"] = "SELECT page_id, candidate_url, title, is_document, rank FROM ranked_listing WHERE disposition = 'accepted'"
 
 
 @spark_binding
-def listing(t):
+def ranked_listing(t):
     return links.candidates(t.page_link, "page_id", "url", DOMAINS, cap=4)
 
 
-@query("listing_candidates", "S4 E4 W10", "SELECT * FROM listing")
+@spark_binding
+def listing(t):
+    return t.ranked_listing.filter("disposition = 'accepted'").drop("disposition")
+
+
+@query("listing_candidates", "S4 E4 W10", "SELECT * FROM ranked_listing")
 def listing_candidates(t):
-    return t.listing
+    return t.ranked_listing
 
 
 SQL_ONLY["detail_link"] = """
