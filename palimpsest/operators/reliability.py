@@ -29,6 +29,11 @@ def recent_runs(runs: DataFrame, n: int = 2) -> DataFrame:
                  [F.desc("finished_at"), F.desc("created_at"), F.desc("run_id")], n, "recency")
 
 
+def of_ids(log: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """The log's rows of the given ids only: histories are cut to what is asked before they are grouped."""
+    return log.join(ids.select(*keys).distinct(), list(keys), "left_semi")
+
+
 def run_sets(candidate_obs: DataFrame) -> DataFrame:
     """Size and digest of every run's URL set; the set itself is never gathered."""
     urls = candidate_obs.select("run_id", "canonical_url").distinct()
@@ -39,7 +44,8 @@ def run_sets(candidate_obs: DataFrame) -> DataFrame:
 def set_changes(runs: DataFrame, candidate_obs: DataFrame) -> DataFrame:
     """Latest run per endpoint with its set digest, the digest of the run before, and whether the
     two non-empty sets differ."""
-    two = recent_runs(runs, 2).join(run_sets(candidate_obs), "run_id", "left")
+    recent = recent_runs(runs, 2)
+    two = recent.join(run_sets(of_ids(candidate_obs, recent, "run_id")), "run_id", "left")
     at = lambda r, c: F.max(F.when(F.col("recency") == r, F.col(c)))
     out = two.groupBy("endpoint_id").agg(
         at(1, "run_id").alias("run_id"), at(1, "candidate_count").alias("candidate_count"),
@@ -58,7 +64,7 @@ def repeatability(runs: DataFrame, candidate_obs: DataFrame, required: int = 2)
     newer = rows.select("endpoint_id", "canonical_url", (F.col("recency") + 1).alias("recency"), F.lit(True).alias("_kept"))
     gone = (rows.filter("recency > 1").join(newer, ["endpoint_id", "canonical_url", "recency"], "left")
             .groupBy("endpoint_id").agg(F.count_if(F.col("_kept").isNull()).alias("disappeared")))
-    sets = last.join(run_sets(candidate_obs), "run_id", "left").groupBy("endpoint_id").agg(
+    sets = last.join(run_sets(of_ids(candidate_obs, last, "run_id")), "run_id", "left").groupBy("endpoint_id").agg(
         F.count(F.lit(1)).alias("run_count"), F.min(F.coalesce("set_sha256", F.lit(""))).alias("_lo"),
         F.max(F.coalesce("set_sha256", F.lit(""))).alias("_hi"))
     out = sets.join(gone, "endpoint_id", "left")
@@ -86,7 +92,7 @@ def coverage(latest_runs: DataFrame, candidate_obs: DataFrame, artifact_obs: Dat
     last = latest_runs.select("endpoint_id", "run_id")
     found = last.join(candidate_obs.select("run_id", "candidate_id").distinct(), "run_id")
     totals = found.groupBy("endpoint_id").agg(F.count(F.lit(1)).alias("candidate_count"))
-    arts = expanded_artifacts(artifact_obs, derivative).join(found, ["run_id", "candidate_id"])
+    arts = expanded_artifacts(of_ids(artifact_obs, found, "run_id", "candidate_id"), derivative).join(found, ["run_id", "candidate_id"])
     done = extraction.filter("status = 'succeeded'").select("artifact_id", F.lit(True).alias("_x")).distinct()
     graph = graph_artifact.select("artifact_id", F.lit(True).alias("_g")).distinct()
     flagged = arts.join(done, "artifact_id", "left").join(graph, "artifact_id", "left")
@@ -97,7 +103,7 @@ def coverage(latest_runs: DataFrame, candidate_obs: DataFrame, artifact_obs: Dat
     versions = (arts.select("endpoint_id", "artifact_id").distinct()
                 .join(version_evidence.select("artifact_id", "version_id"), "artifact_id")
                 .select("endpoint_id", "version_id").distinct())
-    per_version = version_section.groupBy("version_id").agg(
+    per_version = of_ids(version_section, versions, "version_id").groupBy("version_id").agg(
         F.count(F.lit(1)).alias("_n"), F.count_if("local_ready").alias("_l"), F.count_if("configured_ready").alias("_c"))
     text = versions.join(per_version, "version_id", "left").groupBy("endpoint_id").agg(
         F.count(F.lit(1)).alias("version_count"), F.sum(F.coalesce("_n", F.lit(0))).alias("section_count"),
@@ -194,13 +200,15 @@ def repair_plan(runs: DataFrame, candidate_obs: DataFrame, artifact_obs: DataFra
     graph_version: version_id."""
     last = recent_runs(runs, 1).select("endpoint_id", "run_id")
     todo = last.join(candidate_obs.select("run_id", "candidate_id").distinct(), "run_id")
+    artifact_obs = of_ids(artifact_obs, todo, "candidate_id")
+    fetches = of_ids(fetches, todo, "run_id", "candidate_id")
     newest = latest(artifact_obs.select("candidate_id", "artifact_id", "retrieved_at", "observation_id"),
                     ["candidate_id"], ["retrieved_at", "observation_id"]).select("candidate_id", F.col("artifact_id").alias("_newest"))
     ended = fetches.filter(F.col("status").isin("succeeded", "not_modified")).select("run_id", "candidate_id", F.lit(True).alias("_ended")).distinct()
     own = artifact_obs.select("candidate_id", "artifact_id").distinct()
     every = own.unionByName(own.join(derivative.select(F.col("source_artifact_id").alias("artifact_id"), "derived_artifact_id"), "artifact_id")
                             .select("candidate_id", F.col("derived_artifact_id").alias("artifact_id"))).distinct()
-    ex = extraction.groupBy("artifact_id").agg(
+    ex = of_ids(extraction, every, "artifact_id").groupBy("artifact_id").agg(
         F.bool_or(F.col("status") == "succeeded").alias("_ok"), F.bool_or(F.col("status").isin("pending", "running")).alias("_active"),
         F.max(F.when(F.col("status") == "ocr_required", F.struct("created_at", "artifact_id"))).alias("_ocr"))
     state = every.join(ex, "artifact_id", "left").groupBy("candidate_id").agg(
@@ -222,10 +230,10 @@ def repair_plan(runs: DataFrame, candidate_obs: DataFrame, artifact_obs: DataFra
     target = (F.when(no_artifact, F.col("candidate_id").cast("string")).when(F.col("_ocr_artifact").isNull(), F.col("_newest"))
               .when(F.col("_ocr_status") == "succeeded", F.coalesce("_derived", "_ocr_artifact")).otherwise(F.col("_ocr_artifact")))
     first = j.select("endpoint_id", kind.alias("kind"), target.alias("object_id")).filter("kind is not null")
-    sections = version_section.groupBy("version_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("local_ready").alias("_l"),
-                                                         F.count_if("configured_ready").alias("_c"))
     versions = (todo.select("endpoint_id", "candidate_id").join(every, "candidate_id")
                 .join(version_evidence.select("artifact_id", "version_id"), "artifact_id").select("endpoint_id", "version_id").distinct())
+    sections = of_ids(version_section, versions, "version_id").groupBy("version_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("local_ready").alias("_l"),
+                                                         F.count_if("configured_ready").alias("_c"))
     v = versions.join(sections, "version_id", "left").join(graph_version.select("version_id", F.lit(True).alias("_g")).distinct(), "version_id", "left")
     lacking = F.col("_g").isNull() | (F.coalesce("_n", F.lit(0)) == 0) | (F.col("_l") != F.col("_n")) | (F.col("_c") != F.col("_n"))
     second = v.filter(lacking).select("endpoint_id", F.lit("project_knowledge").alias("kind"), F.col("version_id").cast("string").alias("object_id"))
