@@ -8,7 +8,7 @@ from palimpsest.functions import text
 from palimpsest.functions.vectors import embed_udf
 from palimpsest.operators import search
 from palimpsest.plans.registry import SQL_ONLY, query, shared, spark_binding
-from palimpsest.plans.texts import _QW, _WANT
+from palimpsest.plans.texts import _QW, _WANT, COMPACT
 
 W = r"[\pL\pN_]+"
 READER = {"title": "A", "heading": "B", "text": "C"}
@@ -177,7 +177,15 @@ def search_documents(t):
     return search.group_documents(reader(t), t.corpus_section)
 
 
-@query("search_results_with_excerpts", "T6 W12 F8")
+@query("search_results_with_excerpts", "T6 W12 F8", rf"""
+SELECT * EXCLUDE (c, head, start_, words), length(c) > 620 AS truncated, CASE WHEN length(c) <= 620 THEN c
+    WHEN start_ + 620 < length(c) THEN rtrim(head) || '…' ELSE head END AS excerpt
+FROM (SELECT *, CASE WHEN start_ > 0 THEN '…' || ltrim(substr(c, start_ + 1, 620)) ELSE substr(c, start_ + 1, 620) END AS head FROM (
+  SELECT *, greatest(0, coalesce(list_min(list_filter(list_transform(words, lambda w: instr(lower(c), w) - 1), lambda p: p >= 0)), 0) - 155) AS start_ FROM (
+    SELECT query_id, identity_id, document_rank, round(document_score, 8) AS document_score, passage, section_id, round(score, 8) AS score, {COMPACT("x.text")} AS c,
+      list_filter(string_split({COMPACT("lower(query)")}, ' '), lambda w: length(w) > 2) AS words
+    FROM doc_passage JOIN doc_rank USING (query_id, identity_id) JOIN (SELECT section_id, text FROM corpus_section) x USING (section_id) JOIN retrieval_query USING (query_id)
+    WHERE passage <= 3)))""")
 def search_results_with_excerpts(t):
     return search.group_documents(reader(t), t.corpus_section, t.retrieval_query)
 
