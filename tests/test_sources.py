@@ -40,6 +40,14 @@ def test_structure_ignores_text(spark):
     assert got[1] == got[2] and got[1][1] == ["div.a.z", "p"] and got[3][0] != got[1][0]
 
 
+def test_paths_start_at_the_nearest_id():
+    page = html.Page('<html><body><nav><p>x</p></nav><div id="m"><p>a</p><p id="k">b</p><ul><li>c</li></ul></div><p>q</p><p>r</p></body></html>')
+    page.drop({"nav"})
+    paths = [page.path(n, page.nodes[0]) for n in page.nodes if n.tag in ("p", "li")]
+    assert paths == ["div#m > p:nth-of-type(1)", "p#k", "div#m > ul:nth-of-type(1) > li:nth-of-type(1)",
+                     "html:nth-of-type(1) > body:nth-of-type(1) > p:nth-of-type(1)", "html:nth-of-type(1) > body:nth-of-type(1) > p:nth-of-type(2)"]
+
+
 def rss(items):
     return "<rss><channel><title>Feed</title>" + "".join(
         f"<item><title>{t}</title><link>{u}</link><guid>{g}</guid><pubDate>{d}</pubDate></item>" for t, u, g, d in items) + "</channel></rss>"
