@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.session import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,6 +44,12 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def stage_rows(df: DataFrame, name: str, rows: int, per_file: int = 50_000) -> DataFrame:
+    """Stage a table that has about ``rows`` rows at most, in files of a sensible size rather than one for
+    each shuffle partition."""
+    return stage(df.coalesce(max(1, -(-rows // per_file))), name)
+
+
 def column_values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import stage
+from palimpsest.llm.common import stage_rows
 
 
 def _star(arcs: DataFrame, large: bool) -> DataFrame:
@@ -25,16 +25,17 @@ def _mark(arcs: DataFrame) -> tuple:
     return tuple(arcs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000000007), F.sum(F.xxhash64("v", "u") % 998244353)).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int = 1 << 24) -> DataFrame:
     """``(node, root)`` for every node of the edges but the roots: root is the smallest node reachable.
 
     Every round halves distances in the way of alternating large and small stars, so the number of rounds
     grows with the logarithm of the size; each round is written to the shared folder, which cuts the
-    lineage. Self loops and repeated edges are harmless; no edges give no rows."""
-    arcs = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars")
+    lineage. Self loops and repeated edges are harmless; no edges give no rows. ``rows``: about how many
+    edges there may be, for the number of files only."""
+    arcs = stage_rows(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "stars", rows)
     mark = _mark(arcs)
     while mark[0]:
-        arcs = stage(_star(_star(arcs, True), False), "stars")
+        arcs = stage_rows(_star(_star(arcs, True), False), "stars", mark[0])
         was, mark = mark, _mark(arcs)
         if was == mark:
             break

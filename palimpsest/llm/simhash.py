@@ -175,8 +175,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", bi
     Null and blank texts have fingerprint zero and are linked like any other; repeated rows share a
     class; a null key is a document like others but never names a class unless it has no other key."""
     printed = stage(fingerprints(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))), "fingerprints")
-    nodes = stage(printed.groupBy("fp").agg(F.min("key").alias("low")), "fingerprint-nodes")
-    roots = components(near_links(nodes.select("fp"), bits))
+    nodes = printed.groupBy("fp").agg(F.min("key").alias("low"))
+    roots = components(near_links(nodes.select("fp"), bits), rows=printed.count())
     member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = member.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = member.join(named, "root").select("fp", "component_id")
