@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.session import stage
 
+Batches = Iterator[pa.RecordBatch]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,6 +51,13 @@ def stage_rows(df: DataFrame, name: str, rows: int, per_file: int = 50_000) -> D
     return stage(df.coalesce(max(1, -(-rows // per_file))), name)
 
 
+def slices(batches: Batches, rows: int) -> Batches:
+    """The same rows in batches of at most ``rows``, so that what Python makes of a batch stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def column_values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -59,6 +67,3 @@ def with_columns(batch: pa.RecordBatch, drop: tuple[str, ...] = (), **new: pa.Ar
     kept = [n for n in batch.schema.names if n not in drop]
     return pa.RecordBatch.from_arrays(
         [batch.column(batch.schema.get_field_index(n)) for n in kept] + list(new.values()), names=kept + list(new))
-
-
-Batches = Iterator[pa.RecordBatch]

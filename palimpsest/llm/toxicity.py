@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import Batches, as_bytes, column_values, with_columns
+from palimpsest.llm.common import Batches, as_bytes, column_values, slices, with_columns
 from palimpsest.session import stage
 
 MAX_LABELS = 20_000  # labelled documents that the model is fitted on
@@ -94,7 +94,7 @@ def least_pairs(text: bytes | None) -> list[int]:
 
 
 def _counts(batches: Batches) -> Batches:
-    for batch in batches:
+    for batch in slices(batches, 200):
         counts = [features(t) for t in column_values(batch, "text")]
         sketch = [least_pairs(t) for t in column_values(batch, "text")]
         yield with_columns(batch, ("text",), sketch=pa.array(sketch, pa.list_(pa.int64())), features=pa.array([list(c) for c in counts], pa.list_(pa.binary())),
@@ -171,7 +171,7 @@ def severity(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT
     kept = [f for f in docs.schema.fields if f.name not in added]
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             s = np.array([model.score(t) for t in column_values(batch, "__text")], float)
             p = model.at_least(s)
             expected = p.sum(axis=1)
