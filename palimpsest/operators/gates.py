@@ -1,4 +1,7 @@
-"""Named boolean gates in long form, and the admission and acceptance reports built from them."""
+"""Named boolean gates in long form, and the admission and acceptance reports built from them.
+
+Gate names are fixed values, listed in the order in which gates are reported.
+"""
 
 from __future__ import annotations
 

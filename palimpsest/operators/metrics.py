@@ -1,6 +1,8 @@
 """Operational metrics as a long table (name, labels, value), its text form, alerts and panels.
 
-``as_of`` is always a parameter, never the clock, so a metric run can be repeated."""
+``as_of`` is always a parameter, never the clock, so a metric run can be repeated.
+Metric and label names are fixed values.
+"""
 
 from __future__ import annotations
 

@@ -114,6 +114,7 @@ def assess(versions: DataFrame, sections: DataFrame, configuration: Mapping | No
                    F.col("repeated_content_ratio"))
     page = F.col("_page_cov")
     pdf_pages = F.col("_pdf") & page.isNotNull()
+    # Finding codes and severities, in alphabetical order.
     rules = [
         ("duplicate_normalized_content", "review_required", F.col("duplicate_group_size") > 1),
         ("empty_content", "review_required", n == 0),

@@ -20,6 +20,7 @@ from palimpsest.operators.history import latest, top_n
 FRESHNESS_GRACE_MINUTES = 60
 PIPELINE_GRACE_MINUTES = 30
 
+# Stage names, in pipeline order; they also begin the coverage finding codes.
 STAGES = ("artifact", "extraction", "graph", "local_embedding", "configured_embedding")
 
 
@@ -140,6 +141,7 @@ def assess(endpoints: DataFrame, runs: DataFrame, covered: DataFrame, changes: D
     in_grace = now <= F.col("_finished") + minutes(F.lit(PIPELINE_GRACE_MINUTES))
     count = F.coalesce("candidate_count", F.lit(0))
     js = F.col("requires_javascript")
+    # Finding codes and severities, in rule order.
     rules = [
         ("endpoint_unhealthy", "critical", F.col("health_state") == "unhealthy"),
         ("endpoint_degraded", "warning", F.col("health_state") == "degraded"),
