@@ -56,7 +56,8 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def pair_keys(words: np.ndarray, stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hash of each token with its predecessor (the begin mark at a document's start)."""
+    """56-bit hash of each token with its predecessor (the begin mark at a document's start), in the upper
+    bits: among 10^10 pairs one in ten million shares its hash with another."""
     now = words[stream]
     before = np.empty_like(now)
     before[1:] = now[:-1]
@@ -64,7 +65,7 @@ def pair_keys(words: np.ndarray, stream: np.ndarray, starts: np.ndarray) -> np.n
     x = before * np.uint64(0x9E3779B97F4A7C15) + now
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
+    return (x ^ (x >> np.uint64(29))) & ~np.uint64(0xFF)
 
 
 def blocks(docs: DataFrame, key: str, text: str, tokens: int) -> DataFrame:
@@ -158,11 +159,11 @@ def _answer(group: pa.Table) -> pa.Table:
         at = where[i:i + len(k)]
         i += len(k)
         first = n == 0 and r["order"] == 1
-        out.append({"block": r["block"], "order": r["order"], "range": r["range"], "kept": pack(kept[at].astype(np.uint64)), "both": pack(both[at].astype(np.uint64)),
+        out.append({"block": r["block"], "order": r["order"], "range": r["range"], "both": pack(both[at].astype(np.uint64)), "deleted": pack((both - kept)[at].astype(np.uint64)),
                     "distinct": int((both > 0).sum()) if first else 0, "total": int(both.sum()) if first else 0,
                     "kept_distinct": int((kept > 0).sum()) if first else 0, "kept_total": int(kept.sum()) if first else 0})
     return pa.Table.from_pylist(out, schema=pa.schema([
-        ("block", pa.string()), ("order", pa.int32()), ("range", pa.int32()), ("kept", pa.binary()), ("both", pa.binary()),
+        ("block", pa.string()), ("order", pa.int32()), ("range", pa.int32()), ("both", pa.binary()), ("deleted", pa.binary()),
         *[(c, pa.int64()) for c in ("distinct", "total", "kept_distinct", "kept_total")]]))
 
 
@@ -174,35 +175,33 @@ def bucket(n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.floor(np.log2(np.maximum(n, 1))) + 1, 0).astype(np.int64).clip(0, BUCKETS - 1)
 
 
-def _estimates(b: Block, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token: count of the predecessor, share of the token after it, count of the token."""
-    now = one[b.stream]
+def _estimates(now: np.ndarray, pair: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per token, from its count and that of its pair: the predecessor's count, the token's share after it."""
+    ends = np.cumsum(sizes)
     before = np.empty_like(now)
     before[1:] = now[:-1]
-    before[b.starts] = now[b.starts + b.sizes - 1]  # documents begin as often as they end
-    return before, two[b.pair] / np.maximum(before, 1), now
-
-
-def _merge(key_type: str):
-    """A block with its answers in order, and the histogram of its deleted tokens for the weights."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        answers = sorted(right.to_pylist(), key=lambda r: (r["order"], r["range"]))
-        totals = {c: sum(r[c] for r in answers) for c in ("distinct", "total", "kept_distinct", "kept_total")}
-        counts = {(o, c): np.concatenate([unpack(r[c]) for r in answers if r["order"] == o]) for o in (1, 2) for c in ("kept", "both")}
-        for row in left.to_pylist():
-            b = Block(row)
-            single = {c: counts[1, c][b.single] for c in ("kept", "both")}
-            before, after, now = (x[b.part == DELETED] for x in _estimates(b, single["kept"].astype(float), counts[2, "kept"].astype(float)))
-            cells = np.stack((bucket(before), np.where(after > 0, fine(after), 1), np.where(now > 0, fine(now), -1)))
-            found, n = np.unique(cells, axis=1, return_counts=True)
-            out.append({**{c: row[c] for c in ("block", "keys", "parts", "sizes", "stream", "words")}, "one": pack(single["both"]), "two": pack(counts[2, "both"]),
-                        "cells": pa_rows(found, n), **totals})
-        return pa.Table.from_pylist(out, schema=pa.schema([
-            ("block", pa.string()), ("keys", left.schema.field("keys").type), *[(c, pa.binary()) for c in ("parts", "sizes", "stream", "words", "one", "two")],
-            ("cells", pa.list_(pa.list_(pa.int64()))), *[(c, pa.int64()) for c in totals]]))
-
-    return run
+    before[ends - sizes] = now[ends - 1]  # documents begin as often as they end
+    return before, pair / np.maximum(before, 1)
+
+
+def _merge(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Counts of a block's tokens and pairs in the order of its text, from the answers, and the histogram of
+    its deleted tokens for the weights."""
+    out = []
+    answers = sorted(right.to_pylist(), key=lambda r: (r["order"], r["range"]))
+    totals = {c: sum(r[c] for r in answers) for c in ("distinct", "total", "kept_distinct", "kept_total")}
+    counts = {(o, c): np.concatenate([unpack(r[c]) for r in answers if r["order"] == o]) for o in (1, 2) for c in ("both", "deleted")}
+    for row in left.to_pylist():
+        b = Block(row)
+        now, pair = (counts[o, "both"][token] for o, (_, token) in b.grams.items())
+        kept = [(counts[o, "both"] - counts[o, "deleted"])[token].astype(float) for o, (_, token) in b.grams.items()]
+        before, after = _estimates(*kept, b.sizes)
+        cells = np.stack((bucket(before), np.where(after > 0, fine(after), 1), np.where(kept[0] > 0, fine(kept[0]), -1)))[:, b.part == DELETED]
+        found, n = np.unique(cells, axis=1, return_counts=True)
+        out.append({**{c: row[c] for c in ("keys", "parts", "sizes")}, "now": pack(now), "pair": pack(pair), "cells": pa_rows(found, n), **totals})
+    return pa.Table.from_pylist(out, schema=pa.schema([
+        ("keys", left.schema.field("keys").type), *[(c, pa.binary()) for c in ("parts", "sizes", "now", "pair")],
+        ("cells", pa.list_(pa.list_(pa.int64()))), *[(c, pa.int64()) for c in totals]]))
 
 
 def pa_rows(cells: np.ndarray, n: np.ndarray) -> list[list[int]]:
@@ -230,19 +229,20 @@ def weights(cells: np.ndarray, total: int, distinct: int, rounds: int = ROUNDS)
     return lam
 
 
-def _scores(lam: np.ndarray, total: int, distinct: int, key_type: str):
+def _scores(lam: np.ndarray, total: int, distinct: int):
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row)
-                before, after, now = _estimates(b, unpack(row["one"]).astype(float), unpack(row["two"]).astype(float))
+                parts, sizes, now, pair = (unpack(row[c]) for c in ("parts", "sizes", "now", "pair"))
+                now, starts = now.astype(float), np.cumsum(sizes) - sizes
+                before, after = _estimates(now, pair.astype(float), sizes)
                 mix = lam[bucket(before)]
                 p = mix[:, 0] * after + mix[:, 1] * now / max(total, 1) + mix[:, 2] / (distinct + 1)
                 base = np.log10((now + ADD) / (total + ADD * (distinct + 1)))
-                add = lambda x: np.add.reduceat(x, b.starts)
+                add = lambda x: np.add.reduceat(x, starts)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(b.keys, batch.schema.field("keys").type.value_type), pa.array(b.parts == HELD), pa.array(b.sizes), pa.array(add((now > 0).astype(np.int64))),
-                    pa.array(np.full(len(b.sizes), total, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))],
+                    pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(parts == HELD), pa.array(sizes), pa.array(add((now > 0).astype(np.int64))),
+                    pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))],
                     names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
@@ -260,14 +260,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: int
     n_blocks = cut.count()
     bits = max(0, math.ceil(math.log2(max(n_blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
     asked = cut.mapInArrow(_requests(bits), "order int, range int, block string, first binary, kept binary, deleted binary")
-    told = asked.groupBy("order", "range").applyInArrow(_answer, "block string, order int, range int, kept binary, both binary, distinct long, total long, kept_distinct long, kept_total long")
+    told = asked.groupBy("order", "range").applyInArrow(_answer, "block string, order int, range int, both binary, deleted binary, distinct long, total long, kept_distinct long, kept_total long")
     both = stage(cut.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(
-        _merge(kind), f"block string, keys array<{kind}>, parts binary, sizes binary, stream binary, words binary, one binary, two binary, "
-                      "cells array<array<bigint>>, distinct long, total long, kept_distinct long, kept_total long"), "lm-counts")
+        _merge, f"keys array<{kind}>, parts binary, sizes binary, now binary, pair binary, cells array<array<bigint>>, "
+                "distinct long, total long, kept_distinct long, kept_total long"), "lm-counts")
     totals = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("distinct", "total", "kept_distinct", "kept_total")]).first()
     cells = (both.select(F.explode("cells").alias("c")).groupBy(*[F.col("c")[i].alias(f"c{i}") for i in range(3)])
              .agg(F.sum(F.col("c")[3]).alias("n")).toPandas().to_numpy())  # cells are logarithms: their number has a bound
     lam = weights(cells, totals.kept_total, totals.kept_distinct)
-    return both.select("block", "keys", "parts", "sizes", "stream", "words", "one", "two").mapInArrow(
-        _scores(lam, totals.total, totals.distinct, kind),
+    return both.select("keys", "parts", "sizes", "now", "pair").mapInArrow(
+        _scores(lam, totals.total, totals.distinct),
         f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("key", key)
