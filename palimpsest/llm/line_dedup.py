@@ -5,8 +5,9 @@ together hold ``min_words`` words, cut as short as possible. Such a run is rare
 every shared block of ``min_words`` words or more begins with one. Each document is paired with the earliest
 holder of each of its shared runs (never all holders with each other), rarest run first. The pair's line
 sequences are aligned with patience diff, and aligned common blocks of at least ``min_words`` words are
-deleted from the later document. What is left of it is aligned again, so that blocks in another order are
-found too.
+deleted from the later document. What is left of it is aligned again, and where that yields no block, runs
+of ``min_words`` words that stand elsewhere in the earlier document are looked up, so that blocks in another
+order are found too.
 
 By induction over the order of documents a copy of every deleted line stays in an earlier document.
 """
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -124,8 +126,63 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shared_runs(early: list, late: list, words: list, free: list, min_words: int) -> list[int]:
+    """Positions of the later document's free lines that lie in a run of at least ``min_words`` words that
+    stands anywhere in the earlier one. Linear: the longest match that ends at each line, by a suffix automaton."""
+    known, most, total = set(early), 0, 0
+    for x, w, ok in zip(late, words, free):
+        total = total + w if ok and x in known else 0
+        most = max(most, total)
+    if most < min_words:
+        return []
+    wanted = {x for x, ok in zip(late, free) if ok}
+    step, link, length, last = [{}], [-1], [0], 0
+    for i, x in enumerate(early):
+        if x not in wanted:
+            if i and early[i - 1] not in wanted:
+                continue
+            x = None  # no match goes over it
+        new, p = len(step), last
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[q] != length[p] + 1:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q] = q = copy
+            link[new] = q
+        last = new
+    sums, starts, state, n = [0, *accumulate(words)], [], 0, 0
+    for j, (x, ok) in enumerate(zip(late, free)):
+        while state and not (ok and x in step[state]):
+            state = link[state]
+            n = length[state]
+        if ok and x in step[state]:
+            state, n = step[state][x], n + 1
+        starts.append(j + 1 - n if sums[j + 1] - sums[j + 1 - n] >= min_words else j + 1)
+    out, begin = [], len(late)
+    for j in range(len(late) - 1, -1, -1):
+        begin = min(begin, starts[j])
+        if begin <= j:
+            out.append(j)
+    return out[::-1]
+
+
 def common_blocks(early: list, late: list, words: list, free: list, min_words: int) -> list[int]:
-    """Positions of the later document's free lines that lie in aligned common blocks; they stop being free."""
+    """Positions of the later document's free lines that lie in aligned common blocks; they stop being free.
+
+    Where the alignment, whose chain weighs lines by number, leaves runs of ``min_words`` in another order,
+    these are looked up and taken too, until none is left."""
     taken: list[int] = []
     while True:
         left = [j for j, ok in enumerate(free) if ok]
@@ -137,6 +194,8 @@ def common_blocks(early: list, late: list, words: list, free: list, min_words: i
                     new += [q for _, q in block]
                 block = []
             block.append((i, j))
+        if not new:
+            new = shared_runs(early, late, words, free, min_words)
         if not new:
             return taken
         taken += new

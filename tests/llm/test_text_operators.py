@@ -231,6 +231,29 @@ def test_a_copy_of_every_deleted_line_stays_earlier(spark):
             assert not any(line in earlier for line in left if len(line) > 40 for earlier in [set(x for k in range(i) for x in got[k].split("\n"))])
 
 
+def test_blocks_in_another_order_go_whatever_the_short_lines(spark):
+    short = [f"short {i}" for i in range(9)]
+    rows = [(1, "\n".join([LONG[0], "licence"])), (2, "\n".join(["licence", LONG[0]])), (3, "\n".join(["note", LONG[1]])), (4, "\n".join([LONG[1], "note"])),
+            (5, "\n".join([LONG[2], LONG[3], *short])), (6, "\n".join([*short, LONG[2], LONG[3]]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "licence", 3: rows[2][1], 4: "note", 5: rows[4][1], 6: "\n".join(short)}
+
+
+def test_no_shared_run_is_left_after_an_alignment():
+    rng = random.Random(12)
+    for _ in range(4000):
+        top = rng.randrange(2, 12)
+        early, late = ([rng.randrange(top) for _ in range(rng.randrange(14))] for _ in range(2))
+        weight = [rng.randrange(1, 12) for _ in range(top)]
+        words, free = [weight[x] for x in late], [True] * len(late)
+        taken = line_dedup.common_blocks(early, late, words, free, 20)
+        assert sorted(taken) == [j for j, ok in enumerate(free) if not ok] and all(late[j] in early for j in taken)
+        inside = {tuple(early[i:k]) for i in range(len(early)) for k in range(i + 1, len(early) + 1)}
+        for i in range(len(late)):
+            for k in range(i + 1, len(late) + 1):
+                assert not (all(free[i:k]) and sum(words[i:k]) >= 20 and tuple(late[i:k]) in inside)
+
+
 def test_line_dedup_of_nothing(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
