@@ -211,3 +211,48 @@ def test_pipeline_by_brute_force(spark):
         docs = out
     whole = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, SF).collect()}
     assert whole == {i: r.n_tokens for i, r in rows.items()}
+
+
+def test_near_dedup_stage_by_brute_force(spark):
+    """Classes by 5-word Jaccard of 0.8 or more: pairs far apart in SimHash bits, a large group of near copies,
+    repeated and null ids; of each class the first row stays."""
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for i in range(120):
+        base = [word() for _ in range(rng.randrange(3, 200))]
+        rows.append((3 * i, " ".join(base)))
+        for k in range(rng.randrange(3)):
+            copy = [w if rng.random() > 0.02 * (k + 1) else word() for w in base]
+            rows.append((rng.choice([3 * i + 1 + k, 3 * i, None]), " ".join(copy)))
+    group = [word() for _ in range(120)]
+    rows += [(2000 + i, " ".join(group[:i] + ["changed"] + group[i + 1:])) for i in range(120)]
+    rows += [(None, "same text"), (None, "Same  text"), (5000, None), (5001, ""), (5002, " \n"), (7, "one of two texts"), (7, "that share a key")]
+    sets = []
+    for _, t in rows:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    low = list(range(len(rows)))
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                low[max(root(i), root(j))] = min(root(i), root(j))
+    classes = {}
+    for i in range(len(rows)):
+        classes.setdefault(root(i), []).append(i)
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, other int")
+    out = corpus_pipeline.near_dedup(spark, frame, SF)
+    assert out.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert len(got) == len(classes) < len(rows) - 150
+    where = {r: i for i, r in enumerate(rows)}
+    assert len({root(where[r]) for r in got}) == len(got)
+    first = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    for r in got:
+        assert first(where[r]) == min(map(first, classes[root(where[r])]))
+    assert corpus_pipeline.near_dedup(spark, frame.limit(0), SF).count() == 0
