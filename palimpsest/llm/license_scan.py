@@ -6,7 +6,9 @@ licence families and an unknown class. The model is trained here: on variations
 (words dropped, replaced or added around) against a bounded sample of corpus paragraphs and against shuffled
 notices. A temperature fitted on held-out variations and paragraphs calibrates the probabilities, so that
 the unknown class can be trusted. A predicted family is confirmed by comparing the paragraph with the
-family's templates; what is not confirmed is unknown.
+family's templates; what is not confirmed is unknown. In a paragraph longer than a template, windows of the
+template's length that hold one of its word pairs are classified and confirmed the same way, so a notice
+counts wherever it stands.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import random
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -90,19 +93,61 @@ class Model:
         k = int(p.argmax())
         return self.families[k], float(p[k])
 
-    def notice(self, paragraph: bytes, p_least: float, s_least: float) -> tuple[str, float, float] | None:
-        """Family, probability and similarity of a confirmed notice. Paragraphs without two neighbouring words
-        of a notice can't be confirmed and are passed over."""
-        tokens = words(paragraph)
-        index = self.index
-        if not any(a in index and b in index and a + b" " + b in index for a, b in zip(tokens, tokens[1:])):
-            return None
+    def judge(self, tokens: list[bytes], p_least: float, s_least: float) -> tuple[str, float, float] | None:
+        """Family, probability and similarity, where a family is predicted and confirmed."""
         family, p = self.classify(tokens)
         if family == UNKNOWN or p < p_least:
             return None
         s = similarity(tokens, self.templates[family])
         return (family, p, s) if s >= s_least else None
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each template its words, its different n-grams, and which columns it holds (the last: none)."""
+        every = sorted({tuple(t) for ts in self.templates.values() for t in ts})
+        holds = np.zeros((len(every), len(self.index) + 1), bool)
+        for k, t in enumerate(every):
+            holds[k, [self.index[g] for g in grams(list(t))]] = True
+        return np.array([len(t) for t in every]), holds.sum(axis=1), holds
+
+    def windows(self, tokens: list[bytes], s_least: float) -> list[tuple[int, int]]:
+        """Start and end of the windows of a template's length in a longer paragraph that may be similar to it:
+        all that hold one of its bigrams, but for those that hold too few of its n-grams to reach ``s_least``."""
+        index, out = self.index, set()
+        lengths, sizes, holds = self.table
+        one = np.array([index.get(t, -1) for t in tokens])
+        two = np.array([index.get(a + b" " + b, -1) for a, b in zip(tokens, tokens[1:])])
+        own = sorted({*one.tolist(), *two.tolist()})
+        for k in np.nonzero((holds[:, own].sum(axis=1) >= s_least * sizes) & (lengths > 1) & (lengths < len(tokens)))[0]:
+            n = int(lengths[k])
+            hits = [np.concatenate(([0], np.cumsum(holds[k, x]))) for x in (one, two)]
+            pairs = hits[1][n - 1:] - hits[1][: len(hits[1]) - n + 1]
+            every = hits[0][n:] - hits[0][:-n] + pairs
+            out.update((int(i), int(i) + n) for i in np.nonzero((pairs > 0) & (every >= s_least * sizes[k]))[0])
+        return sorted(out)
+
+    def notices(self, paragraph: bytes, p_least: float, s_least: float) -> list[tuple[str, float, float]]:
+        """Family, probability and similarity of the confirmed notices of a paragraph, one of each family: the
+        paragraph as a whole and windows of it, of overlapping ones the most similar. Paragraphs without two
+        neighbouring words of a notice can't be confirmed and are passed over."""
+        tokens = words(paragraph)
+        index = self.index
+        if not any(a in index and b in index and a + b" " + b in index for a, b in zip(tokens, tokens[1:])):
+            return []
+        whole = self.judge(tokens, p_least, s_least)
+        judged = [(w, self.judge(tokens[w[0]:w[1]], p_least, s_least)) for w in self.windows(tokens, s_least)]
+        taken: list[tuple[tuple[int, int], tuple[str, float, float]]] = []
+        for (i, j), hit in sorted(((w, h) for w, h in judged if h), key=lambda x: (-x[1][2], -x[1][1], x[0])):
+            if all(j <= p or q <= i for (p, q), _ in taken):
+                taken.append(((i, j), hit))
+        if whole:  # another family counts where the paragraph without it is still a notice of the first
+            taken = [(w, h) for w, h in taken if h[0] == whole[0] or (self.judge(tokens[:w[0]] + tokens[w[1]:], p_least, s_least) or whole[1:])[0] == whole[0]]
+        best = {whole[0]: whole} if whole else {}
+        for _, hit in taken:
+            best.setdefault(hit[0], hit)
+        at = {h[0]: w for w, h in reversed(taken)}
+        return sorted(best.values(), key=lambda h: at.get(h[0], (0, 0)))
+
 
 def variations(templates: dict[str, tuple[str, ...]], noise: list[list[bytes]], each: int, rng: random.Random):
     """Notices with words dropped, replaced or added at the ends, and their shuffled words as unknown."""
@@ -151,6 +196,11 @@ def fit(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...
     noise = [t for t in noise if t]
     rng = random.Random(seed)
     rows = [*variations(templates, noise, 24, rng), *[(t, UNKNOWN) for t in noise]]
+    lengths = sorted({len(t) for ts in known.values() for t in ts})
+    for t in noise:  # windows of prose, as a scan of long paragraphs meets them
+        n = rng.choice(lengths)
+        i = rng.randrange(max(1, len(t) - n + 1))
+        rows.append((t[i:i + n], UNKNOWN))
     rng.shuffle(rows)
     index = {g: i for i, g in enumerate(sorted({g for ts in known.values() for t in ts for g in grams(t)}))}
     families = [UNKNOWN, *templates]
@@ -179,7 +229,7 @@ def fit(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...
 
 def notices(docs: DataFrame, model: Model, text: str = "text", p_least: float = 0.5, s_least: float = 0.4) -> DataFrame:
     """The documents without their text, with ``n_paragraphs`` and ``notices``: line (from 1), family,
-    probability and similarity of each confirmed notice. No shuffle."""
+    probability and similarity of each confirmed notice, one of a family per line. No shuffle."""
     kept = [f for f in docs.schema.fields if f.name not in ("n_paragraphs", "notices", text)]
     item = pa.struct([("line", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
 
@@ -189,8 +239,8 @@ def notices(docs: DataFrame, model: Model, text: str = "text", p_least: float =
             for value in column_values(batch, "__text"):
                 lines = (value or b"").split(b"\n")
                 n.append(sum(1 for x in lines if x.strip()))
-                hits = ((i, model.notice(x, p_least, s_least)) for i, x in enumerate(lines, 1))
-                found.append([dict(zip(("line", "family", "probability", "similarity"), (i, *h))) for i, h in hits if h])
+                hits = ((i, h) for i, x in enumerate(lines, 1) for h in model.notices(x, p_least, s_least))
+                found.append([dict(zip(("line", "family", "probability", "similarity"), (i, *h))) for i, h in hits])
             yield with_columns(batch, ("__text",), n_paragraphs=pa.array(n, pa.int64()), notices=pa.array(found, pa.list_(item)))
 
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], as_bytes(f"`{text}`").alias("__text"))

@@ -80,6 +80,25 @@ def test_notices_are_found_and_prose_is_not(spark):
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_notices_inside_long_lines_are_found(spark):
+    rng = random.Random(14)
+    vocab = ["".join(rng.choices("klmnopqr", k=6)) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    inside = lambda *notices: " ".join([prose(100), *[f"{n} {prose(100)}" for n in notices]])
+    own = [(f, t) for f, ts in license_scan.TEMPLATES.items() for t in ts]
+    texts = [(i, inside(t)) for i, (_, t) in enumerate(own)]
+    texts += [(1000, prose(40) + " All rights reserved."), (1001, inside("Released under the MIT License.", "Licensed under CC BY-NC 4.0.")),
+              (1002, inside("it was released under the old bridge to any person")), (1003, "Released under the MIT License."),
+              (1004, "Released under the MIT License. All rights reserved."), (1005, "Licensed under the GNU Lesser General Public License, version 2.1.")]
+    texts += [(2000 + i, prose(200)) for i in range(40)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, (family, text) in enumerate(own):
+        assert got[i].families == [family], text
+    assert got[1000].families == ["proprietary"] and got[1001].families == ["cc-by-nc", "mit"] and got[1002].families == [] and got[1003].families == ["mit"]
+    assert got[1004].families == ["mit", "proprietary"] and got[1005].families == ["lgpl"]
+    assert not any(got[2000 + i].families for i in range(40))
+
+
 # chat
 
 def test_snapshots_collapse(spark):
