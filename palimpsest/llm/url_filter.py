@@ -30,19 +30,38 @@ BAD = ("spam farm", "cheap pills", "casino bonus", "free viagra", "best poker",
        "payday loans", "replica watches", "click ads", "crypto doubler", "slots jackpot", "xxx videos", "warez cracks",
        "seo links", "pills online", "spam links", "cheap replica", "casino win", "free bets", "adult x", "ads track")
 GOOD = ("blog", "news", "science", "library", "museum", "weather", "travel", "kitchen", "garden", "history", "music", "school",
-        "university", "health", "city", "forum", "docs", "wiki", "archive", "review", "ththan", "tionsh", "thernd", "therou", "ththble",
-        "thether", "ththing", "erthon", "whather", "nderth")
+        "university", "health", "city", "forum", "docs", "wiki", "archive", "review", "market", "design", "finance", "theatre", "farm",
+        "photo", "bakery", "river", "mountain", "village", "tools", "papers")
+#: Hosts that tell nothing, and words of ordinary paths, for rows whose path decides.
+NEUTRAL = ("site", "page", "host", "server", "portal", "domain", "place", "node", "local", "main", "some-name", "first-page", "my-home", "the-net")
+PAGES = ("about", "contact", "article", "articles", "news", "history", "music", "garden chairs", "install", "docs", "index.html", "search", "category",
+         "products", "shop", "help", "terms", "privacy", "archive", "events", "people", "research", "report", "map", "recipes", "apply", "login", "download")
 
 
 def labelled(spark: SparkSession) -> DataFrame:
-    """``(url, label)``: the small table for training, 1 is unwanted. Each host comes with the same ends and
-    paths on both sides, so that neither tells anything."""
-    rows = []
+    """``(url, label)``: the small table for training, 1 is unwanted. First rows whose host decides: each host
+    comes with the same ends and paths on both sides, so that neither tells anything. Then rows whose path
+    decides, on neutral and on ordinary hosts, which come with the same ends on both sides too. An unwanted
+    host stays unwanted whatever its path."""
+    rows, ends = [], (("", "com"), ("www.", "org"), ("m.", "net"), ("blog.", "example.com"), ("", "example.org"), ("www.", "example.net"))
     for words, label in ((BAD, 1), (GOOD, 0)):
         for i, w in enumerate(words):
-            for k, (front, end) in enumerate((("", "com"), ("www.", "org"), ("m.", "net"), ("blog.", "example.com"), ("", "example.org"), ("www.", "example.net"))):
+            for k, (front, end) in enumerate(ends):
                 lang, page = ("en", "de", "fr", "es")[(i + k) % 4], 7 * i + 131 * k
                 rows.append((f"https://{front}{w.replace(' ', '-')}.{end}/{lang}/{page}", label))
+    for words, label in ((BAD, 1), (PAGES, 0)):
+        for i, w in enumerate(words):
+            for k, (front, end) in enumerate(ends):
+                lang, page, name = ("en", "de", "fr", "es")[(i + k) % 4], 7 * i + 131 * k, w.replace(" ", "-_"[k % 2])
+                way = (f"/{name}", f"/{lang}/{name}/{page}", f"/{PAGES[(5 * i + k) % len(PAGES)].replace(' ', '-')}/{name}", f"/{lang}/{name}.html", f"/{name}/{page}", f"/{lang}/{name}")[k]
+                for hosts in (NEUTRAL, GOOD):
+                    rows.append((f"https://{front}{hosts[(i + 3 * k) % len(hosts)]}.{end}{way}", label))
+    for i, w in enumerate(BAD):
+        for k, (front, end) in enumerate(ends[:3]):
+            rows.append((f"https://{front}{w.replace(' ', '-')}.{end}/{PAGES[(i + 7 * k) % len(PAGES)].replace(' ', '-')}", 1))
+    for i, w in enumerate(NEUTRAL):
+        for k, (front, end) in enumerate(ends):
+            rows.append((f"https://{front}{w}.{end}/{('en', 'de', 'fr', 'es')[(i + k) % 4]}/{7 * i + 131 * k}", 0))
     return spark.createDataFrame(rows, "url string, label int")
 
 

@@ -62,6 +62,16 @@ def test_url_model_on_words_it_was_not_shown(spark):
     assert np.mean([(r.verdict == "block") == bool(r.y) for r in rows]) > 0.8
 
 
+def test_url_paths_count_on_hosts_that_were_not_shown(spark):
+    hosts = ["some-site.org", "portal.example.edu", "bakery-lane.com", "www.quiet-lake.info", "tools.qrst.io", "m.papers.example.org"]
+    bad = ["/casino-bonus/cheap-pills", "/en/free-viagra/77", "/de/online-casino/12", "/shop/cheap_replica_watches.html", "/fr/xxx-videos", "/payday-loans/apply"]
+    good = ["/about/contact", "/en/history-of-music/77", "/de/article/12", "/shop/garden_chairs.html", "/fr/news", "/docs/install/apply", "/", "", "/en/4711"]
+    rows = [(f"https://{h}{p}", int(p in bad)) for h in hosts for p in bad + good]
+    got = url_filter.verdicts(spark.createDataFrame(rows, "url string, y int"), rules=()).collect()
+    for y in (0, 1):
+        assert np.mean([(r.verdict == "block") == bool(r.y) for r in got if r.y == y]) > 0.95, [(r.host, r.path, r.p_block) for r in got if (r.verdict == "block") != bool(r.y)]
+
+
 # license scan
 
 def test_notices_are_found_and_prose_is_not(spark):
