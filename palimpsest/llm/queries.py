@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chat, decontaminate, license_scan, line_dedup, lm, simhash, topk, toxicity, url_filter
+from palimpsest.llm import bpe, centroids, chat, decontaminate, license_scan, line_dedup, lm, neighbours, simhash, topk, toxicity, url_filter, whitening
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,4 +70,21 @@ def op10_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load(spark))
 
 
-ORACLE_SQL = {"op2_decontamination": decontaminate.SQL, "op5_chat_format": chat.SQL, "op9_top_k": topk.SQL}
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op12_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op13_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+ORACLE_SQL = {"op2_decontamination": decontaminate.SQL, "op5_chat_format": chat.SQL, "op9_top_k": topk.SQL,
+              "op12_centroids": centroids.SQL}
