@@ -1,13 +1,18 @@
-"""Near duplicates by the exact Jaccard similarity of sets of word shingles.
+"""Near duplicates: SimHash links, completed by an exact join of sets of word shingles.
 
-Candidates are sets that agree in a band: ``ROWS`` minima of the set under hash functions of its own. Sets of
-similarity s share none of ``BANDS`` bands with probability ``(1 - s^ROWS)^BANDS``, 1e-11 at 0.8. Similarity
-is then counted on the whole sets, so nothing below the bound is linked.
+Documents whose fingerprints are within a few bits are linked by the operator of ``simhash``, if their sets of
+shingles are as similar as asked: texts that share most words but not most runs may have near fingerprints.
+SimHash misses many pairs that share 0.8 or more of their shingles, so these are then found by prefix
+filtering: the shingles of a set are ordered from rare to common, and two sets of similarity s must share one of the first
+``n - ceil(s n) + 1``. Shared boilerplate is common, so it stands behind the prefix and is no join key. Each
+such pair is bounded by lengths and positions and counted on the whole sets.
 
-Texts with equal sets are one node. The members of a band's run are first linked to a few neighbours in an
-order of the band's own, so that a large group of near copies becomes one class from few pairs per member;
-after that only members of different classes are compared, each with each. A run of many sets that agree in
-a band but are not similar costs the square of its length.
+How common a shingle is comes from a table of counters (its size is fixed) over all documents. Counters may
+be too high where shingles share one; the order is the same for all sets, so the join stays exact.
+
+Texts with equal sets are one node. Only nodes of different classes are compared. Members of a shingle's run
+are first compared with a few others, in rounds of another order each, and what is alike becomes one class,
+so a large group of near copies takes few pairs per member; what is then left in a run is compared in full.
 """
 
 from __future__ import annotations
@@ -15,24 +20,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import Batches, as_bytes, column_values, slices, with_columns
+from palimpsest.llm import simhash
+from palimpsest.llm.common import Batches, as_bytes, column_values, slices, union_all, with_columns
 from palimpsest.llm.components import components
 from palimpsest.session import stage
 
-WORDS, LEAST = 5, 0.8
-BANDS, ROWS, SEED = 48, 4, 42
-NEIGHBOURS = 3
-PIECE = 512  # shingles whose values under all hash functions are held at a time
-
-_RNG = np.random.default_rng(SEED)
-_XOR, _ODD = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-_ODD |= np.uint64(1)
-_MIX = _RNG.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
-_BAND = _RNG.integers(0, 1 << 64, BANDS, np.uint64)
+WORDS, LEAST, SEED = 5, 0.8, 42
+NEIGHBOURS, ROUNDS = 3, 8
+CELLS, CHUNKS, TOGETHER = 21, 32, 32  # counters (bits), pieces they travel in, pieces added by a task
 
 
 def shingles(text: bytes | None, n: int = WORDS) -> np.ndarray:
@@ -51,30 +51,74 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One value per band; none for an empty set."""
-    if not len(hashes):
-        return hashes
-    low = np.full(BANDS * ROWS, ~np.uint64(0))
-    for i in range(0, len(hashes), PIECE):
-        low = np.minimum(low, ((hashes[i:i + PIECE, None] ^ _XOR) * _ODD).min(axis=0))
-    return (low.reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) ^ _BAND
-
-
 def _signed(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
 def _sketched(source: DataFrame, words: int) -> DataFrame:
-    """``node`` (hash of the set), ``n`` (its size) and ``bands`` in place of the text. No shuffle."""
+    """``node`` (hash of the set), ``n`` (its size) and ``fp`` (fingerprint) in place of the text; and from
+    each task its counters, in rows of their own with ``chunk``. No shuffle."""
+    kept = [f for f in source.schema.fields if f.name != "text"]
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept], *[T.StructField(c, T.LongType()) for c in ("node", "n", "fp")], T.StructField("part", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+
     def run(batches: Batches) -> Batches:
+        total, types = np.zeros(1 << CELLS, np.uint32), None
+        none = lambda n, kind: pa.nulls(n, kind)
         for batch in slices(batches, 500):
-            sets = [shingles(t, words) for t in column_values(batch, "text")]
+            texts = column_values(batch, "text")
+            sets = [shingles(t, words) for t in texts]
+            for s in sets:
+                np.add.at(total, _cells(s), 1)
+            types = [batch.schema.field(f.name).type for f in kept]
             yield with_columns(batch, ("text",), node=pa.array(_signed([node_of(s) for s in sets])), n=pa.array([len(s) for s in sets], pa.int64()),
-                               bands=pa.array([_signed(bands(s)) for s in sets], pa.list_(pa.int64())))
+                               fp=pa.array(_signed([simhash.fingerprint(t, words) for t in texts])), part=none(len(sets), pa.int32()), chunk=none(len(sets), pa.int32()), counts=none(len(sets), pa.binary()))
+        if types:
+            pieces = [p.tobytes() for p in np.minimum(total, 65535).astype(np.uint16).reshape(CHUNKS, -1)]
+            columns = [none(CHUNKS, t) for t in types] + [none(CHUNKS, pa.int64())] * 3
+            columns += [pa.array(np.full(CHUNKS, TaskContext.get().partitionId()), pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
-    kept = [f for f in source.schema.fields if f.name != "text"]
-    return source.mapInArrow(run, T.StructType([*kept, T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+    return source.mapInArrow(run, schema)
+
+
+def _added(group: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, np.uint16).astype(np.uint32) for c in group.column("counts").to_pylist())
+    return pa.table({"part": group.column("to")[:1], "chunk": group.column("chunk")[:1], "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()])})
+
+
+def counters(pieces: DataFrame) -> np.ndarray:
+    """The sum of the tasks' counters, a few at a time; what comes to the driver has a fixed size (4 MB)."""
+    last = pieces.agg(F.max("part")).first()[0]
+    while last:
+        pieces = stage(pieces.withColumn("to", F.floor(F.col("part") / TOGETHER).cast("int")).groupBy("chunk", "to").applyInArrow(_added, "part int, chunk int, counts binary"), "near-counts")
+        last //= TOGETHER
+    found = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in pieces.select("chunk", "counts").collect()}
+    return np.concatenate([found[i] for i in range(CHUNKS)]) if found else np.zeros(1 << CELLS, np.uint16)
+
+
+def _prefixes(texts: DataFrame, counts: np.ndarray, least: float, words: int) -> DataFrame:
+    """``token, at, node, n``: the rare first shingles of each set with their places. A shingle whose counter is
+    one occurs nowhere else and is left out."""
+    held = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Batches) -> Batches:
+        counts = held.value
+        for batch in slices(batches, 200):
+            out = []
+            for node, text in zip(column_values(batch, "node"), column_values(batch, "text")):
+                hashes = shingles(text, words)
+                n, common = len(hashes), counts[_cells(hashes)]
+                order = np.lexsort((hashes, common))[:n - int(np.ceil(least * n - 1e-9)) + 1]
+                order, at = order[common[order] > 1], np.nonzero(common[order] > 1)[0]
+                out.append((hashes[order], at, np.full(len(at), node), np.full(len(at), n)))
+            token, at, node, n = (np.concatenate(c) for c in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(token)), pa.array(at, pa.int32()), pa.array(node, pa.int64()), pa.array(n, pa.int64())], names=["token", "at", "node", "n"])
+
+    return texts.mapInArrow(run, "token long, at int, node long, n long")
 
 
 def _sets(source: DataFrame, words: int) -> DataFrame:
@@ -93,47 +137,80 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             .where(both + 1e-9 >= F.lit(least) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
 
 
-def links(nodes: DataFrame, texts, least: float = LEAST, words: int = WORDS) -> DataFrame:
-    """Links ``(a, b)`` between nodes ``(node, n, bands)`` that keep their classes whole. ``texts`` gives
+def _possible(least: float, l: str, r: str) -> Column:
+    """Whether two members of a shingle's run can be alike if it is the first that they share: the sets' sizes
+    and what follows it in both allow it."""
+    n = lambda s: F.col(f"{s}n")
+    shared = F.ceil(F.lit(least / (1 + least)) * (n(l) + n(r)) - 1e-9)
+    return F.least(n(l) - F.col(f"{l}at"), n(r) - F.col(f"{r}at")) >= shared
+
+
+def _classes(links: list[DataFrame]) -> DataFrame:
+    found = stage(union_all(links), "near-links")
+    return components(found, rows=found.count())
+
+
+def simhash_links(nodes: DataFrame, bits: int) -> DataFrame:
+    """Links ``(a, b)`` between nodes ``(node, fp)`` within so many bits: one node stands for each fingerprint."""
+    named = nodes.groupBy("fp").agg(F.min("node").alias("first"))
+    of = lambda side: named.select(F.col("fp").alias(side), F.col("first").alias(f"node_{side}"))
+    far = simhash.near_links(named.select("fp"), bits).join(of("a"), "a").join(of("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return nodes.join(named, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(far)
+
+
+def classes(nodes: DataFrame, texts, counts: np.ndarray, least: float = LEAST, words: int = WORDS, bits: int = simhash.BITS) -> DataFrame:
+    """``(node, root)`` of the nodes ``(node, n, fp)`` that are not their class's root. ``texts`` gives
     ``(node, text)`` for a table of nodes."""
-    order = Window.partitionBy("sig").orderBy(F.xxhash64("node", "sig"), "node")
-    lags = F.array(*[F.lag(F.struct("node", "n"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
-    runs = nodes.select("node", "n", F.explode("bands").alias("sig")).select("node", "n", "sig", lags.alias("near"), F.lead("node").over(order).alias("next"))
-    runs = stage(runs.where("next is not null or near[0] is not null"), "near-runs")
-    fits = lambda m, n: F.least(m, n) + 1e-9 >= F.lit(least) * F.greatest(m, n)
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    near = runs.select("node", "n", F.explode("near").alias("x")).where(F.col("x").isNotNull() & fits(F.col("n"), F.col("x.n")))
-    first = stage(near.select(*pair(F.col("node"), F.col("x.node"))).distinct(), "near-pairs")
+    near = stage(simhash_links(nodes.select("node", "fp"), bits), "near-simhash")
+    ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = [stage(_alike(near, stage(_sets(texts(ends), words), "near-sets"), least), "near-alike")]
+    roots = _classes(links)
+    postings = stage(_prefixes(texts(nodes.where("n > 0").select("node")), counts, least, words), "near-prefixes")
+
+    def opened(runs: DataFrame) -> DataFrame:
+        """Runs that hold members of several classes, with the members' roots."""
+        member = runs.select("token", "at", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = member.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        return stage(member.join(several, "token", "left_semi"), "near-runs")
+
+    runs = opened(postings)
     sets = stage(_sets(texts(runs.select("node").distinct()), words), "near-sets")
-    found = stage(_alike(first, sets, least), "near-links")
-
-    roots = components(found, rows=found.count())
-    member = runs.select("sig", "node", "n").join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_ = member.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    member = stage(member.join(open_, "sig", "left_semi"), "near-open")
-    left, right = (member.select("sig", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "lr")
-    rest = (left.join(right, "sig").where((F.col("root_l") < F.col("root_r")) & fits(F.col("n_l"), F.col("n_r")))
-            .select(*pair(F.col("node_l"), F.col("node_r"))).distinct().join(first, ["a", "b"], "left_anti"))
-    return found.unionByName(_alike(rest, sets, least))
-
-
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, words: int = WORDS) -> DataFrame:
-    """One row of each class of near duplicates, with all columns: texts reachable through pairs of
-    similarity ``least`` or more. Texts are compared without regard to the case of A-Z and to white space;
-    null and blank texts are one class.
-
-    The row that stays is the first by ``key`` (null last), then by a hash of the text, then of the row:
-    keys need be neither unique nor present. Of rows equal in all columns one stays."""
-    source = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    for turn in range(ROUNDS):
+        order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(turn)), "node")
+        others = F.array(*[F.lag(F.struct("at", "node", "n", "root"), k).over(order) for k in range(1, NEIGHBOURS + 1)])
+        near = runs.withColumn("others", others).select("at", "node", "n", "root", F.explode("others").alias("o")).where("o is not null and root <> o.root")
+        near = near.select("node", F.col("o.node").alias("other"), F.col("n").alias("l_n"), F.col("at").alias("l_at"), F.col("o.n").alias("r_n"), F.col("o.at").alias("r_at"))
+        new = stage(_alike(near.where(_possible(least, "l_", "r_")).select(*pair(F.col("node"), F.col("other"))).distinct(), sets, least), "near-alike")
+        if not new.limit(1).count():
+            break
+        links.append(new)
+        roots = _classes(links)
+        runs = opened(runs)
+    left, right = (runs.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("at", "node", "n", "root")]) for s in "lr")
+    rest = left.join(right, "token").where((F.col("l_root") < F.col("r_root")) & _possible(least, "l_", "r_"))
+    return _classes([*links, _alike(rest.select(*pair(F.col("l_node"), F.col("r_node"))).distinct(), sets, least)])
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, words: int = WORDS, bits: int = simhash.BITS) -> DataFrame:
+    """One row of each class of near duplicates, with all columns: texts reachable through pairs whose sets of
+    ``words``-word shingles have similarity ``least`` or more; ``bits`` is the distance up to which SimHash
+    proposes pairs. Texts are compared without regard to the case of A-Z and to white space; null and blank texts are one
+    class.
+
+    The row that stays is the first by ``key`` (null last), then by a hash of the text: keys need be neither
+    unique nor present. Of rows equal in all columns one stays."""
+    source = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-source")
     rank = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("uid"), F.col("__row").alias("row"))
-    printed = stage(_sketched(source.select(rank.alias("rank"), as_bytes(f"`{text}`").alias("text")), words), "near-sketches")
-    nodes = stage(printed.groupBy("node").agg(F.min("rank").alias("rank"), F.min("n").alias("n"), F.first("bands").alias("bands")), "near-nodes")
+    sketched = stage(_sketched(source.select(rank.alias("rank"), as_bytes(f"`{text}`").alias("text")), words), "near-sketches")
+    counts = counters(sketched.where("chunk is not null").select("part", "chunk", "counts"))
+    printed = sketched.where("chunk is null")
+    nodes = stage(printed.groupBy("node").agg(F.min("rank").alias("rank"), F.min("n").alias("n"), F.min("fp").alias("fp")), "near-nodes")
 
     def texts(wanted: DataFrame) -> DataFrame:
-        rows = nodes.join(wanted, "node").select(F.col("rank.row").alias("__row"), "node")
-        return source.select("__row", as_bytes(f"`{text}`").alias("text")).join(rows, "__row").dropDuplicates(["node"]).select("node", "text")
+        rows = nodes.select(F.col("rank.row").alias("__row"), "node").join(wanted, "node", "left_semi")
+        return source.select("__row", as_bytes(f"`{text}`").alias("text")).join(rows, "__row").select("node", "text")
 
-    roots = components(links(nodes.select("node", "n", "bands"), texts, least, words), rows=nodes.count())
+    roots = classes(nodes.select("node", "n", "fp"), texts, counts, least, words, bits)
     first = nodes.select("node", "rank").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
-    return source.join(first.select(F.col("rank.row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return source.join(first.select(F.col("rank.row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -70,36 +70,42 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, signs: np.ndarray, s
     segments: magnitude bits from the highest impact 2^(n-1) to 1."""
     n = len(ids)
     sign = np.where(signs, -1, 1)
-    weight = np.abs(q).sum(axis=1)
-    exact = float(weight.max(initial=0)) * float(1 << len(segments)) < 1 << 24
-    kind = np.float32 if exact else np.float64
-    acc = np.zeros((len(q), n), kind)
+    weight = np.abs(q).sum(axis=1).astype(float)
+    high = float(weight.max(initial=0)) * float(1 << len(segments))
+    kind = np.float32 if high < 1 << 24 else np.float64
+    # sums beyond the type's whole numbers are rounded: what that can amount to is left as a margin
+    slack = 0.0 if high < 1 << 53 else weight * float(1 << len(segments)) * (len(segments) + q.shape[1]) * 2.0 ** -50
+    acc = np.where(ids[None] == q_ids[:, None], kind(-np.inf), kind(0))  # rows of the query's own key can't win
     going, query = np.arange(len(q)), q.astype(kind)
     members: dict[int, np.ndarray] = {}
-    x = sum((s.astype(np.int64) << (len(segments) - 1 - i) for i, s in enumerate(segments)), np.zeros((n, q.shape[1]), np.int64)) * sign
-    kth = min(k + 1, n)  # one more, as the query itself may be in the block
+    kth = min(k, n)
     for i, segment in enumerate(segments):
         impact = 1 << (len(segments) - 1 - i)
         acc[going] += query[going] @ (segment * sign).astype(kind).T * kind(impact)
-        rest = weight[going] * (impact - 1)
+        rest = (weight * (impact - 1) + slack)[going]
         bar = np.partition(acc[going], n - kth, axis=1)[:, n - kth] - 2.0 * rest
         possible = acc[going] >= bar[:, None]
         done = possible.sum(axis=1) * FEW <= n
-        for j in np.nonzero(done)[0]:
+        for j in np.nonzero(done | (impact == 1))[0]:
             members[int(going[j])] = np.nonzero(possible[j])[0]
         going = going[~done]
         if not len(going):
             break
+
+    def rows(at: np.ndarray) -> np.ndarray:
+        """The vectors of the possible members, put together from all segments."""
+        x = np.zeros((len(at), q.shape[1]), np.int64)
+        for segment in segments:
+            x = (x << 1) + segment[at]
+        return x * sign[at]
+
     out = []
     for j in range(len(q)):
-        at = members.get(j)
-        if at is None:  # all segments were added: accumulators of the possible members decide
-            bar = np.partition(acc[j], n - kth)[n - kth]
-            at = np.nonzero(acc[j] >= bar)[0] if segments else np.arange(n)
+        at = members.get(j, np.arange(n))
         at = at[ids[at] != q_ids[j]]
         if not len(at):
             continue
-        score = x[at] @ q[j]
+        score = rows(at) @ q[j]
         top = np.lexsort((ids[at], -score))[:k]
         out.append((np.full(len(top), q_ids[j]), ids[at][top], score[top]))
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
@@ -120,7 +126,9 @@ def _search(dims: int, k: int):
 
 def search(table: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest integer inner products with all vectors but
-    its own key's, ties to the smaller key; all, if there are fewer.
+    its own, ties to the smaller key; all, if there are fewer. Every row that carries the query's key is taken
+    for its own; a key that occurs on several vectors asks with each of them, and their hits are ranked
+    together.
 
     Vectors that are null or hold null or non-finite components take no part; missing components count as
     zero; repeated rows count once. Scores wrap beyond 64 bits. Query blocks meet index blocks in a grid,

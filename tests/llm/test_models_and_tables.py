@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from palimpsest.llm import chat, components, license_scan, topk, toxicity, url_filter
+from palimpsest.llm import chat, components, license_scan, near_dedup, topk, toxicity, url_filter
 from palimpsest.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -243,8 +243,8 @@ def test_pipeline_by_brute_force(spark):
 
 
 def test_near_dedup_stage_by_brute_force(spark):
-    """Classes by 5-word Jaccard of 0.8 or more: pairs far apart in SimHash bits, a large group of near copies,
-    repeated and null ids; of each class the first row stays."""
+    """Classes by 5-word Jaccard of 0.8 or more: pairs far apart in SimHash bits, a large
+    group of near copies, repeated and null ids; of each class the first row stays."""
     rng = random.Random(13)
     word = lambda: f"w{rng.randrange(5000)}"
     rows = []
@@ -285,3 +285,19 @@ def test_near_dedup_stage_by_brute_force(spark):
     for r in got:
         assert first(where[r]) == min(map(first, classes[root(where[r])]))
     assert corpus_pipeline.near_dedup(spark, frame.limit(0), SF).count() == 0
+
+
+def test_boilerplate_makes_no_pairs_and_a_map_column_is_kept(spark, monkeypatch):
+    """Texts that share most of their words but are not near copies are not compared with each other: the
+    candidates grow with the texts, not with their square."""
+    rng = random.Random(5)
+    frame = ["page", *[f"menu{i}" for i in range(60)]]
+    compared = []
+    alike = near_dedup._alike
+    monkeypatch.setattr(near_dedup, "_alike", lambda pairs, *a: (compared.append(pairs.count()), alike(pairs, *a))[1])
+    for size in (100, 400):
+        texts = [" ".join(frame + [f"own{rng.randrange(10 ** 9)}" for _ in range(40)]) for _ in range(size)]
+        docs = spark.createDataFrame([(i, t, {"k": i}) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string, props map<string,int>")
+        compared.clear()
+        assert sorted(r.doc_id for r in near_dedup.keep_first(docs).collect()) == list(range(size))
+        assert sum(compared) <= size

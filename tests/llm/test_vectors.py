@@ -5,7 +5,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from palimpsest.llm import centroids, neighbours, whitening
+from palimpsest.llm import centroids, neighbours, topk, whitening
 from palimpsest.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -177,3 +177,31 @@ def test_few_vectors_give_all_others(spark):
 @pytest.mark.parametrize("name", ["op11_whitening", "op12_centroids", "op13_neighbours"])
 def test_registered(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+# exact top k
+
+def test_top_k_with_many_vectors_of_a_key_and_large_components():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        dims, size = int(rng.integers(1, 9)), int(rng.choice([3, 300, 2 ** 20, 2 ** 27]))
+        ids = np.repeat(np.arange(60), rng.integers(1, 11, 60))
+        x = rng.integers(-size, size + 1, (len(ids), dims))
+        x[rng.random(len(ids)) < 0.3] = x[0]
+        at = rng.choice(len(ids), 8, replace=False)
+        bits = int(np.abs(x).max()).bit_length()
+        segments = [((np.abs(x) >> b) & 1).astype(np.uint8) for b in range(bits - 1, -1, -1)]
+        got = list(zip(*[c.tolist() for c in topk.best(ids[at], x[at], ids, (x < 0).astype(np.uint8), segments, 5)]))
+        want = []
+        for j in at:
+            score = [(-sum(int(a) * int(b) for a, b in zip(x[j], v)), int(i)) for i, v in zip(ids, x) if i != ids[j]]
+            want += [(int(ids[j]), i, -s) for s, i in sorted(score)[:5]]
+        assert got == want, trial
+
+
+def test_top_k_of_a_key_on_several_vectors(spark):
+    rows = [*[(50, [float(i), 1.0]) for i in range(7)], *[(i, [0.5, float(i % 3)]) for i in range(80) if i != 50]]
+    table = frame(spark, rows)
+    got = [(r.vec_id, r.score) for r in topk.search(table, table.where("vec_id = 50")).orderBy("rank").collect()]
+    pairs = sorted((-(int(256 * a) * 128 + 256 * int(256 * v[1])), key) for a in range(7) for key, v in rows if key != 50)
+    assert got == [(key, -s) for s, key in pairs[:5]]
