@@ -5,7 +5,7 @@ shingles are as similar as asked: texts that share most words but not most runs
 SimHash misses many pairs that share 0.8 or more of their shingles, so these are then found by prefix
 filtering: the shingles of a set are ordered from rare to common, and two sets of similarity s must share one of the first
 ``n - ceil(s n) + 1``. Shared boilerplate is common, so it stands behind the prefix and is no join key. Each
-such pair is bounded by lengths and positions and counted on the whole sets.
+such pair is bounded by lengths, positions and parity bits and counted on the whole sets.
 
 How common a shingle is comes from a table of counters (its size is fixed) over all documents. Counters may
 be too high where shingles share one; the order is the same for all sets, so the join stays exact.
@@ -32,6 +32,8 @@ from palimpsest.session import stage
 
 WORDS, LEAST, SEED = 5, 0.8, 42
 NEIGHBOURS, ROUNDS = 3, 8
+SETTLED = 20  # rounds end when less than one link in so many is new
+PARITY = 16  # words of 64 bits in a set's parity bits
 CELLS, CHUNKS, TOGETHER = 21, 32, 32  # counters (bits), pieces they travel in, pieces added by a task
 
 
@@ -124,9 +126,17 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, least: float, words: int) ->
 def _sets(source: DataFrame, words: int) -> DataFrame:
     def run(batches: Batches) -> Batches:
         for batch in slices(batches, 200):
-            yield with_columns(batch, ("text",), hashes=pa.array([_signed(shingles(t, words)) for t in column_values(batch, "text")], pa.list_(pa.int64())))
+            sets = [shingles(t, words) for t in column_values(batch, "text")]
+            yield with_columns(batch, ("text",), hashes=pa.array([_signed(s) for s in sets], pa.list_(pa.int64())), bits=pa.array([parity(s) for s in sets], pa.list_(pa.int64())))
 
-    return source.mapInArrow(run, "node long, hashes array<long>")
+    return source.mapInArrow(run, "node long, hashes array<long>, bits array<long>")
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each cell of a small table whether an odd number of the set's hashes fall into it. Two sets differ in at least
+    as many elements as their tables do in bits."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -137,12 +147,16 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             .where(both + 1e-9 >= F.lit(least) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
 
 
-def _possible(least: float, l: str, r: str) -> Column:
-    """Whether two members of a shingle's run can be alike if it is the first that they share: the sets' sizes
-    and what follows it in both allow it."""
+def _possible(least: float, l: str, r: str, bits: bool = False) -> Column:
+    """Whether two members of a shingle's run can be alike if it is the first that they share: the sets' sizes,
+    what follows it in both and, with ``bits``, their parity bits allow it."""
     n = lambda s: F.col(f"{s}n")
     shared = F.ceil(F.lit(least / (1 + least)) * (n(l) + n(r)) - 1e-9)
-    return F.least(n(l) - F.col(f"{l}at"), n(r) - F.col(f"{r}at")) >= shared
+    fits = F.least(n(l) - F.col(f"{l}at"), n(r) - F.col(f"{r}at")) >= shared
+    if not bits:
+        return fits
+    differ = sum(F.bit_count(F.col(f"{l}bits")[i].bitwiseXOR(F.col(f"{r}bits")[i])) for i in range(PARITY))
+    return fits & (differ <= n(l) + n(r) - 2 * shared)
 
 
 def _classes(links: list[DataFrame]) -> DataFrame:
@@ -164,6 +178,7 @@ def classes(nodes: DataFrame, texts, counts: np.ndarray, least: float = LEAST, w
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     near = stage(simhash_links(nodes.select("node", "fp"), bits), "near-simhash")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = lambda: sum(x.count() for x in links)
     links = [stage(_alike(near, stage(_sets(texts(ends), words), "near-sets"), least), "near-alike")]
     roots = _classes(links)
     postings = stage(_prefixes(texts(nodes.where("n > 0").select("node")), counts, least, words), "near-prefixes")
@@ -182,13 +197,14 @@ def classes(nodes: DataFrame, texts, counts: np.ndarray, least: float = LEAST, w
         near = runs.withColumn("others", others).select("at", "node", "n", "root", F.explode("others").alias("o")).where("o is not null and root <> o.root")
         near = near.select("node", F.col("o.node").alias("other"), F.col("n").alias("l_n"), F.col("at").alias("l_at"), F.col("o.n").alias("r_n"), F.col("o.at").alias("r_at"))
         new = stage(_alike(near.where(_possible(least, "l_", "r_")).select(*pair(F.col("node"), F.col("other"))).distinct(), sets, least), "near-alike")
-        if not new.limit(1).count():
-            break
         links.append(new)
         roots = _classes(links)
         runs = opened(runs)
-    left, right = (runs.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("at", "node", "n", "root")]) for s in "lr")
-    rest = left.join(right, "token").where((F.col("l_root") < F.col("r_root")) & _possible(least, "l_", "r_"))
+        if new.count() * SETTLED <= found():
+            break
+    runs = runs.join(sets.select("node", "bits"), "node")
+    left, right = (runs.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("at", "node", "n", "root", "bits")]) for s in "lr")
+    rest = left.join(right, "token").where((F.col("l_root") < F.col("r_root")) & _possible(least, "l_", "r_", bits=True))
     return _classes([*links, _alike(rest.select(*pair(F.col("l_node"), F.col("r_node"))).distinct(), sets, least)])
 
 
