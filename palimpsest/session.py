@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside goes to a folder of its own, which is deleted at the end; results are staged
+    with ``keep``."""
+    _SCRATCH.append(f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write an intermediate table once to the shared folder and read it back, so that later steps
-    neither recompute it nor depend on the executors that made it."""
+    neither recompute it nor depend on the executors that made it. With ``keep`` it outlives an open
+    ``scratch``."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = _SCRATCH[-1] if _SCRATCH and not keep else shared_folder(spark).rstrip("/")
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
