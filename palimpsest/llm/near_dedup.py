@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from palimpsest.llm import simhash
 from palimpsest.llm.common import Batches, as_bytes, column_values, slices, union_all, with_columns
 from palimpsest.llm.components import components
-from palimpsest.session import stage
+from palimpsest.session import scratch, stage
 
 WORDS, LEAST, SEED = 5, 0.8, 42
 NEIGHBOURS, ROUNDS = 3, 8
@@ -79,7 +79,7 @@ def _sketched(source: DataFrame, words: int) -> DataFrame:
             yield with_columns(batch, ("text",), node=pa.array(_signed([node_of(s) for s in sets])), n=pa.array([len(s) for s in sets], pa.int64()),
                                fp=pa.array(_signed([simhash.fingerprint(t, words) for t in texts])), part=none(len(sets), pa.int32()), chunk=none(len(sets), pa.int32()), counts=none(len(sets), pa.binary()))
         if types:
-            pieces = [p.tobytes() for p in np.minimum(total, 65535).astype(np.uint16).reshape(CHUNKS, -1)]
+            pieces = [p.tobytes() for p in np.minimum(total, 255).astype(np.uint8).reshape(CHUNKS, -1)]
             columns = [none(CHUNKS, t) for t in types] + [none(CHUNKS, pa.int64())] * 3
             columns += [pa.array(np.full(CHUNKS, TaskContext.get().partitionId()), pa.int32()), pa.array(range(CHUNKS), pa.int32()), pa.array(pieces, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
@@ -87,19 +87,24 @@ def _sketched(source: DataFrame, words: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _counts(piece: bytes) -> np.ndarray:
+    """A task's own piece has a byte for each counter, a sum of several has four."""
+    return np.frombuffer(piece, np.uint8 if len(piece) == (1 << CELLS) // CHUNKS else np.uint32).astype(np.uint32)
+
+
 def _added(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, np.uint16).astype(np.uint32) for c in group.column("counts").to_pylist())
-    return pa.table({"part": group.column("to")[:1], "chunk": group.column("chunk")[:1], "counts": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()])})
+    total = sum(_counts(c) for c in group.column("counts").to_pylist())
+    return pa.table({"part": group.column("to")[:1], "chunk": group.column("chunk")[:1], "counts": pa.array([total.tobytes()])})
 
 
 def counters(pieces: DataFrame) -> np.ndarray:
-    """The sum of the tasks' counters, a few at a time; what comes to the driver has a fixed size (4 MB)."""
+    """The sum of the tasks' counters, a few at a time; what comes to the driver has a fixed size (8 MB)."""
     last = pieces.agg(F.max("part")).first()[0]
     while last:
         pieces = stage(pieces.withColumn("to", F.floor(F.col("part") / TOGETHER).cast("int")).groupBy("chunk", "to").applyInArrow(_added, "part int, chunk int, counts binary"), "near-counts")
         last //= TOGETHER
-    found = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in pieces.select("chunk", "counts").collect()}
-    return np.concatenate([found[i] for i in range(CHUNKS)]) if found else np.zeros(1 << CELLS, np.uint16)
+    found = {r["chunk"]: _counts(r["counts"]) for r in pieces.select("chunk", "counts").collect()}
+    return np.concatenate([found[i] for i in range(CHUNKS)]) if found else np.zeros(1 << CELLS, np.uint32)
 
 
 def _prefixes(texts: DataFrame, counts: np.ndarray, least: float, words: int) -> DataFrame:
@@ -181,15 +186,13 @@ def classes(nodes: DataFrame, texts, counts: np.ndarray, least: float = LEAST, w
     found = lambda: sum(x.count() for x in links)
     links = [stage(_alike(near, stage(_sets(texts(ends), words), "near-sets"), least), "near-alike")]
     roots = _classes(links)
-    postings = stage(_prefixes(texts(nodes.where("n > 0").select("node")), counts, least, words), "near-prefixes")
-
     def opened(runs: DataFrame) -> DataFrame:
         """Runs that hold members of several classes, with the members' roots."""
         member = runs.select("token", "at", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        several = member.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        return stage(member.join(several, "token", "left_semi"), "near-runs")
+        run = Window.partitionBy("token")
+        return stage(member.withColumn("low", F.min("root").over(run)).withColumn("high", F.max("root").over(run)).where("low <> high").drop("low", "high"), "near-runs")
 
-    runs = opened(postings)
+    runs = opened(_prefixes(texts(nodes.where("n > 0").select("node")), counts, least, words))
     sets = stage(_sets(texts(runs.select("node").distinct()), words), "near-sets")
     for turn in range(ROUNDS):
         order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(turn)), "node")
@@ -216,17 +219,19 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
 
     The row that stays is the first by ``key`` (null last), then by a hash of the text: keys need be neither
     unique nor present. Of rows equal in all columns one stays."""
-    source = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-source")
-    rank = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("uid"), F.col("__row").alias("row"))
-    sketched = stage(_sketched(source.select(rank.alias("rank"), as_bytes(f"`{text}`").alias("text")), words), "near-sketches")
-    counts = counters(sketched.where("chunk is not null").select("part", "chunk", "counts"))
-    printed = sketched.where("chunk is null")
-    nodes = stage(printed.groupBy("node").agg(F.min("rank").alias("rank"), F.min("n").alias("n"), F.min("fp").alias("fp")), "near-nodes")
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        rows = nodes.select(F.col("rank.row").alias("__row"), "node").join(wanted, "node", "left_semi")
-        return source.select("__row", as_bytes(f"`{text}`").alias("text")).join(rows, "__row").select("node", "text")
-
-    roots = classes(nodes.select("node", "n", "fp"), texts, counts, least, words, bits)
-    first = nodes.select("node", "rank").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
-    return source.join(first.select(F.col("rank.row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    with scratch(docs.sparkSession):
+        source = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-source")
+        rank = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("uid"), F.col("__row").alias("row"))
+        sketched = stage(_sketched(source.select(rank.alias("rank"), as_bytes(f"`{text}`").alias("text")), words), "near-sketches")
+        counts = counters(sketched.where("chunk is not null").select("part", "chunk", "counts"))
+        printed = sketched.where("chunk is null")
+        nodes = stage(printed.groupBy("node").agg(F.min("rank").alias("rank"), F.min("n").alias("n"), F.min("fp").alias("fp")), "near-nodes")
+
+        def texts(wanted: DataFrame) -> DataFrame:
+            rows = nodes.select(F.col("rank.row").alias("__row"), "node").join(wanted, "node", "left_semi")
+            return source.select("__row", as_bytes(f"`{text}`").alias("text")).join(rows, "__row").select("node", "text")
+
+        roots = classes(nodes.select("node", "n", "fp"), texts, counts, least, words, bits)
+        first = nodes.select("node", "rank").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
+        kept = source.join(first.select(F.col("rank.row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+        return stage(kept, "near-kept", keep=True)

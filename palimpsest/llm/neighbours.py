@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Batches
 from palimpsest.llm.whitening import usable
-from palimpsest.session import stage
+from palimpsest.session import scratch, stage
 
 K = 20
 DEGREE, REVERSE = 48, 24  # neighbours of a node; lists that a node joins back in a round
@@ -303,6 +303,11 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
     A query's own row (the same key and vector, once) is no candidate. Vectors that are null, zero or hold
     null or non-finite components take no part, nor do null keys; repeated rows are candidates, and queries,
     each time. All vectors must have one length: those of another than the longest are left out."""
+    with scratch(table.sparkSession):
+        return _search(table, queries, k, key, embedding)
+
+
+def _search(table: DataFrame, queries: DataFrame, k: int, key: str, embedding: str) -> DataFrame:
     dims = table.where(usable(F.col(f"`{embedding}`"))).agg(F.max(F.size(f"`{embedding}`"))).first()[0] or 0
     nodes = stage(nodes_of(table.where(F.size(f"`{embedding}`") == dims), key, embedding, k + 1), "ann-nodes")
     n, most = nodes.agg(F.count("*"), F.max(norm("x"))).first()
@@ -310,7 +315,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
     asked = asked.where(usable(F.col("x")) & (F.size("x") == dims)).where(F.exists("x", lambda c: c != 0)).where("query_id is not null")
     asked = stage(asked.select(F.monotonically_increasing_id().alias("qid"), "query_id", "x", F.xxhash64("x").alias("h")), "ann-queries")
     if not n:
-        return asked.where("false").selectExpr("query_id", "0 as rank", "0L as vec_id", "0d as score")
+        return stage(asked.where("false").selectExpr("query_id", "0 as rank", "0L as vec_id", "0d as score"), "ann-found", keep=True)
     places = stage(nodes.mapInArrow(_place(most), "node long, place binary"), "ann-places")
     index = lists(build(places, n), places).persist(StorageLevel.DISK_ONLY)  # dealt out once, asked in every round
     entries = places.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(min(n, PIVOTS)).collect()
@@ -325,6 +330,6 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
     others = F.filter("keys", lambda c, i: i + 1 != at_own)
     hits = scored.select("qid", "query_id", product.alias("score"), F.explode(others).alias("vec_id"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
-    found = stage(hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found")
+    found = stage(hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ann-found", keep=True)
     index.unpersist()
     return found
