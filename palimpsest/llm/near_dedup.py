@@ -116,9 +116,9 @@ def _prefixes(texts: DataFrame, counts: np.ndarray, least: float, words: int) ->
         counts = held.value
         for batch in slices(batches, 200):
             out = []
-            for node, text in zip(column_values(batch, "node"), column_values(batch, "text")):
+            for text in column_values(batch, "text"):
                 hashes = shingles(text, words)
-                n, common = len(hashes), counts[_cells(hashes)]
+                node, n, common = int(_signed([node_of(hashes)])[0]), len(hashes), counts[_cells(hashes)]
                 order = np.lexsort((hashes, common))[:n - int(np.ceil(least * n - 1e-9)) + 1]
                 order, at = order[common[order] > 1], np.nonzero(common[order] > 1)[0]
                 out.append((hashes[order], at, np.full(len(at), node), np.full(len(at), n)))
@@ -145,11 +145,12 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have at least that similarity."""
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("hashes").alias(f"set_{side}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    return (pairs.join(of("a"), "a").join(of("b"), "b")
-            .where(both + 1e-9 >= F.lit(least) * (F.size("set_a") + F.size("set_b") - both)).select("a", "b"))
+    """The pairs ``(a, b)`` whose sets have at least that similarity. Pairs are written first: while they are
+    few they go to the sets, which then are not shuffled."""
+    ends = stage(pairs, "near-pairs").select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    both = ends.join(sets.select("node", "hashes"), "node").groupBy("a", "b").agg(F.collect_list("hashes").alias("sets"))
+    shared, x, y = F.size(F.array_intersect(F.col("sets")[0], F.col("sets")[1])), F.size(F.col("sets")[0]), F.size(F.col("sets")[1])
+    return both.where(shared + 1e-9 >= F.lit(least) * (x + y - shared)).select("a", "b")
 
 
 def _possible(least: float, l: str, r: str, bits: bool = False) -> Column:
@@ -177,9 +178,9 @@ def simhash_links(nodes: DataFrame, bits: int) -> DataFrame:
     return nodes.join(named, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(far)
 
 
-def classes(nodes: DataFrame, texts, counts: np.ndarray, least: float = LEAST, words: int = WORDS, bits: int = simhash.BITS) -> DataFrame:
+def classes(nodes: DataFrame, texts, every: DataFrame, counts: np.ndarray, least: float = LEAST, words: int = WORDS, bits: int = simhash.BITS) -> DataFrame:
     """``(node, root)`` of the nodes ``(node, n, fp)`` that are not their class's root. ``texts`` gives
-    ``(node, text)`` for a table of nodes."""
+    ``(node, text)`` for a table of nodes, ``every`` the text of each node once."""
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     near = stage(simhash_links(nodes.select("node", "fp"), bits), "near-simhash")
     ends = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -192,7 +193,7 @@ def classes(nodes: DataFrame, texts, counts: np.ndarray, least: float = LEAST, w
         run = Window.partitionBy("token")
         return stage(member.withColumn("low", F.min("root").over(run)).withColumn("high", F.max("root").over(run)).where("low <> high").drop("low", "high"), "near-runs")
 
-    runs = opened(_prefixes(texts(nodes.where("n > 0").select("node")), counts, least, words))
+    runs = opened(_prefixes(every, counts, least, words))
     sets = stage(_sets(texts(runs.select("node").distinct()), words), "near-sets")
     for turn in range(ROUNDS):
         order = Window.partitionBy("token").orderBy(F.xxhash64("node", "token", F.lit(turn)), "node")
@@ -229,9 +230,16 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
 
         def texts(wanted: DataFrame) -> DataFrame:
             rows = nodes.select(F.col("rank.row").alias("__row"), "node").join(wanted, "node", "left_semi")
-            return source.select("__row", as_bytes(f"`{text}`").alias("text")).join(rows, "__row").select("node", "text")
-
-        roots = classes(nodes.select("node", "n", "fp"), texts, counts, least, words, bits)
-        first = nodes.select("node", "rank").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
-        kept = source.join(first.select(F.col("rank.row").alias("__row")), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+            return source.select("__row", as_bytes(f"`{text}`").alias("text")).join(stage(rows, "near-wanted"), "__row").select("node", "text")
+
+        # Rows to leave out are few where there are few duplicates; then no text is shuffled to leave them out.
+        row = F.col("rank.row").alias("__row")
+        copies = stage(printed.select("node", "rank").join(nodes.select("node", F.col("rank").alias("first")), "node").where("rank <> first").select(row), "near-copies")
+        every = source.join(copies, "__row", "left_anti").select(as_bytes(f"`{text}`").alias("text"))
+        roots = classes(nodes.select("node", "n", "fp"), texts, every, counts, least, words, bits)
+        member = nodes.select("node", "rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        first = member.groupBy("root").agg(F.min("rank").alias("first"))
+        later = member.join(first, "root").where("rank <> first").select(row)
+        dropped = stage(later.unionByName(copies), "near-dropped")
+        kept = source.join(dropped, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
         return stage(kept, "near-kept", keep=True)
