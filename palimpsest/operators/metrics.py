@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.scalars import age_seconds, safe_ratio
 from palimpsest.operators.history import latest
 from palimpsest.operators.impacts import with_latest_review
+from palimpsest.operators.selection import quantiles
 
 LABELS = "map<string,string>"
 
@@ -62,17 +63,10 @@ def window_counts(runs: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     return sets.agg(F.count(F.lit(1)).alias("run_count"))
 
 
-def quantiles(df: DataFrame, value: str, groups: Sequence[str] = (), qs: Sequence[float] = (0.5, 0.95)) -> DataFrame:
-    """Exact nearest-rank quantiles per group, as columns q50, q95, ...
-
-    ``percentile_disc`` keeps counts per distinct value, so its state grows with distinct values,
-    not with rows; :func:`approximate_quantiles` bounds it when even those are too many."""
-    aggs = [F.expr(f"percentile_disc({q}) within group (order by {value})").alias(f"q{round(q * 100)}") for q in qs]
-    return df.groupBy(*groups).agg(F.count(value).alias("n"), *aggs)
-
-
 def approximate_quantiles(df: DataFrame, value: str, groups: Sequence[str] = (), qs: Sequence[float] = (0.5, 0.95),
                           accuracy: int = 10000) -> DataFrame:
+    """Quantiles whose rank is off by at most n / accuracy, in one pass (see :func:`selection.quantiles`
+    for exact ones)."""
     aggs = [F.percentile_approx(value, q, accuracy).alias(f"q{round(q * 100)}") for q in qs]
     return df.groupBy(*groups).agg(F.count(value).alias("n"), *aggs)
 
@@ -216,8 +210,8 @@ def release_metrics(items: DataFrame, reviews: DataFrame, publications: DataFram
         seconds = F.greatest(F.lit(0.0), F.expr("timestampdiff(MICROSECOND, reviewed_at, published_at)") / 1e6)
         inside = F.col("published_at") >= _now(as_of) - F.make_interval(hours=F.lit(window_hours))
         rows_ = df.select("published_at", F.when(inside, seconds).alias("_s"))
-        agg = rows_.agg(F.count("_s").alias("n"), F.max("published_at").alias("t"), *[
-            F.expr(f"percentile_disc({q}) within group (order by _s)").alias(n) for q, n in ((0.5, "q50"), (0.95, "q95"))])
+        known = rows_.agg(F.count("_s").alias("n"), F.max("published_at").alias("t"))
+        agg = known.unionByName(quantiles(rows_, "_s").drop("n"), allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n", "t", "q50", "q95")])
         parts.append(agg.select(F.inline(F.array(
             sample("publications_window", F.col("n"), kind=kind),
             sample("publication_duration_quantile_seconds", F.col("q50"), kind=kind, quantile="0.50"),
