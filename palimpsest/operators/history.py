@@ -6,7 +6,9 @@ Two rules keep these safe when one key holds a large share of all rows:
   "top n" is ``row_number() <= n``, which Spark prunes before the shuffle.
 * "previous", "carried" and "running" never put a whole key into one task. A history is cut into
   chunks of the order column (an hour of time, a range of ids, ...); each chunk is windowed on its
-  own, one summary row per chunk is windowed over the chunks, and the carry is joined back.
+  own, one summary row per chunk is windowed over the chunks, and the carry is joined back. Without a
+  chunk the history is cut by rank: ranges of (key, order) of about equal size, however the rows are spread
+  over keys and times.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.session import stage
+
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the one that is last in ``order``. Same columns as the input."""
@@ -54,10 +58,13 @@ class History:
 
     ``History(df, keys, order, chunk)`` then any of ``previous``, ``carried``, ``running``, then
     ``result()``. ``chunk`` must be non-decreasing in the first order column; keys and chunk must
-    not be null.
+    not be null. ``order`` must tell the rows of a key apart.
+
+    Without ``chunk`` the rows are written once in ranges of (key, order), one for each shuffle partition.
+    Only a key at the border of two ranges needs a carry, so there are at most two summary rows for each range.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column | None = None):
         self.df, self.keys, self.order = df, list(keys), list(order)
         self.chunk = chunk
         self._inner: dict[str, Column] = {}
@@ -106,14 +113,30 @@ class History:
         """1-based row number within the key."""
         return self.running(out, F.lit(1).cast("bigint"))
 
+    def _ranges(self) -> tuple[DataFrame, DataFrame]:
+        """The rows with their range as ``_chunk``, and those of them whose key lies in several ranges."""
+        parts = int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = self.df.repartitionByRange(parts, *self.keys, *self.order)
+        rows = stage(dealt.withColumn("_chunk", F.spark_partition_id()), "history")
+        key = F.struct(*self.keys)
+        ends = rows.groupBy("_chunk").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+        at = ends.select("_chunk", F.explode(F.array("low", "high")).alias("_key")).distinct()
+        cut = at.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key.*")
+        cut = F.broadcast(cut)  # at most one row for each range
+        # The order of ranges clusters (keys, _chunk), so the windows need no other shuffle.
+        return rows.repartitionByRange(parts, "_chunk"), rows.join(cut, self.keys, "left_semi")
+
     def result(self) -> DataFrame:
-        rows = self.df.withColumn("_chunk", self.chunk)
-        tails = rows.groupBy(*self.keys, "_chunk").agg(*[e.alias(n) for n, e in self._tail.items()])
+        if self.chunk is None:
+            rows, open_ = self._ranges()
+        else:
+            rows = open_ = self.df.withColumn("_chunk", self.chunk)
+        tails = open_.groupBy(*self.keys, "_chunk").agg(*[e.alias(n) for n, e in self._tail.items()])
         heads = tails.select(*self.keys, "_chunk", *[e.alias(n) for n, e in self._carry.items()])
         inner = rows.select("*", *[e.alias(n) for n, e in self._inner.items()])
         # Plain equality on the columns the window is already partitioned and sorted by: the rows
         # are shuffled once, only the small summaries move again.
-        joined = inner.join(heads, [*self.keys, "_chunk"], "left")
+        joined = inner.join(F.broadcast(heads) if self.chunk is None else heads, [*self.keys, "_chunk"], "left")
         return joined.select(*self.df.columns, *[e.alias(n) for n, e in self._out.items()])
 
 
@@ -183,7 +206,7 @@ def status_signals(assessments: DataFrame, key: str = "endpoint_id", at: str = "
 def review_chain(reviews: DataFrame, key: str = "item_id", at: str = "created_at",
                  row_id: str = "review_id", chunk: Column | None = None) -> DataFrame:
     """Each review with the id of the review it follows and its number in the chain."""
-    return (History(reviews, [key], [at, row_id], chunk if chunk is not None else hour_chunk(at))
+    return (History(reviews, [key], [at, row_id], chunk)
             .previous(previous_review_id=row_id).numbered("review_number").result())
 
 
@@ -195,7 +218,7 @@ def attempt_numbers(attempts: DataFrame, keys: Sequence[str], at: str, row_id: s
 def as_of_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str,
                  right_at: str, left_id: str, right_id: str, value: str, out: str) -> DataFrame:
     """Attach to each left row the right row's ``value`` with the greatest time strictly before
-    it: both sides are stacked and the last non-null value is carried, chunk by chunk."""
+    it: both sides are stacked and the last non-null value is carried, range by range."""
     lt = left.select(*keys, F.col(left_at).alias("_at"), F.lit(0).alias("_side"),
                      F.col(left_id).cast("string").alias("_id"), F.col(left_id).alias("_left"),
                      F.lit(None).cast(right.schema[value].dataType).alias("_v"))
@@ -204,7 +227,7 @@ def as_of_before(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at
                       F.lit(None).cast(left.schema[left_id].dataType).alias("_left"),
                       F.col(value).alias("_v"))
     # Left rows sort first among equal times, so only strictly earlier right rows are carried.
-    stacked = History(lt.unionByName(rt), keys, ["_at", "_side", "_id"], hour_chunk("_at")).carried(
+    stacked = History(lt.unionByName(rt), keys, ["_at", "_side", "_id"]).carried(
         out, F.col("_v")).result()
     found = stacked.filter(F.col("_side") == 0).select(F.col("_left").alias(left_id), out)
     return left.join(found, left_id, "left")
@@ -218,7 +241,7 @@ def interleaved_top_n(df: DataFrame, group: str, order: Sequence[Column], per_gr
     return picked.orderBy("turn", group).limit(limit)
 
 
-def over_cap(df: DataFrame, key: str, order: Sequence[str], cap: int, chunk: Column) -> DataFrame:
+def over_cap(df: DataFrame, key: str, order: Sequence[str], cap: int, chunk: Column | None = None) -> DataFrame:
     """Every row with ``disposition``: accepted within the first ``cap`` rows of its key, else
     over_cap."""
     out = History(df, [key], order, chunk).numbered("position").result()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.history import History, hour_chunk, latest
+from palimpsest.operators.history import History, latest
 
 
 def due_rows(rows: DataFrame, active: DataFrame, key: str, as_of: str) -> DataFrame:
@@ -28,8 +28,7 @@ def resolved_changes(evidence: DataFrame, chunk: Column | None = None) -> DataFr
 def _strictly_before(evidence: DataFrame, chunk: Column | None) -> DataFrame:
     # One row per (identity, instant): the version seen last at that instant.
     instants = evidence.groupBy("identity_id", "retrieved_at").agg(F.max_by("version_id", "observation_id").alias("_v"))
-    c = chunk if chunk is not None else hour_chunk("retrieved_at")
-    before = History(instants, ["identity_id"], ["retrieved_at"], c).previous(previous_version_id="_v").result().drop("_v")
+    before = History(instants, ["identity_id"], ["retrieved_at"], chunk).previous(previous_version_id="_v").result().drop("_v")
     return evidence.join(before, ["identity_id", "retrieved_at"], "left")
 
 

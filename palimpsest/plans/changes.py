@@ -187,7 +187,7 @@ def latest_reviews(t):
 @query("review_chains", "W15 W14", """
 SELECT review_id, lag(review_id) OVER w AS previous_review_id, row_number() OVER w AS review_number FROM change_review WINDOW w AS (PARTITION BY item_id ORDER BY created_at, review_id)""")
 def review_chains(t):
-    return review_chain(t.change_review, chunk=F.date_trunc("year", "created_at")).select("review_id", "previous_review_id", "review_number")
+    return review_chain(t.change_review).select("review_id", "previous_review_id", "review_number")
 
 
 @query("review_progress", "A23", """

@@ -253,7 +253,7 @@ def fair_top_rows(t):
 @query("capped_registrations", "W10", """
 SELECT run_id, endpoint_id, position, CASE WHEN position <= 5 THEN 'accepted' ELSE 'over_cap' END AS disposition FROM (SELECT *, row_number() OVER (PARTITION BY endpoint_id ORDER BY created_at, run_id) AS position FROM run)""")
 def capped_registrations(t):
-    return history.over_cap(t.run, "endpoint_id", ["created_at", "run_id"], 5, F.date_trunc("year", "created_at")).select(
+    return history.over_cap(t.run, "endpoint_id", ["created_at", "run_id"], 5).select(
         "run_id", "endpoint_id", "position", "disposition")
 
 
@@ -505,7 +505,7 @@ def evidence_row(d):
 SELECT observation_id, version_id, previous_version_id, previous_version_id IS NULL OR previous_version_id <> version_id AS content_changed FROM evidence_row LEFT JOIN (
   SELECT identity_id, retrieved_at, lag(v) OVER (PARTITION BY identity_id ORDER BY retrieved_at) AS previous_version_id FROM (SELECT identity_id, retrieved_at, arg_max(version_id, observation_id) AS v FROM evidence_row GROUP BY ALL)) USING (identity_id, retrieved_at)""")
 def previous_version_evidence(t):
-    return workflow.resolved_changes(t.evidence_row, F.date_trunc("year", "retrieved_at")).select(
+    return workflow.resolved_changes(t.evidence_row).select(
         "observation_id", "version_id", "previous_version_id", "content_changed")
 
 
