@@ -44,12 +44,23 @@ def work_list(items: DataFrame, state: str | None = None, text: str | None = Non
     return page(items, order, number, size)
 
 
-def browse_documents(versions: DataFrame, sections: DataFrame, number: int, size: int) -> DataFrame:
-    """A page of current versions (latest per identity), newest first, each with its first
-    section. Only the page's versions reach the section join."""
-    current = latest(versions.select("identity_id", "version_id", "title", "created_at"), ["identity_id"], ["created_at", "version_id"])
-    shown = page(current, [F.desc("created_at"), F.asc("version_id")], number, size)
-    opening = sections.filter("ordinal = 1").select("version_id", "section_id", F.substring("text", 1, 620).alias("passage"))
+def browse_documents(versions: DataFrame, sections: DataFrame, number: int, size: int, *, collections: DataFrame | None = None,
+                     authority: Column | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """A page of current versions (latest per identity), newest first, each with its whole first section.
+
+    ``collections`` keeps versions of enabled, evidence-eligible collections, ``authority`` is a condition on
+    columns of the version, ``start`` and ``end`` an inclusive range of dates. They apply to current versions:
+    an identity whose current version falls out doesn't show an older one. Only the page's versions reach
+    the section join."""
+    slim = versions.drop("content")
+    current = latest(slim, ["identity_id"], ["created_at", "version_id"])
+    if collections is not None:
+        current = eligible(current, collections)
+    if authority is not None:
+        current = current.filter(authority)
+    current = between_dates(current, "created_at", start, end).select("identity_id", "version_id", "title", "created_at")
+    shown = page(current, [F.desc("created_at"), F.asc("title"), F.asc("version_id")], number, size)
+    opening = sections.filter("ordinal = 1").select("version_id", "section_id", F.col("text").alias("passage"))
     return shown.join(opening, "version_id", "left")
 
 

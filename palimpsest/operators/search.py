@@ -210,15 +210,23 @@ def fuse(text: DataFrame, vector: DataFrame, boost: Column | None = None) -> Dat
 
 
 def hybrid(sections: DataFrame, queries: DataFrame, query_vectors: DataFrame, fields: dict[str, str],
-           limit: int = CANDIDATES, title: str | None = None, mode: str = "hybrid") -> DataFrame:
+           limit: int = CANDIDATES, title: str | None = None, mode: str = "hybrid", index=None,
+           eligible: DataFrame | None = None) -> DataFrame:
     """Fused section ranking (query_id, section_id, text_score, text_rank, distance, vector_rank,
     score). ``title`` names the column whose overlap with the query boosts text hits. ``mode`` is
-    hybrid, full_text or vector."""
+    hybrid, full_text or vector. With ``index`` (a :class:`text_index.TextIndex` over the sections)
+    text hits come from it and ``sections`` is read for titles and vectors only; sections with a
+    ``vector`` column are not embedded again. ``eligible`` (section_id) restricts both lists before
+    they are cut at ``limit``."""
+    if eligible is not None:
+        allowed = eligible.select("section_id").distinct()
+        sections = sections.join(allowed, "section_id", "left_semi")
     empty = "query_id bigint, section_id string, distance double, vector_rank int"
     if mode in ("hybrid", "full_text"):
-        text = full_text(sections, queries, fields, limit)
+        text = full_text(sections, queries, fields, limit) if index is None else index.search(queries, limit, eligible)
         if title:
-            text = (text.join(sections.select("section_id", F.col(title).alias("_title")), "section_id")
+            titles = sections if index is None else index.members
+            text = (text.join(titles.select("section_id", F.col(title).alias("_title")), "section_id")
                     .join(queries.select("query_id", "query"), "query_id"))
             boost = TITLE_WEIGHT * query_title_overlap(F.col("query"), F.col("_title"))
         else:
@@ -228,7 +236,7 @@ def hybrid(sections: DataFrame, queries: DataFrame, query_vectors: DataFrame, fi
             [], "query_id bigint, section_id string, text_score double, text_rank int")
         boost = None
     if mode in ("hybrid", "vector"):
-        corpus = sections.select(F.col("section_id").alias("item_id"), F.col("text"))
+        corpus = sections.select(F.col("section_id").alias("item_id"), "vector" if "vector" in sections.columns else "text")
         near = nearest(corpus, query_vectors, limit).withColumnRenamed("item_id", "section_id")
     else:
         near = sections.sparkSession.createDataFrame([], empty)
@@ -267,6 +275,14 @@ def first_hits(ranked: DataFrame, sections: DataFrame, limit: int = 5, rank: str
     return top_n(per, ["query_id"], [F.asc("_first")], limit, "document_rank").drop("_first")
 
 
+def relevant_documents(documents: DataFrame, impacts: DataFrame) -> DataFrame:
+    """Ranked documents that have impacts for a profile, once per profile, with the number of impacts.
+    Ranks stay those of the whole result. documents: query_id, identity_id, document_rank; impacts:
+    profile_id, identity_id, impact_id."""
+    counts = impacts.groupBy("profile_id", "identity_id").agg(F.count_distinct("impact_id").alias("impact_count"))
+    return documents.join(counts, "identity_id")
+
+
 def retrieval_metrics(queries: DataFrame, documents: DataFrame, expected: DataFrame) -> DataFrame:
     """Mean reciprocal rank and hit@1/3/5 of ranked documents against expected identities.
 

@@ -61,13 +61,16 @@ SQL_ONLY["section"] = r"""
 
 @spark_binding
 def corpus_section(t):
-    """Sections with the identity and title of their version, for search."""
-    keep = ("identity_id", "title", "canonical_url", "collection_id", "language", "created_at")
-    return line_sections(t.version, keep=keep).withColumn("heading", F.lit(""))
+    """Sections with the identity and titles of their version, for search. An identity's title is its
+    collection and language; every eighth line heads the seven after it."""
+    keep = ("identity_id", "title", "identity_title", "canonical_url", "collection_id", "language", "created_at")
+    versions = t.version.withColumn("identity_title", F.concat_ws(" ", "collection_id", "language"))
+    return line_sections(versions, keep=keep, heading_every=8)
 
 
 SQL_ONLY["corpus_section"] = """
-    SELECT s.*, v.identity_id, v.title, v.canonical_url, v.collection_id, v.language, v.created_at, '' AS heading
+    SELECT s.*, v.identity_id, v.title, concat_ws(' ', v.collection_id, v.language) AS identity_title, v.canonical_url, v.collection_id, v.language, v.created_at,
+      CASE WHEN (s.ordinal - 1) % 8 = 0 THEN '' ELSE first_value(s.text) OVER (PARTITION BY s.version_id, (s.ordinal - 1) // 8 ORDER BY s.ordinal) END AS heading
     FROM section s JOIN version v USING (version_id)"""
 
 # A document as one section whose lines carry a heading, every seventh from the first left bare, so

@@ -528,9 +528,15 @@ def current_versions(t):
     return history.latest(t.version.select("identity_id", "created_at", "version_id"), ["identity_id"], ["created_at", "version_id"]).select("identity_id", "version_id")
 
 
-@query("browse_documents", "G23", "SELECT version_id, identity_id, section_id, substr(text, 1, 620) AS passage FROM (SELECT * FROM current_version ORDER BY created_at DESC, version_id LIMIT 20 OFFSET 20) LEFT JOIN (SELECT * FROM section WHERE ordinal = 1) USING (version_id)")
+@query("browse_documents", "G23 P1 P2 P3", """
+SELECT version_id, identity_id, section_id, text AS passage FROM (
+  SELECT * FROM current_version JOIN collection USING (collection_id) WHERE collection_enabled AND evidence_eligible AND collection_id <> 'src9' AND language IN ('en', 'de')
+    AND cast(created_at AS date) BETWEEN date '2024-01-01' AND date '2024-03-10' ORDER BY created_at DESC, title, version_id LIMIT 5 OFFSET 5)
+LEFT JOIN (SELECT * FROM section WHERE ordinal = 1) USING (version_id)""")
 def browse_documents(t):
-    return browse.browse_documents(t.version, t.section, 2, 20).select("version_id", "identity_id", "section_id", "passage")
+    collections = t.collection.withColumn("authority_enabled", F.col("collection_id") != "src9")
+    return browse.browse_documents(t.version, t.section, 2, 5, collections=collections, authority=F.col("language").isin("en", "de"),
+                                   start="2024-01-01", end="2024-03-10").select("version_id", "identity_id", "section_id", "passage")
 
 
 @query("document_reports", "G24", """
@@ -567,13 +573,6 @@ def source_reports(t):
     return out.select("endpoint_id", ids("runs", "run_id").alias("runs"), ids("events", "event_id").alias("events"), "blocked")
 
 
-@query("profile_relevant_results", "G13", """
-SELECT profile_id, impact_id, review_id FROM match_result JOIN impact_state USING (impact_id) WHERE outcome = 'matched' AND state IN ('ready', 'published')""")
-def profile_relevant_results(t):
-    current = readiness(t).filter(F.col("state").isin("ready", "published"))
-    return matched(t).filter("outcome = 'matched'").join(current.select("impact_id", "review_id"), "impact_id").select("profile_id", "impact_id", "review_id")
-
-
 # --- sinks ---------------------------------------------------------------------------------------
 
 

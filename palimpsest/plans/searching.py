@@ -6,23 +6,32 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text
 from palimpsest.functions.vectors import embed_udf
-from palimpsest.operators import search
+from palimpsest.operators import browse, search
+from palimpsest.operators.text_index import TextIndex
+from palimpsest.plans.changes import matched, readiness
 from palimpsest.plans.registry import SQL_ONLY, query, shared, spark_binding
 from palimpsest.plans.texts import _QW, _WANT, COMPACT
+from palimpsest.session import input_state, shared_folder
 
 W = r"[\pL\pN_]+"
-READER = {"title": "A", "heading": "B", "text": "C"}
+READER = {"identity_title": "A", "title": "A", "heading": "B", "text": "C"}
 KNOWLEDGE = {"heading": "A", "text": "B"}
+CHAT = {"title": "A", "heading": "A", "text": "B"}
+INDEX_FORMAT = 1  # of the indexed bindings; part of an index's name
 
 SQL_ONLY["q_clause"] = rf"""
     SELECT query_id, c, list_distinct(regexp_extract_all(c, '{W}')) AS terms FROM (
       SELECT query_id, unnest(string_split(' ' || array_to_string(string_split_regex(lower(query), '\s+'), ' ') || ' ', ' or ')) AS c FROM retrieval_query)
     WHERE len(regexp_extract_all(c, '{W}')) > 0"""
-SQL_ONLY["section_len"] = rf"SELECT section_id, identity_id, title, len(regexp_extract_all(title, '{W}')) + len(regexp_extract_all(text, '{W}')) AS n, len(regexp_extract_all(text, '{W}')) AS n_text FROM corpus_section"
+SQL_ONLY["section_len"] = rf"""
+    SELECT section_id, identity_id, title, n_identity + n_title + n_text AS n, n_text, n_title + n_text AS n_chat FROM (SELECT *, len(regexp_extract_all(identity_title, '{W}')) AS n_identity,
+      len(regexp_extract_all(title, '{W}')) AS n_title, len(regexp_extract_all(heading, '{W}')) + len(regexp_extract_all(text, '{W}')) AS n_text FROM corpus_section)"""
 SQL_ONLY["section_tf"] = rf"""
-    SELECT section_id, term, sum(a) AS a, sum(c) AS c FROM (
-      SELECT section_id, unnest(regexp_extract_all(lower(title), '{W}')) AS term, 1 AS a, 0 AS c FROM corpus_section UNION ALL
-      SELECT section_id, unnest(regexp_extract_all(lower(text), '{W}')), 0, 1 FROM corpus_section) GROUP BY ALL"""
+    SELECT section_id, term, sum(i) AS i, sum(a) AS a, sum(h) AS h, sum(c) AS c FROM (
+      SELECT section_id, unnest(regexp_extract_all(lower(identity_title), '{W}')) AS term, 1 AS i, 0 AS a, 0 AS h, 0 AS c FROM corpus_section UNION ALL
+      SELECT section_id, unnest(regexp_extract_all(lower(title), '{W}')), 0, 1, 0, 0 FROM corpus_section UNION ALL
+      SELECT section_id, unnest(regexp_extract_all(lower(heading), '{W}')), 0, 0, 1, 0 FROM corpus_section UNION ALL
+      SELECT section_id, unnest(regexp_extract_all(lower(text), '{W}')), 0, 0, 0, 1 FROM corpus_section) GROUP BY ALL"""
 
 
 def _text_list(weight: str, length: str, having: str, limit: int) -> str:
@@ -36,8 +45,9 @@ def _text_list(weight: str, length: str, having: str, limit: int) -> str:
       GROUP BY ALL) QUALIFY text_rank <= {limit}"""
 
 
-SQL_ONLY["text_list"] = _text_list("5 * s.a + s.c", "n", "", 300)
-SQL_ONLY["text_list_knowledge"] = _text_list("2 * s.c", "n_text", "AND s.c > 0", 50)
+SQL_ONLY["text_list"] = _text_list("5 * (s.i + s.a) + 2 * s.h + s.c", "n", "", 300)
+SQL_ONLY["text_list_knowledge"] = _text_list("5 * s.h + 2 * s.c", "n_text", "AND s.h + s.c > 0", 50)
+SQL_ONLY["text_list_chat"] = _text_list("5 * (s.a + s.h) + 2 * s.c", "n_chat", "AND s.a + s.h + s.c > 0", 300)
 
 
 def _features(source: str, key: str, body: str) -> str:
@@ -80,18 +90,26 @@ def query_vector(t):
     return t.retrieval_query.select("query_id", embed_udf()("query").alias("vector"))
 
 
-def reader(t):
-    return search.hybrid(t.corpus_section, t.retrieval_query, t.query_vector, READER, title="title")
+def text_index(t, fields):
+    """The index of the given sections for one set of fields. It lies in the shared folder under a name that
+    states the files it was made of, so a later search of the same tables finds it."""
+    name = "-".join([str(INDEX_FORMAT), input_state(t.spark, t.path("documents")), *[c + w for c, w in fields.items()]])
+    index = TextIndex(t.spark, f"{shared_folder(t.spark).rstrip('/')}/text-index-{name}", fields, ("identity_id", "version_id", "title", "collection_id"))
+    return index.add(t.corpus_section, "first")
+
+
+def reader(t, eligible=None):
+    return search.hybrid(t.corpus_section, t.retrieval_query, t.query_vector, READER, title="title", index=text_index(t, READER), eligible=eligible)
 
 
 @query("full_text_search", "T1", "SELECT query_id, section_id, text_score, text_rank FROM text_list")
 def full_text_search(t):
-    return search.full_text(t.corpus_section, t.retrieval_query, READER)
+    return text_index(t, READER).search(t.retrieval_query)
 
 
 @query("knowledge_text_search", "T2", "SELECT query_id, section_id, text_score, text_rank FROM text_list_knowledge")
 def knowledge_text_search(t):
-    return search.full_text(t.corpus_section, t.retrieval_query, KNOWLEDGE, limit=50)
+    return text_index(t, KNOWLEDGE).search(t.retrieval_query, 50)
 
 
 @query("section_vectors", "T3", """
@@ -158,7 +176,7 @@ SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.section_id, v.se
   round(coalesce(1.0 / (60 + text_rank), 0.0) + coalesce(1.0 / (60 + vector_rank), 0.0), 8) AS score
 FROM text_list_knowledge t FULL OUTER JOIN vector_list_knowledge v ON v.query_id = t.query_id AND v.section_id = t.section_id""")
 def knowledge_search(t):
-    out = search.hybrid(t.corpus_section, t.retrieval_query, t.query_vector, KNOWLEDGE, limit=50)
+    out = search.hybrid(t.corpus_section, t.retrieval_query, t.query_vector, KNOWLEDGE, limit=50, index=text_index(t, KNOWLEDGE))
     return out.select("query_id", "section_id", "text_rank", "vector_rank", F.round("score", 8).alias("score"))
 
 
@@ -174,7 +192,7 @@ SQL_ONLY["doc_rank"] = """
 SELECT query_id, identity_id, document_rank, round(document_score, 8) AS document_score, passage, section_id, round(score, 8) AS score
 FROM doc_passage JOIN doc_rank USING (query_id, identity_id) WHERE passage <= 3""")
 def search_documents(t):
-    return search.group_documents(reader(t), t.corpus_section)
+    return search.group_documents(reader(t), text_index(t, READER).members)
 
 
 @query("search_results_with_excerpts", "T6 W12 F8", rf"""
@@ -232,22 +250,57 @@ def vector_retrieval_evaluation(t):
 
 @query("hybrid_retrieval_evaluation", "T9 A20", _metrics_sql("doc_rank"))
 def hybrid_retrieval_evaluation(t):
-    docs = search.group_documents(reader(t), t.corpus_section).filter("passage = 1")
+    docs = search.group_documents(reader(t), text_index(t, READER).members).filter("passage = 1")
     return search.retrieval_metrics(t.retrieval_query, docs, t.expected)
 
 
-# Threads: one per benchmark passage; those under 200 characters are scoped to the version of the
-# same number. Their ranking is full text only, so that some scoped threads find nothing.
+# Threads: one per benchmark passage, those under 200 characters scoped to the version of the same
+# number. Every third of these asks without a word, finds nothing and falls back to its document.
 @shared
 def chat_thread(d):
-    return "SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN item_id END AS scope_version_id FROM benchmark"
+    return """SELECT item_id AS query_id, CASE WHEN length(text) < 200 THEN item_id END AS scope_version_id,
+      CASE WHEN length(text) < 200 AND item_id % 3 = 0 THEN '?' ELSE text END AS query FROM benchmark"""
 
 
 @query("chat_sources", "T8", """
-WITH best AS (SELECT query_id, section_id, text_rank AS source_number FROM text_list WHERE text_rank <= 8)
+WITH best AS (
+  SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS source_number FROM (
+    SELECT query_id, section_id, round(sum(1.0 / (60 + r)), 10) AS score FROM (
+      SELECT query_id, section_id, text_rank AS r FROM text_list_chat UNION ALL SELECT query_id, section_id, vector_rank FROM vector_list)
+    JOIN (SELECT query_id FROM chat_thread WHERE query <> '?') USING (query_id) GROUP BY ALL) QUALIFY source_number <= 8)
 SELECT query_id, section_id, source_number, false AS fallback FROM best UNION ALL
 SELECT query_id, section_id, row_number() OVER (PARTITION BY query_id ORDER BY ordinal), true FROM chat_thread JOIN section ON version_id = scope_version_id
 WHERE ordinal <= 8 AND query_id NOT IN (SELECT query_id FROM best)""")
 def chat_sources(t):
-    ranked = search.hybrid(t.corpus_section, t.retrieval_query, t.query_vector, READER, mode="full_text")
+    vectors = t.chat_thread.select("query_id", embed_udf()("query").alias("vector"))
+    ranked = search.hybrid(t.corpus_section, t.chat_thread, vectors, CHAT, index=text_index(t, CHAT))
     return search.chat_sources(ranked, t.corpus_section, t.chat_thread)
+
+
+# An impact concerns the identity of the version of the same number.
+@query("profile_relevant_results", "G13 T6", """
+SELECT profile_id, query_id, identity_id, document_rank, count(DISTINCT impact_id) AS impact_count FROM doc_rank
+JOIN (SELECT profile_id, impact_id, identity_id FROM match_result JOIN impact_state USING (impact_id) JOIN version ON version_id = impact_id WHERE outcome = 'matched' AND state IN ('ready', 'published')) USING (identity_id)
+GROUP BY ALL""")
+def profile_relevant_results(t):
+    current = readiness(t).filter(F.col("state").isin("ready", "published"))
+    owners = t.version.select(F.col("version_id").alias("impact_id"), "identity_id")
+    impacts = matched(t).filter("outcome = 'matched'").join(current, "impact_id", "left_semi").join(owners, "impact_id").select("profile_id", "impact_id", "identity_id")
+    found = search.group_documents(reader(t), text_index(t, READER).members).filter("passage = 1")
+    return search.relevant_documents(found, impacts).select("profile_id", "query_id", "identity_id", "document_rank", "impact_count")
+
+
+# Text hits of the reader among sections of enabled, evidence-eligible collections only.
+SQL_ONLY["eligible_collection"] = "SELECT collection_id FROM collection WHERE collection_enabled AND evidence_eligible AND collection_id <> 'src9'"
+
+
+@query("eligible_search", "P1 T1", """
+SELECT query_id, section_id, text_score, row_number() OVER (PARTITION BY query_id ORDER BY text_score DESC, section_id) AS text_rank
+FROM eligible_text_list JOIN (SELECT section_id, collection_id FROM corpus_section) USING (section_id) JOIN eligible_collection USING (collection_id) QUALIFY text_rank <= 20""")
+def eligible_search(t):
+    index = text_index(t, READER)
+    collections = t.collection.withColumn("authority_enabled", F.col("collection_id") != "src9")
+    return index.search(t.retrieval_query, 20, browse.eligible(index.members, collections))
+
+
+SQL_ONLY["eligible_text_list"] = SQL_ONLY["text_list"].split(" QUALIFY")[0]

@@ -117,7 +117,7 @@ def thread_titles(t):
 
 
 @query("embedding_inputs", "F33", """
-SELECT section_id, CASE WHEN trim(title) <> '' THEN 'Document title: ' || trim(title) || chr(10) ELSE '' END || text AS input_text FROM corpus_section""")
+SELECT section_id, CASE WHEN trim(title) <> '' THEN 'Document title: ' || trim(title) || chr(10) ELSE '' END || CASE WHEN trim(heading) <> '' THEN 'Section heading: ' || trim(heading) || chr(10) ELSE '' END || text AS input_text FROM corpus_section""")
 def embedding_inputs(t):
     return t.corpus_section.select("section_id", text.embedding_input(
         F.col("title"), F.col("heading"), F.col("text")).alias("input_text"))
