@@ -27,6 +27,7 @@ from palimpsest.session import stage
 BLOCK = 4096
 BUCKETS = 64
 FIRST_BLOCKS = 8
+WORTHWHILE = 8  # a first round is made for queries with this many times FIRST_BLOCKS blocks; results are the same
 SCHEMAS = {"postings": "section_id string, block string, length int, term string, spot bigint, weight int, bucket int",
            "tops": "term string, block string, holders bigint, top double, bucket int"}
 FIELD_SHIFT = 32  # a spot is field number * 2^32 + position, so words of different fields never adjoin
@@ -59,7 +60,7 @@ class TextIndex:
 
     def batches(self) -> list[str]:
         """Names of the whole batches."""
-        return [p.split("/")[-3] for p in _files(self.spark, f"{self.path}/*/members/_SUCCESS")]
+        return [p.split("/")[-3] for p in _files(self.spark, f"{self.path}/*/tops/_SUCCESS")]
 
     def add(self, sections: DataFrame, batch: str, block_rows: int = BLOCK) -> "TextIndex":
         """Index a batch of new sections (section_id, the fields, the kept columns). Null texts count as
@@ -67,7 +68,8 @@ class TextIndex:
         if batch in self.batches():
             return self
         folder = f"{self.path}/{batch}"
-        blocks = max(1, -(-sections.count() // block_rows))
+        sections.select("section_id", *self.keep).write.mode("overwrite").parquet(f"{folder}/members")
+        blocks = max(1, -(-self._read([batch], "members").count() // block_rows))
         block = F.concat_ws("-", F.lit(batch), F.pmod(F.xxhash64("section_id"), F.lit(blocks)).cast("string"))
         spots = F.concat(*[_spots(c, i, w) for i, (c, w) in enumerate(self.fields.items())])
         words = (sections.select("section_id", block.alias("block"), spots.alias("_spots"))
@@ -80,7 +82,6 @@ class TextIndex:
                 .agg(F.sum("weight").alias("_w"), F.max("length").alias("_n")))
         (held.groupBy("bucket", "term", "block").agg(F.count(F.lit(1)).alias("holders"), F.max(F.col("_w") / (F.col("_n") * 5)).alias("top"))
          .repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/tops"))
-        sections.select("section_id", *self.keep).write.mode("overwrite").parquet(f"{folder}/members")
         return self
 
     def _read(self, batches: Sequence[str], table: str) -> DataFrame:
@@ -107,7 +108,7 @@ class TextIndex:
 
         ``eligible`` (section_id) restricts the ranking; it acts before the cut at ``limit``. A block is
         read only if it holds all terms of a clause and, for queries with more than ``limit`` possible
-        hits, if the sum of its tops reaches the score of the hit of rank ``limit`` in the most promising
+        hits in many blocks, if the sum of its tops reaches the score of the hit of rank ``limit`` in the most promising
         blocks. In a block the rarest term gives the candidates; postings of the other terms are joined
         by section, so each moves at most once for all queries. Clauses, blocks and bars are staged: small
         tables by which the next step is chosen."""
@@ -122,7 +123,8 @@ class TextIndex:
                        F.count(F.lit(1)).alias("_have"), F.max("_need").alias("_need")).filter("_have = _need"))
         blocks = stage(blocks.drop("_have", "_need"), "index-blocks")
         bounds = blocks.groupBy("query_id", "block").agg(F.sum("bound").alias("bound"), F.sum("holders").alias("holders"))
-        many = bounds.groupBy("query_id").agg(F.sum("holders").alias("_most")).filter(F.col("_most") > limit).select("query_id")
+        many = (bounds.groupBy("query_id").agg(F.sum("holders").alias("_most"), F.count(F.lit(1)).alias("_blocks"))
+                .filter((F.col("_most") > limit) & (F.col("_blocks") >= WORTHWHILE * FIRST_BLOCKS)).select("query_id"))
         if not many.isEmpty():
             first = top_n(bounds.join(many, "query_id", "left_semi"), ["query_id"], [F.desc("bound"), F.asc("block")], FIRST_BLOCKS, "_rank")
             chosen = blocks.join(first.select("query_id", "block"), ["query_id", "block"], "left_semi")

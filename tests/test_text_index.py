@@ -27,6 +27,7 @@ def asked(spark):
 @pytest.mark.parametrize("limit", [3, 300])
 def test_index_ranks_like_the_text_search(spark, tmp_path, rows, monkeypatch, limit):
     monkeypatch.setattr(text_index, "FIRST_BLOCKS", 2)
+    monkeypatch.setattr(text_index, "WORTHWHILE", 1)
     corpus = sections(spark, 200)
     index = TextIndex(spark, str(tmp_path / "ix"), FIELDS, ("identity_id",), buckets=5).add(corpus, "b0", block_rows=16)
     cols = ("query_id", "section_id", "text_score", "text_rank")
@@ -49,7 +50,7 @@ def test_appends_read_only_new_sections_and_repeat_safely(spark, tmp_path, rows)
 def test_a_batch_that_was_not_finished_is_not_read_and_can_be_added_again(spark, tmp_path):
     index = TextIndex(spark, str(tmp_path / "ix"), FIELDS, buckets=3).add(sections(spark, 30), "b0")
     index.add(sections(spark, 30, 30), "b1")
-    (tmp_path / "ix" / "b1" / "members" / "_SUCCESS").unlink()
+    (tmp_path / "ix" / "b1" / "tops" / "_SUCCESS").unlink()
     assert index.batches() == ["b0"] and index.members.count() == 30
     assert index.add(sections(spark, 30, 30), "b1").members.count() == 60
 
