@@ -32,10 +32,62 @@ def _strictly_before(evidence: DataFrame, chunk: Column | None) -> DataFrame:
     return evidence.join(before, ["identity_id", "retrieved_at"], "left")
 
 
-# Stages a change passes, in order, with the status it stops at.
-STAGES = ("artifact", "extraction", "version", "quality", "knowledge", "lineage", "comparison", "review", "publication", "completed")
+# Stages a change passes, in order, and its statuses.
+STAGES = ("artifact", "extraction", "version", "quality", "knowledge", "lineage", "comparison", "review", "summary", "completed")
 STATUSES = ("pending", "queued", "running", "waiting_ocr", "no_content_change", "quality_review_required", "lineage_rejected",
-            "review_required", "completed", "retryable_failure", "failed", "summary_pending")
+            "review_required", "summary_pending", "summary_failed", "completed", "failed")
+
+# What a stage's latest outcome leads to: (stage, outcome, status, next stage, whether that stage is looked at).
+# An outcome of None is a stage that has not run.
+TRANSITIONS: tuple[tuple[str, str | None, str, str, bool], ...] = (
+    ("artifact", None, "pending", "artifact", False),
+    ("review", None, "review_required", "review", False),
+    ("summary", None, "summary_pending", "summary", False),
+    ("summary", "failed", "summary_failed", "summary", False),
+    ("extraction", "waiting", "waiting_ocr", "extraction", False),
+    ("version", "unchanged", "no_content_change", "completed", False),
+    ("quality", "held", "quality_review_required", "quality", False),
+    ("lineage", "quarantined", "lineage_rejected", "lineage", False),
+    ("comparison", "baseline", "completed", "completed", False),
+    ("comparison", "completed", "completed", "completed", False),
+    ("comparison", "material", "review_required", "review", True),
+    ("review", "confirmed", "summary_pending", "summary", True),
+    ("review", "completed", "completed", "completed", False),
+    ("summary", "completed", "completed", "completed", False),
+    *((stage, "completed", "running", then, True) for stage, then in zip(STAGES[:6], STAGES[1:7])),
+    *((stage, None, "running", stage, False) for stage in STAGES[1:7]),
+    *((stage, outcome, outcome, stage, False) for stage in STAGES[:8] for outcome in ("pending", "queued", "running", "failed")),
+    *(("summary", outcome, "summary_pending", "summary", False) for outcome in ("pending", "queued", "running")),
+)
+
+
+def workflow_states(workflows: DataFrame, attempts: DataFrame, transitions=TRANSITIONS, stages=STAGES) -> DataFrame:
+    """Status, current stage and number of stages passed of each workflow, by folding a table of transitions over
+    its stages in order.
+
+    workflows: workflow_id; attempts: workflow_id, stage, attempt_number, outcome. The latest attempt of a stage
+    counts (ties: larger outcome); it is found by an aggregate that combines before the shuffle, so a workflow has
+    at most one row a stage when they are gathered, however often it was retried. Attempts at stages beyond the
+    one that stops do not count, nor do unknown stages. A known stage's null or unknown outcome is ``failed``."""
+    names = F.array(*[F.lit(s) for s in stages])
+    last = (attempts.where(F.col("stage").isin(*stages)).groupBy("workflow_id", "stage")
+            .agg(F.max(F.struct("attempt_number", F.coalesce("outcome", F.lit("?")).alias("outcome")))["outcome"].alias("outcome")))
+    gathered = last.groupBy("workflow_id").agg(F.map_from_entries(F.collect_list(F.struct("stage", "outcome"))).alias("_outcomes"))
+    key = lambda stage, outcome: F.concat_ws("|", stage, F.coalesce(outcome, F.lit("")))
+    cell = lambda status, stage, go, passed: F.struct(status.alias("status"), stage.alias("stage"), go.alias("go"), passed.alias("passed"))
+    table = F.create_map(*[x for stage, outcome, status, then, go in transitions
+                           for x in (F.lit(f"{stage}|{outcome or ''}"), F.struct(F.lit(status).alias("status"), F.lit(then).alias("stage"), F.lit(go).alias("go")))])
+
+    def step(state, stage):
+        then = F.try_element_at(table, key(stage, F.try_element_at(F.col("_outcomes"), stage)))
+        moved = cell(F.coalesce(then["status"], F.lit("failed")), F.coalesce(then["stage"], stage), F.coalesce(then["go"], F.lit(False)),
+                     state["passed"] + (F.coalesce(then["stage"], stage) != stage).cast("int"))
+        return F.when(state["go"] & (state["stage"] == stage), moved).otherwise(state)
+
+    end = F.aggregate(names, cell(F.lit("pending"), F.lit(stages[0]), F.lit(True), F.lit(0)), step)
+    j = workflows.select("workflow_id").join(gathered, "workflow_id", "left").withColumn(
+        "_outcomes", F.coalesce("_outcomes", F.create_map().cast("map<string,string>")))
+    return j.select("workflow_id", end.alias("_end")).select("workflow_id", "_end.status", "_end.stage", "_end.passed")
 
 
 def workflow_status(stages: DataFrame) -> DataFrame:
@@ -115,20 +167,6 @@ def retry_table(outbox: DataFrame, as_of: str, max_attempts: int = 8, stale_minu
                         F.when(~terminal, wait).alias("retry_minutes"))
 
 
-def supersede(aliases: DataFrame, workflows: DataFrame) -> DataFrame:
-    """Workflow updates after duplicate identities were superseded: quality-held workflows of the
-    alias complete, those of the surviving identity are retried. aliases: source_id, target_id;
-    workflows: workflow_id, identity_id, status, retry_count."""
-    held = workflows.filter("status = 'quality_review_required'")
-    # An alias points to exactly one survivor, a survivor may have many aliases.
-    gone = aliases.select(F.col("source_id").alias("identity_id")).distinct().withColumn("new_status", F.lit("completed"))
-    kept = aliases.select(F.col("target_id").alias("identity_id")).distinct().withColumn("new_status", F.lit("pending"))
-    rules = gone.unionByName(kept.join(gone.select("identity_id"), "identity_id", "left_anti"))
-    j = held.join(rules, "identity_id")
-    return j.select("workflow_id", "identity_id", "new_status",
-                    (F.col("retry_count") + F.when(F.col("new_status") == "pending", 1).otherwise(0)).alias("retry_count"))
-
-
 def duplicate_identities(identities: DataFrame, versions: DataFrame) -> DataFrame:
     """Identities of one collection whose current versions have equal content, each paired with the
     oldest such identity (not with every other one), and the reason a pair cannot be merged.

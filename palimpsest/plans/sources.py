@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalars import restore_state
-from palimpsest.operators import gates, history, links, reliability, workflow
+from palimpsest.operators import aliases, gates, history, links, reliability, workflow
 from palimpsest.plans.registry import SQL_ONLY, query, shared
 from palimpsest.plans.texts import digest_sql
 
@@ -566,6 +566,40 @@ def workflow_status(t):
     return workflow.workflow_status(t.stage_result)
 
 
+# Attempts at the stages of a change: the lines of five orders each, every line an attempt.
+@shared
+def stage_attempt(d):
+    return """
+    SELECT cast(floor(l_orderkey / 5) AS bigint) AS workflow_id, stage, l_orderkey * 100 + l_linenumber AS attempt_number,
+      CASE WHEN stage = 'comparison' AND l_quantity BETWEEN 10 AND 36 THEN 'material' WHEN stage = 'review' AND l_quantity BETWEEN 10 AND 36 THEN 'confirmed' WHEN l_quantity <= 36 THEN 'completed' WHEN l_quantity <= 38 THEN 'failed'
+        WHEN l_quantity <= 40 THEN 'queued' WHEN l_quantity <= 42 THEN 'pending' WHEN l_quantity <= 44 THEN 'running'
+        ELSE CASE stage WHEN 'artifact' THEN 'failed' WHEN 'extraction' THEN 'waiting' WHEN 'version' THEN 'unchanged' WHEN 'quality' THEN 'held' WHEN 'lineage' THEN 'quarantined' WHEN 'comparison' THEN 'baseline' WHEN 'summary' THEN 'odd' ELSE 'completed' END END AS outcome
+    FROM (SELECT *, CASE l_partkey % 9 WHEN 0 THEN 'artifact' WHEN 1 THEN 'extraction' WHEN 2 THEN 'version' WHEN 3 THEN 'quality' WHEN 4 THEN 'knowledge' WHEN 5 THEN 'lineage' WHEN 6 THEN 'comparison' WHEN 7 THEN 'review' ELSE 'summary' END AS stage FROM lineitem) s"""
+
+
+@query("workflow_states", "G9", """
+SELECT workflow_id, CASE stop WHEN 'done' THEN 'completed' ELSE status END AS status, CASE WHEN stop = 'done' OR status IN ('completed', 'no_content_change') THEN 'completed' ELSE stop END AS stage FROM (
+  SELECT workflow_id, stop, CASE
+    WHEN stop = 'artifact' THEN coalesce(a1, 'pending') WHEN stop = 'done' THEN 'completed'
+    WHEN stop = 'extraction' THEN CASE a2 WHEN 'waiting' THEN 'waiting_ocr' ELSE coalesce(a2, 'running') END
+    WHEN stop = 'version' THEN CASE a3 WHEN 'unchanged' THEN 'no_content_change' ELSE coalesce(a3, 'running') END
+    WHEN stop = 'quality' THEN CASE a4 WHEN 'held' THEN 'quality_review_required' ELSE coalesce(a4, 'running') END
+    WHEN stop = 'knowledge' THEN coalesce(a5, 'running')
+    WHEN stop = 'lineage' THEN CASE a6 WHEN 'quarantined' THEN 'lineage_rejected' ELSE coalesce(a6, 'running') END
+    WHEN stop = 'comparison' THEN CASE a7 WHEN 'baseline' THEN 'completed' ELSE coalesce(a7, 'running') END
+    WHEN stop = 'review' THEN coalesce(a8, 'review_required')
+    WHEN a9 = 'odd' THEN 'failed' WHEN a9 = 'failed' THEN 'summary_failed' ELSE 'summary_pending' END AS status
+  FROM (SELECT *, CASE WHEN coalesce(a1, '') <> 'completed' THEN 'artifact' WHEN coalesce(a2, '') <> 'completed' THEN 'extraction' WHEN coalesce(a3, '') <> 'completed' THEN 'version'
+      WHEN coalesce(a4, '') <> 'completed' THEN 'quality' WHEN coalesce(a5, '') <> 'completed' THEN 'knowledge' WHEN coalesce(a6, '') <> 'completed' THEN 'lineage'
+      WHEN coalesce(a7, '') <> 'material' THEN 'comparison' WHEN a8 = 'completed' THEN 'done' WHEN coalesce(a8, '') <> 'confirmed' THEN 'review' WHEN coalesce(a9, '') <> 'completed' THEN 'summary' ELSE 'done' END AS stop
+    FROM (SELECT workflow_id, max(outcome) FILTER (stage = 'artifact') AS a1, max(outcome) FILTER (stage = 'extraction') AS a2, max(outcome) FILTER (stage = 'version') AS a3, max(outcome) FILTER (stage = 'quality') AS a4,
+        max(outcome) FILTER (stage = 'knowledge') AS a5, max(outcome) FILTER (stage = 'lineage') AS a6, max(outcome) FILTER (stage = 'comparison') AS a7, max(outcome) FILTER (stage = 'review') AS a8, max(outcome) FILTER (stage = 'summary') AS a9
+      FROM (SELECT DISTINCT cast(floor(o_orderkey / 5) AS bigint) AS workflow_id FROM orders) LEFT JOIN (SELECT * FROM stage_attempt QUALIFY row_number() OVER (PARTITION BY workflow_id, stage ORDER BY attempt_number DESC, outcome DESC) = 1) USING (workflow_id) GROUP BY 1)))""")
+def workflow_states(t):
+    flows = t.orders.select(F.floor(F.col("o_orderkey") / 5).cast("bigint").alias("workflow_id")).distinct()
+    return workflow.workflow_states(flows, t.stage_attempt).select("workflow_id", "status", "stage")
+
+
 @shared
 def outbox(d):
     return "SELECT o_orderkey AS event_id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'O' THEN 'pending' ELSE 'failed' END AS status, cast(floor(o_totalprice / 50000) as int) AS attempts, o_orderdate AS available_at, o_orderdate AS published_at FROM orders"
@@ -608,13 +642,53 @@ def alias_resolution(t):
     return workflow.resolve_alias(t.identity_row).join(active, "identity_id")
 
 
+# Requests to supersede: parts by size give way to a neighbour, which makes chains and cycles; some have no good reason.
+@shared
+def supersession_request(d):
+    return f"""
+    SELECT p_partkey AS source_id, CASE WHEN p_size <= 40 THEN p_partkey - 1 WHEN p_size >= 48 THEN p_partkey + 1 END AS target_id,
+      CASE WHEN p_size = 7 THEN p_name ELSE 'same content as the other ' || p_name END AS reason, 'user' AS actor_type, CASE WHEN p_size = 9 THEN ' ' ELSE p_brand END AS actor_id,
+      {d.sha('p_name')} AS content_sha256, {d.ts('2024-01-01 00:00:00')} + {d.minutes('p_partkey')} AS recorded_at
+    FROM part
+    UNION ALL SELECT p_partkey, p_partkey + 2, 'a later request for the same part', 'user', p_brand, {d.sha('p_type')}, {d.ts('2025-01-01 00:00:00')} FROM part WHERE p_type = 'PROMO' AND p_size <= 40"""
+
+
+SQL_ONLY["supersession_alias"] = """
+    SELECT *, CASE WHEN target_id IS NULL THEN 'identity_missing' WHEN length(trim(reason)) NOT BETWEEN 20 AND 2000 THEN 'reason_length' WHEN trim(actor_id) = '' THEN 'actor_missing'
+      WHEN recorded_at > min(CASE WHEN target_id IS NOT NULL AND length(trim(reason)) BETWEEN 20 AND 2000 AND trim(actor_id) <> '' THEN recorded_at END) OVER (PARTITION BY source_id) THEN 'already_superseded' END AS rejection
+    FROM supersession_request"""
+
+SQL_ONLY["supersession_link"] = """
+    SELECT source_id, target_id, CASE WHEN list_contains(path, node) THEN list_min(path[list_position(path, node):]) ELSE node END AS resolved_id, list_contains(path, node) AS cyclic FROM (
+      WITH RECURSIVE a AS (SELECT source_id, target_id FROM supersession_alias WHERE rejection IS NULL),
+      walk AS (SELECT source_id, target_id, target_id AS node, [source_id] AS path FROM a
+        UNION ALL SELECT w.source_id, w.target_id, a.target_id, list_append(w.path, w.node) FROM walk w JOIN a ON a.source_id = w.node WHERE NOT list_contains(w.path, w.node))
+      SELECT * FROM walk WHERE list_contains(path, node) OR node NOT IN (SELECT source_id FROM a))"""
+
+
+def supersession_links(t):
+    return aliases.resolve(aliases.alias_rows(t.supersession_request).where("rejection is null"))
+
+
+@query("supersession_aliases", "G20 J17", """
+SELECT source_id, target_id, rejection, CASE WHEN rejection IS NULL THEN '{"actor_identifier":"' || trim(actor_id) || '","actor_type":"user","normalized_content_sha256":"' || content_sha256 || '","reason":"' || trim(reason)
+  || '","strategy":"reviewed_duplicate_content_v1","target_identity_id":"' || target_id || '"}' END AS basis FROM supersession_alias""")
+def supersession_aliases(t):
+    return aliases.alias_rows(t.supersession_request).drop("recorded_at")
+
+
+@query("supersession_chains", "G20 J17 P2", "SELECT source_id, target_id, resolved_id, cyclic FROM supersession_link")
+def supersession_chains(t):
+    return supersession_links(t)
+
+
 @query("supersession_updates", "G20", """
-WITH a AS (SELECT DISTINCT p_partkey AS source_id, p_size AS target_id FROM part WHERE p_retailprice BETWEEN 950 AND 1000)
-SELECT workflow_id, identity_id, CASE WHEN identity_id IN (SELECT source_id FROM a) THEN 'completed' ELSE 'pending' END AS new_status, retry_count + CASE WHEN identity_id IN (SELECT source_id FROM a) THEN 0 ELSE 1 END AS retry_count
-FROM workflow_row WHERE status = 'quality_review_required' AND (identity_id IN (SELECT source_id FROM a) OR identity_id IN (SELECT target_id FROM a))""")
+SELECT workflow_id, identity_id, CASE WHEN gone THEN 'completed' ELSE 'pending' END AS new_status, CASE WHEN gone THEN 'completed' ELSE 'artifact' END AS new_stage, gone AS finished,
+  retry_count + CASE WHEN gone THEN 0 ELSE 1 END AS retry_count
+FROM workflow_row JOIN (SELECT source_id AS identity_id, true AS gone FROM supersession_link WHERE source_id <> resolved_id UNION SELECT resolved_id, false FROM supersession_link) USING (identity_id)
+WHERE status = 'quality_review_required'""")
 def supersession_updates(t):
-    aliases = t.part.filter("p_retailprice between 950 and 1000").select(F.col("p_partkey").alias("source_id"), F.col("p_size").cast("bigint").alias("target_id"))
-    return workflow.supersede(aliases, t.workflow_row)
+    return aliases.workflow_updates(supersession_links(t), t.workflow_row)
 
 
 @query("ocr_plan", "G21", "SELECT artifact_id, count(*) AS n FROM (SELECT DISTINCT artifact_id FROM extraction WHERE status = 'ocr_required') WHERE artifact_id NOT IN (SELECT source_artifact_id FROM derivative) GROUP BY 1")
