@@ -310,26 +310,3 @@ def chat_sources(ranked: DataFrame, sections: DataFrame, threads: DataFrame, lim
                 .select("query_id", "section_id", "ordinal"))
     fallback = top_n(fallback, ["query_id"], [F.asc("ordinal"), F.asc("section_id")], limit, "source_number")
     return best.unionByName(fallback.select("query_id", "section_id", "source_number", F.lit(True).alias("fallback")))
-
-
-def approximate_nearest(corpus: DataFrame, queries: DataFrame, k: int, *, bits: int = 6, tables: int = 16,
-                        seed: int = 7) -> DataFrame:
-    """Approximate cosine neighbours: random-hyperplane signatures pick candidates by equality on
-    any of ``tables`` signatures, then exact distances re-rank them. corpus: item_id, vector."""
-    dim = corpus.select(F.size("vector").alias("d")).first()["d"]
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-
-    @vectorized("array<bigint>")
-    def signatures(vectors: pd.Series) -> pd.Series:
-        m = np.array(vectors.tolist(), dtype="float64").reshape(len(vectors), -1)
-        powers = 1 << np.arange(bits)
-        sig = [((m @ planes[t].T) >= 0) @ powers for t in range(tables)]
-        return pd.Series(list(np.stack(sig, axis=1).astype("int64")))
-
-    sign = lambda df, i: df.select(i, "vector", F.posexplode(signatures("vector")).alias("_table", "_sig"))
-    pairs = (sign(queries, "query_id").withColumnRenamed("vector", "_q")
-             .join(sign(corpus, "item_id"), ["_table", "_sig"]))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot("_q", "vector") / F.sqrt(dot("_q", "_q") * dot("vector", "vector"))
-    scored = (pairs.select("query_id", "item_id", F.round(1.0 - cosine, 9).alias("distance")).distinct())
-    return top_n(scored, ["query_id"], [F.asc("distance"), F.asc("item_id")], k, "vector_rank")

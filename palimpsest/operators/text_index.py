@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.text import tokens
 from palimpsest.operators.history import top_n
 from palimpsest.operators.search import CANDIDATES, WEIGHT_FIFTHS, parse_query_udf
-from palimpsest.session import stage
+from palimpsest.session import files, stage
 
 BLOCK = 4096
 BUCKETS = 64
@@ -42,12 +42,6 @@ def _spots(column: str, field: int, weight: str) -> Column:
         t.alias("term"), (F.lit(field << FIELD_SHIFT).cast("bigint") + i).alias("spot"), F.lit(WEIGHT_FIFTHS[weight]).alias("weight")))
 
 
-def _files(spark: SparkSession, pattern: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(str(s.getPath().toString()) for s in found or [])
-
-
 @dataclass(frozen=True)
 class TextIndex:
     """``fields`` maps text columns to weight classes, ``keep`` names the columns of ``members``."""
@@ -60,7 +54,7 @@ class TextIndex:
 
     def batches(self) -> list[str]:
         """Names of the whole batches."""
-        return [p.split("/")[-3] for p in _files(self.spark, f"{self.path}/*/tops/_SUCCESS")]
+        return [p.split("/")[-3] for p in files(self.spark, f"{self.path}/*/tops/_SUCCESS")]
 
     def add(self, sections: DataFrame, batch: str, block_rows: int = BLOCK) -> "TextIndex":
         """Index a batch of new sections (section_id, the fields, the kept columns). Null texts count as

@@ -50,6 +50,13 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def files(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, sorted; none where nothing does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(str(s.getPath().toString()) for s in found or [])
+
+
 def input_state(spark: SparkSession, *paths: str) -> str:
     """A digest of the names, sizes and times of the files of parquet tables: the same as long as no file is
     added or changed. Reads no column."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.vectors import embed_udf
 from palimpsest.operators import gates, history, impacts, quality, reliability, search, usage, workflow
+from palimpsest.operators.vector_index import VectorIndex
 from palimpsest.sinks import tables as sinks
 
 
@@ -123,7 +124,7 @@ def test_text_score_is_weighted_frequency_over_length(spark):
     assert got["1:1"] == pytest.approx((1.0 + 2 * 0.2) / 12) and got["3:1"] == pytest.approx(0.2 / 9)
 
 
-def test_nearest_paths_equal_brute_force(spark):
+def test_nearest_paths_equal_brute_force(spark, tmp_path):
     rng = np.random.default_rng(1)
     vs, qs = rng.normal(size=(60, 8)), rng.normal(size=(7, 8))
     vs[5] = vs[6]
@@ -134,7 +135,9 @@ def test_nearest_paths_equal_brute_force(spark):
     take = lambda df: {(r.query_id, r.item_id, r.vector_rank) for r in df.collect()}
     assert take(search.nearest(c, q, 5)) == want
     assert take(search.nearest(c, q, 5, limit=2, block_rows=13)) == want
-    found = take(search.approximate_nearest(c, q, 5, bits=3, tables=24))
+    index = VectorIndex.build(c, f"{tmp_path}/index", lists=8)
+    assert take(index.search(q, 5, exact=True)) == want
+    found = take(index.search(q, 5, probes=6))
     assert len({(a, b) for a, b, _ in found} & {(a, b) for a, b, _ in want}) >= 0.8 * len(want)
 
 
