@@ -4,11 +4,12 @@ Every paragraph (line) of every text is classified by softmax regression over sp
 two words) of licence notices, and a feature for the share of words that no notice uses. The classes are
 licence families and an unknown class. The model is trained here: on variations of each family's notices
 (words dropped, replaced or added around) against a bounded sample of corpus paragraphs and against shuffled
-notices. A temperature fitted on held-out variations and paragraphs calibrates the probabilities, so that
-the unknown class can be trusted. A predicted family is confirmed by comparing the paragraph with the
-family's templates; what is not confirmed is unknown. In a paragraph longer than a template, windows of the
+notices, notices of licences beyond the families and negated notices. A temperature fitted on held-out variations
+and paragraphs calibrates the probabilities. A predicted family is confirmed by comparing the paragraph with the
+family's templates, of which one must be as similar as any other family's and any unknown notice; what is not
+confirmed is unknown. In a paragraph longer than a template, windows of the
 template's length that hold one of its word pairs are classified and confirmed the same way, so a notice
-counts wherever it stands.
+counts wherever it stands, unless the word before it, or the one before a word like ``yet``, negates it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import Batches, as_bytes, column_values, with_columns
 
-SAMPLE = 4_000  # corpus paragraphs that stand for the unknown class in training
+SAMPLE = 4_000  # corpus paragraphs, about, that stand for the unknown class in training
+NEGATIONS = {b"not", b"never", b"isn", b"wasn", b"aren", b"cannot", b"neither", b"nor", b"no"}
+BETWEEN = {b"t", b"yet", b"been", b"being", b"currently"}  # words that may stand between a negation and what it negates
 UNKNOWN = "unknown"
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][0-9]+)*")
 
@@ -33,16 +36,41 @@ WORD = re.compile(rb"[a-z0-9\x80-\xff]+(?:[.-][0-9]+)*")
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.",
                    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+                   "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+                   "See the License for the specific language governing permissions and limitations under the License.",
                    "Released under the Apache License 2.0.", "SPDX-License-Identifier: Apache-2.0"),
     "mit": ("Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+            "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement."),
     "bsd": ("Licensed under the BSD 3-Clause License.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause",
-            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+            "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+            "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+            "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+            "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+            "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties are disclaimed."),
+    "isc": ("Released under the ISC License.", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+            "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness."),
     "gpl": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
-            "SPDX-License-Identifier: GPL-3.0-or-later"),
-    "lgpl": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only"),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+            "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+            "See the GNU General Public License for more details.", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    "lgpl": ("Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-only",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+             "You should have received a copy of the GNU Lesser General Public License along with this library.",
+             "See the GNU Lesser General Public License for more details."),
+    "agpl": ("Licensed under the GNU Affero General Public License, version 3.", "GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0-only",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+             "You should have received a copy of the GNU Affero General Public License along with this program.",
+             "See the GNU Affero General Public License for more details."),
+    "epl": ("Licensed under the Eclipse Public License 2.0.", "Distributed under the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0",
+            "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0",
+            "Licensed under the Mozilla Public License 2.0.",
+            "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
@@ -50,6 +78,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "proprietary": ("All rights reserved.", "Copyright 2020 the authors. All rights reserved.", "Unauthorized copying of this file is strictly prohibited."),
 }
 
+#: Notices of licences that are no family, examples of the unknown class.
+OTHERS = ("Licensed under the Artistic License 2.0.", "Licensed under the European Union Public Licence, version 1.2.", "Licensed under the Common Development and Distribution License.",
+          "Released under the zlib License.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the Academic Free License, version 3.0.",
+          "Released under the Unlicense.", "This is free and unencumbered software released into the public domain.", "Licensed under the Open Software License 3.0.",
+          "Licensed under the Python Software Foundation License.", "Licensed under the SIL Open Font License, Version 1.1.", "Licensed under the Microsoft Public License.",
+          "Licensed under the Server Side Public License, version 1.", "Licensed under the Business Source License 1.1.", "Licensed under the PostgreSQL License.",
+          "Licensed under the GNU Free Documentation License, version 1.3.", "Licensed under CC BY-ND 4.0.", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: BSL-1.0")
+
 
 def words(paragraph: bytes) -> list[bytes]:
     return WORD.findall(paragraph.lower())
@@ -59,18 +95,23 @@ def grams(tokens: list[bytes]) -> list[bytes]:
     return tokens + [a + b" " + b for a, b in zip(tokens, tokens[1:])]
 
 
-def similarity(tokens: list[bytes], templates: list[list[bytes]]) -> float:
-    """The best template's share of n-grams that the paragraph holds, times the paragraph's share of n-grams
+def similarity(tokens: list[bytes], templates: list[list[bytes]] | list[frozenset[bytes]]) -> float:
+    """The best template's (given by its words or its n-grams) share of n-grams that the paragraph holds, times the paragraph's share of n-grams
     that the template holds, the latter by square root: notices may stand in longer paragraphs."""
     own, best = set(grams(tokens)), 0.0
     for t in templates:
-        other = set(grams(t))
+        other = t if isinstance(t, frozenset) else set(grams(t))
         both = len(own & other)
         if both:
             best = max(best, both / len(other) * (both / len(own)) ** 0.5)
     return best
 
 
+def negated(before: list[bytes]) -> bool:
+    """Whether the words before a notice negate it."""
+    return bool(before) and (before[-1] in NEGATIONS or before[-1] in BETWEEN and before[0] in NEGATIONS)
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -79,6 +120,12 @@ class Model:
     bias: np.ndarray
     temperature: float
     templates: dict[str, list[list[bytes]]]
+    others: list[list[bytes]]  # notices of the unknown class
+
+    @cached_property
+    def sets(self) -> dict[str, list[frozenset[bytes]]]:
+        """The n-grams of the templates by family, of the unknown notices as the unknown family's."""
+        return {f: [frozenset(grams(t)) for t in ts] for f, ts in {**self.templates, UNKNOWN: self.others}.items()}
 
     def vector(self, tokens: list[bytes]) -> tuple[list[int], list[float]]:
         known = sorted({self.index[g] for g in grams(tokens) if g in self.index})
@@ -94,12 +141,15 @@ class Model:
         return self.families[k], float(p[k])
 
     def judge(self, tokens: list[bytes], p_least: float, s_least: float) -> tuple[str, float, float] | None:
-        """Family, probability and similarity, where a family is predicted and confirmed."""
+        """Family, probability and similarity, where a family is predicted and confirmed: none of the other families'
+        templates or unknown notices is more similar."""
         family, p = self.classify(tokens)
         if family == UNKNOWN or p < p_least:
             return None
-        s = similarity(tokens, self.templates[family])
-        return (family, p, s) if s >= s_least else None
+        s = similarity(tokens, self.sets[family])
+        if s < s_least or any(similarity(tokens, ts) > s for f, ts in self.sets.items() if f != family):
+            return None
+        return family, p, s
 
     @cached_property
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,6 +190,10 @@ class Model:
         for (i, j), hit in sorted(((w, h) for w, h in judged if h), key=lambda x: (-x[1][2], -x[1][1], x[0])):
             if all(j <= p or q <= i for (p, q), _ in taken):
                 taken.append(((i, j), hit))
+        plain = [(w, h) for w, h in taken if not negated(tokens[max(0, w[0] - 2):w[0]])]
+        if whole and whole[0] in {h[0] for _, h in taken} - {h[0] for _, h in plain}:
+            whole = None
+        taken = plain
         if whole:  # another family counts where the paragraph without it is still a notice of the first
             taken = [(w, h) for w, h in taken if h[0] == whole[0] or (self.judge(tokens[:w[0]] + tokens[w[1]:], p_least, s_least) or whole[1:])[0] == whole[0]]
         best = {whole[0]: whole} if whole else {}
@@ -149,12 +203,12 @@ class Model:
         return sorted(best.values(), key=lambda h: at.get(h[0], (0, 0)))
 
 
-def variations(templates: dict[str, tuple[str, ...]], noise: list[list[bytes]], each: int, rng: random.Random):
+def variations(templates: dict[str, list[list[bytes]]], noise: list[list[bytes]], each: int, rng: random.Random):
     """Notices with words dropped, replaced or added at the ends, and their shuffled words as unknown."""
     for family, texts in templates.items():
         for text in texts:
             for i in range(each):
-                tokens, other = words(text.encode()), rng.choice(noise) if noise else []
+                tokens, other = list(text), rng.choice(noise) if noise else []
                 if i:
                     tokens = [w for w in tokens if rng.random() > 0.08] or tokens
                 if i % 3 == 1 and other:
@@ -185,26 +239,33 @@ def _softmax_fit(rows, cols, x, y, n_cols: int, n_classes: int, l2: float = 0.05
 
 
 def fit(docs: DataFrame, text: str = "text", templates: dict[str, tuple[str, ...]] | None = None, sample: int = SAMPLE, seed: int = 7) -> Model:
-    """Train on the templates and on at most ``sample`` paragraphs of the corpus, those of the smallest hashes
-    among the paragraphs that share no notice's wording; half of either side is for the calibration."""
+    """Train on the templates and on about ``sample`` whole paragraphs of the corpus, those of the smallest hashes
+    among the different paragraphs that share no notice's wording; half of either side is for the calibration.
+    They are counted first and picked by a threshold of their hash, so that no more are gathered."""
+    others = list(OTHERS) if templates is None else []
     templates = TEMPLATES if templates is None else templates
     known = {f: [words(t.encode()) for t in ts] for f, ts in templates.items()}
+    unknown = [words(t.encode()) for t in others]
+    unknown += [[b"not", *t] for ts in known.values() for t in ts if t[0] in (b"licensed", b"released", b"distributed")]
     line = F.trim(F.col("line"))
     notice = F.lower(line).rlike("licen[sc]e|copyright|rights reserved|redistribut|permission is hereby|creative commons|cc.by|cc0")
     lines = docs.select(F.explode(F.split(F.col(f"`{text}`"), "\n")).alias("line")).where((line != "") & ~notice)
-    noise = [words(r.line.encode()) for r in lines.select(F.substring("line", 1, 2000).alias("line"), F.xxhash64("line").alias("h")).orderBy("h", "line").limit(sample).collect()]
+    hashed = lines.select("line", F.xxhash64("line").alias("h"))
+    different = hashed.agg(F.approx_count_distinct("h", 0.02).alias("n")).first()["n"]
+    top = -(1 << 63) + ((1 << 64) - 1) * sample // max(different, sample, 1)
+    noise = [words(r.line.encode()) for r in hashed.where(F.col("h") <= F.lit(top)).groupBy("h").agg(F.min("line").alias("line")).orderBy("h", "line").collect()]
     noise = [t for t in noise if t]
     rng = random.Random(seed)
-    rows = [*variations(templates, noise, 24, rng), *[(t, UNKNOWN) for t in noise]]
+    rows = [*variations({**known, UNKNOWN: unknown}, noise, 24, rng), *[(t, UNKNOWN) for t in noise]]
     lengths = sorted({len(t) for ts in known.values() for t in ts})
     for t in noise:  # windows of prose, as a scan of long paragraphs meets them
         n = rng.choice(lengths)
         i = rng.randrange(max(1, len(t) - n + 1))
         rows.append((t[i:i + n], UNKNOWN))
     rng.shuffle(rows)
-    index = {g: i for i, g in enumerate(sorted({g for ts in known.values() for t in ts for g in grams(t)}))}
+    index = {g: i for i, g in enumerate(sorted({g for ts in (*known.values(), unknown) for t in ts for g in grams(t)}))}
     families = [UNKNOWN, *templates]
-    model = Model(families, index, np.zeros((len(index) + 1, len(families))), np.zeros(len(families)), 1.0, known)
+    model = Model(families, index, np.zeros((len(index) + 1, len(families))), np.zeros(len(families)), 1.0, known, unknown)
 
     def design(part):
         vectors = [model.vector(t) for t, _ in part]

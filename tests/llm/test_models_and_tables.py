@@ -109,6 +109,61 @@ def test_notices_inside_long_lines_are_found(spark):
     assert not any(got[2000 + i].families for i in range(40))
 
 
+def test_other_and_negated_notices_are_no_family(spark):
+    prose = lambda i, n: " ".join(random.Random(i).choices("stone water field quiet amber under version free the of is to".split(), k=n))
+    good = {"GNU Affero General Public License": "agpl", "Distributed under the Eclipse Public License 2.0.": "epl", "Licensed under the ISC License.": "isc",
+            "Copyright 2021 Jane. All rights reserved.": "proprietary", "See the GNU General Public License for more details.": "gpl",
+            "It is not yours. All rights reserved.": "proprietary", prose(1, 700) + " Released under the MIT License. " + prose(2, 700): "mit"}
+    bad = ["Not licensed under the MIT License.", "This file is not licensed under the MIT License in any form.", "The software isn't released under the Apache License 2.0.",
+           prose(3, 30) + " Not released under the MIT License. " + prose(4, 30), *license_scan.OTHERS]
+    texts = [(i, t) for i, t in enumerate([*good, *bad])] + [(1000 + i, prose(50 + i, 40)) for i in range(60)]
+    got = {r.doc_id: r.families for r in license_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(good))] == [[f] for f in good.values()]
+    assert {t: got[len(good) + i] for i, t in enumerate(bad) if got[len(good) + i]} == {}
+    assert not any(got[1000 + i] for i in range(60))
+
+
+def test_scan_equals_judging_every_line_and_window(spark):
+    rng = random.Random(8)
+    parts = [w.decode() for ts in license_scan.TEMPLATES.values() for t in ts for w in license_scan.words(t.encode())] + ["amber", "not", "field"] * 20
+    own = [t for ts in license_scan.TEMPLATES.values() for t in ts]
+    line = lambda: " ".join(x for _ in range(rng.randrange(1, 5)) for x in (rng.choice(own), *rng.choices(parts, k=rng.randrange(8))))
+    texts = [(i, "\n".join(line() for _ in range(rng.randrange(4)))) for i in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    model = license_scan.fit(frame)
+
+    no = "|".join(w.decode() for w in license_scan.NEGATIONS)
+
+    def holds(tokens, window, notice):
+        """Enough of the notice's n-grams and one of its word pairs."""
+        own = license_scan.grams(window)
+        return any(g in notice for g in own[len(window):]) and sum(g in notice for g in own) >= 0.4 * len(notice) <= len(notice & set(license_scan.grams(tokens)))
+
+    def families(text):
+        out = set()
+        for row in text.split("\n"):
+            tokens = license_scan.words(row.encode())
+            spans = {(i, i + len(t)) for ts in model.templates.values() for t in ts if 1 < len(t) < len(tokens) for i in range(len(tokens) - len(t) + 1)
+                     if holds(tokens, tokens[i:i + len(t)], set(license_scan.grams(t)))}
+            hits, taken = [((i, j), model.judge(tokens[i:j], 0.5, 0.4)) for i, j in spans], []
+            for (i, j), h in sorted((x for x in hits if x[1]), key=lambda x: (-x[1][2], -x[1][1], x[0])):
+                if not any(i < q and p < j for (p, q), _ in taken):
+                    taken.append(((i, j), h))
+            plain = [x for x in taken if not re.search(rf" ({no})( (t|yet|been|being|currently))? $", " " + b" ".join([*tokens[:x[0][0]], b""]).decode())]
+            whole = model.judge(tokens, 0.5, 0.4) if tokens else None
+            if whole and any(h[0] == whole[0] for _, h in taken) and not any(h[0] == whole[0] for _, h in plain):
+                whole = None
+            for (i, j), h in plain:
+                rest = model.judge(tokens[:i] + tokens[j:], 0.5, 0.4) if whole else None
+                if not whole or h[0] == whole[0] or (rest and rest[0] == whole[0]):
+                    out.add(h[0])
+            out |= {whole[0]} if whole else set()
+        return sorted(out)
+
+    got = {r.doc_id: r.notices for r in license_scan.notices(frame, model).collect()}
+    assert {i: sorted({n.family for n in got[i]}) for i, _ in texts} == {i: families(t) for i, t in texts}
+
+
 # chat
 
 def test_snapshots_collapse(spark):
