@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,19 +170,33 @@ def severity(docs: DataFrame, model: Model, text: str = "text", cut: float = CUT
     Null and empty texts carry no features and get the base rate. No shuffle."""
     added = ("severity", "p_at_least", "toxic")
     kept = [f for f in docs.schema.fields if f.name not in added]
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept])
+    if text in source.columns:  # the worker takes the text from its column, so that it is sent once
+        return source.mapInArrow(_scores(model, cut, lambda batch: batch.column(batch.schema.get_field_index(text))), _scored(kept))
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], as_bytes(f"`{text}`").alias("__text"))
+    return source.mapInArrow(_scores(model, cut, lambda batch: batch.column(batch.num_columns - 1), ("__text",)), _scored(kept))
+
+
+def _scored(kept: list[T.StructField]) -> T.StructType:
+    return T.StructType([*kept, T.StructField("severity", T.DoubleType()), T.StructField("p_at_least", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.BooleanType())])
 
+
+def _scores(model: Model, cut: float, texts, drop: tuple[str, ...] = ()):
+    """Add the model's columns to batches whose texts ``texts`` takes out."""
     def run(batches: Batches) -> Batches:
         for batch in slices(batches, 1000):
-            s = np.array([model.score(t) for t in column_values(batch, "__text")], float)
+            s = np.array([model.score(t) for t in texts(batch).cast(pa.binary()).to_pylist()], float)
             p = model.at_least(s)
             expected = p.sum(axis=1)
-            yield with_columns(batch, ("__text",), severity=pa.array(expected), p_at_least=pa.array(list(p), pa.list_(pa.float64())), toxic=pa.array(expected >= cut))
+            yield with_columns(batch, drop, severity=pa.array(expected), p_at_least=pa.array(list(p), pa.list_(pa.float64())), toxic=pa.array(expected >= cut))
 
-    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], as_bytes(f"`{text}`").alias("__text"))
-    return source.mapInArrow(run, T.StructType([*kept, T.StructField("severity", T.DoubleType()), T.StructField("p_at_least", T.ArrayType(T.DoubleType())), T.StructField("toxic", T.BooleanType())]))
+    return run
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The documents below the cut, with their own columns."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "text")
-    return severity(whole, fit(docs, labels), cut=cut).where("not toxic").select("__doc.*")
+    """The documents below the cut, with their own columns, whatever their names. Null and empty texts get the base
+    rate, repeated rows are judged each."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    at = docs.columns.index("text")
+    scored = whole.mapInArrow(_scores(fit(docs, labels), cut, lambda batch: pc.struct_field(batch.column(0), [at])), _scored(whole.schema.fields))
+    return scored.where("not toxic").select("__doc.*")

@@ -164,6 +164,25 @@ def test_scan_equals_judging_every_line_and_window(spark):
     assert {i: sorted({n.family for n in got[i]}) for i, _ in texts} == {i: families(t) for i, t in texts}
 
 
+# toxicity: the filter against the scores
+
+def test_filter_keeps_what_the_scores_leave(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = [(i, " ".join([word() for _ in range(30)] + ["vile rotten"] * (3 if i % 4 == 0 else 0)), i % 4 == 0) for i in range(300)]
+    rows = [(i, t, 1.0, "x") for i, t, _ in texts] + [(1000, None, 1.0, "x"), (1001, "", 1.0, "x"), (4, texts[4][1], 1.0, "x"), (5, texts[5][1], 1.0, "x"), (1002, "clean " * 200_000, 1.0, "x"), (1003, "clean " * 200_000 + "vile rotten " * 500, 1.0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, severity double, toxic string")
+    labels = spark.createDataFrame([(i, int(y)) for i, _, y in texts], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    scored = toxicity.severity(docs.drop("severity", "toxic"), toxicity.fit(docs, labels)).collect()
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted(r.doc_id for r in scored if not r.toxic)
+    assert ids.count(5) == 2 and 4 not in ids and {1000, 1001, 1002} <= set(ids) and 1003 not in ids
+    as_severity = toxicity.severity(docs.drop("severity").withColumn("toxic", docs.text).drop("text"), toxicity.fit(docs, labels), text="toxic")
+    assert sorted(r.severity for r in as_severity.collect()) == sorted(r.severity for r in scored)
+
+
 # chat
 
 def test_snapshots_collapse(spark):
