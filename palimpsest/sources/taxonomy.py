@@ -35,9 +35,10 @@ def with_parents(term_rows: DataFrame) -> DataFrame:
     return term_rows.join(parents, ["taxonomy_id", "dimension", "parent_code"], "left")
 
 
-def violations(term_rows: DataFrame, dimensions: list[str]) -> DataFrame:
+def violations(term_rows: DataFrame, dimensions: list[str], max_terms: int | None = MAX_TERMS) -> DataFrame:
     """(taxonomy_id, dimension, code, position, rule): bad slugs, unknown dimensions, repeated
-    (dimension, code), parents that are missing or not earlier, taxonomies out of size bounds."""
+    (dimension, code), parents that are missing or not earlier, taxonomies of more than ``max_terms``
+    terms (None: of any size)."""
     firsts = term_rows.groupBy("taxonomy_id", "dimension", "code").agg(F.min("position").alias("_first"))
     sizes = term_rows.groupBy("taxonomy_id").agg(F.count(F.lit(1)).alias("_size"))
     j = with_parents(term_rows).join(firsts, ["taxonomy_id", "dimension", "code"]).join(sizes, "taxonomy_id")
@@ -47,7 +48,7 @@ def violations(term_rows: DataFrame, dimensions: list[str]) -> DataFrame:
         "label": F.trim(F.coalesce("label", F.lit(""))) == "",
         "duplicate": F.col("position") > F.col("_first"),
         "parent": F.col("parent_code").isNotNull() & ~F.coalesce(F.col("parent_position") < F.col("position"), F.lit(False)),
-        "size": F.col("_size") > MAX_TERMS,
+        "size": F.col("_size") > max_terms if max_terms is not None else F.lit(False),
     }
     failed = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules.items()]))
     return j.select("taxonomy_id", "dimension", "code", "position", F.explode(failed).alias("rule"))
