@@ -65,7 +65,7 @@ def corpus_section(t):
     collection and language; every eighth line heads the seven after it."""
     keep = ("identity_id", "title", "identity_title", "canonical_url", "collection_id", "language", "created_at")
     versions = t.version.withColumn("identity_title", F.concat_ws(" ", "collection_id", "language"))
-    return line_sections(versions, keep=keep, heading_every=8)
+    return line_sections(versions, keep=keep, heading_every=8, offsets=False)
 
 
 SQL_ONLY["corpus_section"] = """

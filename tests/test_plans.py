@@ -1,9 +1,13 @@
 """Registered queries next to their SQL twins on small tables made for one rule."""
 
+from pathlib import Path
+
 import duckdb
 
 from palimpsest import plans
+from palimpsest.operators import search
 from palimpsest.plans.registry import Tables, oracle
+from palimpsest.session import shared_folder
 
 
 def both(spark, folder, name, *tables):
@@ -20,3 +24,24 @@ def test_taxonomies_of_more_than_500_terms_keep_to_the_sql(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got, want = both(spark, tmp_path, "taxonomy_violations", "part")
     assert got == want and {r[-1] for r in got} == {"dimension", "label", "duplicate", "parent"}
+
+
+def test_searches_stage_less_than_they_read(spark, tmp_path):
+    lines = [" ".join(f"w{(i * 7 + j * j) % 997}" for j in range(40)) for i in range(60)]
+    docs = [(i, "\n".join(lines[(i + k) % 60] for k in range(20)), "en", f"src{i % 3}") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.option("compression", "none").parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, lines[i]) for i in range(5)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    size = lambda folder: sum(f.stat().st_size for f in Path(folder).rglob("*.parquet") if f.is_file())
+    before = size(shared_folder(spark))
+    for name in ("full_text_search", "knowledge_text_search", "eligible_search"):
+        got, want = both(spark, tmp_path, name, "documents", "benchmark")
+        assert got == want and got
+    assert size(shared_folder(spark)) - before < size(tmp_path / "documents.parquet") / 10
+
+
+def test_clauses_that_travel_and_clauses_that_are_joined_find_the_same(spark, rows):
+    corpus = spark.createDataFrame([("a", "alpha beta", "x gamma"), ("b", None, "beta gamma gamma"), ("c", "alpha", None)], "section_id string, title string, text string")
+    asked = spark.createDataFrame([(1, "alpha"), (2, "beta gamma"), (3, '"gamma gamma" or "alpha beta"'), (4, "gamma -alpha"), (5, "beta"), (6, "")], "query_id bigint, query string")
+    cols = ("query_id", "section_id", "text_score", "text_rank", "title")
+    found = [rows(search.full_text(corpus, asked, {"title": "A", "text": "C"}, keep=["title"], broadcast=n), *cols) for n in (100, 1)]
+    assert found[0] == found[1] and {r[:2] for r in found[0]} == {(1, "a"), (1, "c"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (4, "b"), (5, "a"), (5, "b")}
