@@ -45,3 +45,12 @@ def test_clauses_that_travel_and_clauses_that_are_joined_find_the_same(spark, ro
     cols = ("query_id", "section_id", "text_score", "text_rank", "title")
     found = [rows(search.full_text(corpus, asked, {"title": "A", "text": "C"}, keep=["title"], broadcast=n), *cols) for n in (100, 1)]
     assert found[0] == found[1] and {r[:2] for r in found[0]} == {(1, "a"), (1, "c"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (4, "b"), (5, "a"), (5, "b")}
+
+
+def test_section_vectors_are_summed_without_a_shuffle_by_section(spark, tmp_path):
+    docs = [(i, f"alpha beta{i}\n...\n\ngamma gamma delta {i}", "en", "src1") for i in range(20)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got, want = both(spark, tmp_path, "section_vectors", "documents")
+    assert got == want and len(got) == 40
+    df = plans.load()["section_vectors"].build(Tables(spark, str(tmp_path)))
+    assert "hashpartitioning(section_id" not in df._jdf.queryExecution().executedPlan().toString()
