@@ -297,16 +297,17 @@ def impact_output_rejection(candidates: DataFrame, terms: DataFrame) -> DataFram
 
     candidates: candidate_id, expected_item_id, item_id, expected_anchor_ids, citation_ids,
     targets array<struct<dimension,code>>; terms: the controlled terms (bounded)."""
-    exploded = candidates.select("candidate_id", F.explode("targets").alias("t")).select(
-        "candidate_id", F.col("t.dimension").alias("dimension"), F.col("t.code").alias("code"))
-    unknown = exploded.join(terms.select("dimension", "code"), ["dimension", "code"], "left_anti").select("candidate_id").distinct().withColumn("_unknown", F.lit(True))
+    # The terms are one value of a subquery, so every candidate is judged in its row and none is shuffled.
+    known = terms.where("dimension is not null and code is not null").agg(F.collect_set(F.struct("dimension", "code"))).scalar()
+    pairs = F.transform("targets", lambda t: F.struct(t["dimension"].alias("dimension"), t["code"].alias("code")))
+    unknown = F.size(F.array_except(pairs, known)) > 0
     keys = F.transform("targets", lambda t: F.concat_ws(":", t["dimension"], t["code"]))
     cited = F.array_sort(F.col("citation_ids")) == F.array_sort(F.array_distinct("expected_anchor_ids"))
     reason = (F.when(~F.col("item_id").eqNullSafe(F.col("expected_item_id")), "item_id_altered")
               .when(~cited, "citations_not_exact")
               .when(F.size(F.array_distinct(keys)) < F.size("targets"), "duplicate_target")
-              .when(F.col("_unknown"), "unknown_term"))
-    return candidates.join(unknown, "candidate_id", "left").select("candidate_id", reason.alias("reason"))
+              .when(unknown, "unknown_term"))
+    return candidates.select("candidate_id", reason.alias("reason"))
 
 
 def answer_citations(answers: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
