@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import urls
 from palimpsest.operators.history import first, top_n
-from palimpsest.operators.reliability import recent_runs
+from palimpsest.operators.reliability import of_ids, recent_runs
 
 
 def to_gates(df: DataFrame, key: str, gates: Mapping[str, Column]) -> DataFrame:
@@ -32,7 +32,7 @@ def _precision(runs: DataFrame, candidate_obs: DataFrame, domains: Sequence[str]
     """Per endpoint over its last runs: all candidate counts within bounds, all URLs qualifying."""
     allowed = F.array(*[F.lit(d) for d in domains])
     last = recent_runs(runs, required).select("endpoint_id", "run_id")
-    rows = candidate_obs.select("run_id", "canonical_url").distinct()
+    rows = of_ids(candidate_obs, last, "run_id").select("run_id", "canonical_url").distinct()
     good = F.coalesce(urls.document_url(F.col("canonical_url"), allowed, prefixes, extensions), F.lit(False))
     per_run = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_and(good).alias("_good"))
     j = last.join(per_run, "run_id", "left")
@@ -55,7 +55,7 @@ def static_admission(assessed: DataFrame, runs: DataFrame, candidate_obs: DataFr
     last = recent_runs(runs, required)
     status_ok = F.col("response_status").between(200, 299) | (F.col("response_status") == 304)
     ok = F.coalesce(status_ok & urls.host_allowed(urls.host(F.col("final_url")), allowed), F.lit(False))
-    per_run = observations.groupBy("run_id").agg(F.bool_or(ok).alias("_seen"))
+    per_run = of_ids(observations, last, "run_id").groupBy("run_id").agg(F.bool_or(ok).alias("_seen"))
     evidence = (last.join(per_run, "run_id", "left").join(setup.select("endpoint_id", F.col("config_version").alias("_want")), "endpoint_id", "left")
                 .groupBy("endpoint_id").agg(F.bool_and(F.coalesce("_seen", F.lit(False))).alias("_evidence"),
                                             F.bool_and(F.col("config_version").eqNullSafe(F.col("_want"))).alias("_config")))

@@ -1,6 +1,17 @@
 """What the registered queries read and shuffle at size, apart from their rows."""
 
+from palimpsest import plans
 from palimpsest.operators import impacts
+from palimpsest.plans.registry import Tables
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_runs_are_judged_from_tables_cut_to_the_latest_ones(spark):
+    registry = plans.load()
+    for name in ("static_admission", "admission_rollup", "source_confidence", "metric_exposition", "firing_alerts", "metric_panels"):
+        read = registry[name].build(Tables(spark, SMALL)).inputFiles()
+        assert not [f for f in read if f.endswith("lineitem.parquet")], name
 
 
 def test_generated_candidates_are_judged_in_their_rows(spark):
