@@ -1,6 +1,7 @@
 """Block similarity against the standard library's own matcher."""
 
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -40,3 +41,17 @@ def test_threshold_only_drops_lower_ratios():
 def test_word_opcodes_equal_difflib():
     a, b = "the board must keep records of data".split(), "the board shall keep all records".split()
     assert opcodes(a, b) == SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes()
+
+
+def test_long_texts_are_aligned_as_by_difflib_without_a_step_per_character():
+    rng = random.Random(8)
+    words = ["quay", "a", "ab", "aba", "rope", "of", "the"]
+    for turn in range(40):
+        a = " ".join(rng.choice(words) for _ in range(90))
+        b = a[:50] + " as amended " + a[60:150] + a[170:] if turn % 2 else " ".join(rng.choice(words) for _ in range(80))
+        want = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+        assert matching_blocks(a, b) == [tuple(x) for x in want if x.size]
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(7)) for _ in range(40_000))
+    start = time.process_time()
+    assert ratio(text, text[:100_000] + " as amended" + text[100_000:]) == 2 * len(text) / (2 * len(text) + 11)
+    assert time.process_time() - start < 4
