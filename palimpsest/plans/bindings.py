@@ -59,6 +59,12 @@ SQL_ONLY["section"] = r"""
       WHERE text <> '' WINDOW w AS (PARTITION BY version_id ORDER BY i))"""
 
 
+def placeless_section(t):
+    """``section`` without offsets, for what reads texts and hashes only: they need a Python process, which no
+    optimizer leaves out."""
+    return line_sections(t.version, offsets=False)
+
+
 @spark_binding
 def corpus_section(t):
     """Sections with the identity and titles of their version, for search. An identity's title is its

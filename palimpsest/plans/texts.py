@@ -8,6 +8,7 @@ from palimpsest.functions import keys, text
 from palimpsest.functions.scalars import any_locator, valid_vector
 from palimpsest.operators import anchors as anchor_ops
 from palimpsest.operators import quality
+from palimpsest.plans.bindings import placeless_section
 from palimpsest.plans.registry import SQL_ONLY, query
 
 SP = r"[\s\x{00a0}]+"
@@ -192,7 +193,7 @@ SQL_ONLY["quality_result"] = """
 
 
 def flat_quality(t):
-    out = quality.assess(t.version, t.section)
+    out = quality.assess(t.version, placeless_section(t))
     return out.withColumn("findings", F.array_join(F.transform("findings", lambda f: f["code"]), ","))
 
 
@@ -205,13 +206,13 @@ def document_quality(t):
 SELECT count(*) AS assessed, count(*) FILTER (WHERE outcome = 'passed') AS passed, count(*) FILTER (WHERE outcome = 'warning') AS warning,
   count(*) FILTER (WHERE outcome = 'review_required') AS review_required, sum(warning_count + review_count) AS finding_count FROM quality_result""")
 def quality_outcomes(t):
-    return quality.outcome_tally(quality.assess(t.version, t.section))
+    return quality.outcome_tally(quality.assess(t.version, placeless_section(t)))
 
 
 @query("quality_finding_counts", "A7", """
 SELECT split_part(finding, ':', 1) AS code, split_part(finding, ':', 2) AS severity, count(*) AS finding_count FROM quality_finding GROUP BY ALL""")
 def quality_finding_counts(t):
-    return quality.finding_counts(quality.assess(t.version, t.section))
+    return quality.finding_counts(quality.assess(t.version, placeless_section(t)))
 
 
 @query("duplicate_members", "A13", """

@@ -23,3 +23,10 @@ def test_generated_candidates_are_judged_in_their_rows(spark):
     out = impacts.impact_output_rejection(candidates, spark.createDataFrame([known, blank], "dimension string, code string"))
     assert [r.reason for r in out.collect()] == [None, "unknown_term", "unknown_term", None, None]
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quality_needs_no_python_process(spark):
+    registry = plans.load()
+    for name in ("quality_outcomes", "document_quality", "document_reports"):
+        plan = registry[name].build(Tables(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+        assert "EvalPython" not in plan, name
