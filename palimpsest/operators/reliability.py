@@ -203,42 +203,45 @@ def repair_plan(runs: DataFrame, candidate_obs: DataFrame, artifact_obs: DataFra
     fetches: run_id, candidate_id, status; ocr_runs: artifact_id, status, created_at, run_id;
     graph_version: version_id."""
     last = recent_runs(runs, 1).select("endpoint_id", "run_id")
-    todo = last.join(candidate_obs.select("run_id", "candidate_id").distinct(), "run_id")
-    artifact_obs = of_ids(artifact_obs, todo, "candidate_id")
-    fetches = of_ids(fetches, todo, "run_id", "candidate_id")
-    newest = latest(artifact_obs.select("candidate_id", "artifact_id", "retrieved_at", "observation_id"),
-                    ["candidate_id"], ["retrieved_at", "observation_id"]).select("candidate_id", F.col("artifact_id").alias("_newest"))
-    ended = fetches.filter(F.col("status").isin("succeeded", "not_modified")).select("run_id", "candidate_id", F.lit(True).alias("_ended")).distinct()
-    own = artifact_obs.select("candidate_id", "artifact_id").distinct()
-    every = own.unionByName(own.join(derivative.select(F.col("source_artifact_id").alias("artifact_id"), "derived_artifact_id"), "artifact_id")
-                            .select("candidate_id", F.col("derived_artifact_id").alias("artifact_id"))).distinct()
-    ex = of_ids(extraction, every, "artifact_id").groupBy("artifact_id").agg(
-        F.bool_or(F.col("status") == "succeeded").alias("_ok"), F.bool_or(F.col("status").isin("pending", "running")).alias("_active"),
-        F.max(F.when(F.col("status") == "ocr_required", F.struct("created_at", "artifact_id"))).alias("_ocr"))
-    state = every.join(ex, "artifact_id", "left").groupBy("candidate_id").agg(
-        F.bool_or(F.coalesce("_ok", F.lit(False))).alias("_ok"), F.bool_or(F.coalesce("_active", F.lit(False))).alias("_active"))
-    needs_ocr = (own.join(ex.filter("_ocr is not null").select("artifact_id", "_ocr"), "artifact_id").groupBy("candidate_id")
-                 .agg(F.max("_ocr").alias("_o")).select("candidate_id", F.col("_o.artifact_id").alias("_ocr_artifact")))
-    ocr = ocr_runs.groupBy("artifact_id").agg(F.max_by("status", F.struct("created_at", "run_id")).alias("_ocr_status"))
-    derived = derivative.groupBy("source_artifact_id").agg(F.max("derived_artifact_id").alias("_derived"))
-    j = (todo.join(newest, "candidate_id", "left").join(ended, ["run_id", "candidate_id"], "left")
-         .join(state, "candidate_id", "left").join(needs_ocr, "candidate_id", "left")
-         .join(ocr.withColumnRenamed("artifact_id", "_ocr_artifact"), "_ocr_artifact", "left")
-         .join(derived.withColumnRenamed("source_artifact_id", "_ocr_artifact"), "_ocr_artifact", "left"))
-    settled = F.coalesce(F.col("_ok") | F.col("_active"), F.lit(False))
+    todo = stage(last.join(candidate_obs.select("run_id", "candidate_id").distinct(), "run_id"), "repair-todo")
+    # Without nulls both uses of it are one plan, so it is made once.
+    own = of_ids(artifact_obs.filter("artifact_id is not null"), todo, "candidate_id").select("candidate_id", "artifact_id").distinct()
+    every = stage(own.unionByName(own.join(derivative.select(F.col("source_artifact_id").alias("artifact_id"), "derived_artifact_id"), "artifact_id")
+                                  .select("candidate_id", F.col("derived_artifact_id").alias("artifact_id"))), "repair-artifacts")
+    # A candidate with a succeeded or active extraction needs neither fetch, OCR nor extraction. Mostly few are left,
+    # and only their histories are ordered.
+    settled = every.join(extraction.filter(F.col("status").isin("succeeded", "pending", "running")), "artifact_id", "left_semi")
+    open_ = stage(todo.join(settled.select("candidate_id").distinct(), "candidate_id", "left_anti"), "repair-open")
+    seen = stage(of_ids(artifact_obs, open_, "candidate_id").select("candidate_id", "artifact_id", "retrieved_at", "observation_id"), "repair-seen")
+    newest = latest(seen, ["candidate_id"], ["retrieved_at", "observation_id"]).select("candidate_id", F.col("artifact_id").alias("_newest"))
+    ended = (of_ids(fetches.filter(F.col("status").isin("succeeded", "not_modified")), open_, "run_id", "candidate_id")
+             .select("run_id", "candidate_id", F.lit(True).alias("_ended")).distinct())
+    asked = extraction.filter("status = 'ocr_required'").select("artifact_id", "created_at")
+    needs_ocr = stage(seen.select("candidate_id", "artifact_id").distinct().join(asked, "artifact_id").groupBy("candidate_id")
+                      .agg(F.max_by("artifact_id", F.struct("created_at", "artifact_id")).alias("_ocr_artifact")), "repair-ocr")
+    picked = needs_ocr.select(F.col("_ocr_artifact").alias("artifact_id"))
+    ocr = (of_ids(ocr_runs, picked, "artifact_id").groupBy(F.col("artifact_id").alias("_ocr_artifact"))
+           .agg(F.max_by("status", F.struct("created_at", "run_id")).alias("_ocr_status")))
+    derived = (of_ids(derivative, picked.withColumnRenamed("artifact_id", "source_artifact_id"), "source_artifact_id")
+               .groupBy(F.col("source_artifact_id").alias("_ocr_artifact")).agg(F.max("derived_artifact_id").alias("_derived")))
+    j = (open_.join(newest, "candidate_id", "left").join(ended, ["run_id", "candidate_id"], "left").join(needs_ocr, "candidate_id", "left")
+         .join(ocr, "_ocr_artifact", "left").join(derived, "_ocr_artifact", "left"))
     no_artifact = F.col("_newest").isNull()
     kind = (F.when(no_artifact & F.coalesce("_ended", F.lit(False)), "manual_review").when(no_artifact, "fetch_candidate")
-            .when(settled, None).when(F.col("_ocr_artifact").isNull(), "extract_artifact")
+            .when(F.col("_ocr_artifact").isNull(), "extract_artifact")
             .when(F.col("_ocr_status") == "running", None).when(F.col("_ocr_status") == "permanent_failure", "manual_review")
             .when(F.col("_ocr_status") == "succeeded", "extract_artifact").otherwise("ocr_artifact"))
     target = (F.when(no_artifact, F.col("candidate_id").cast("string")).when(F.col("_ocr_artifact").isNull(), F.col("_newest"))
               .when(F.col("_ocr_status") == "succeeded", F.coalesce("_derived", "_ocr_artifact")).otherwise(F.col("_ocr_artifact")))
-    first = j.select("endpoint_id", kind.alias("kind"), target.alias("object_id")).filter("kind is not null")
-    versions = (todo.select("endpoint_id", "candidate_id").join(every, "candidate_id")
-                .join(version_evidence.select("artifact_id", "version_id"), "artifact_id").select("endpoint_id", "version_id").distinct())
-    sections = of_ids(version_section, versions, "version_id").groupBy("version_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("local_ready").alias("_l"),
-                                                         F.count_if("configured_ready").alias("_c"))
-    v = versions.join(sections, "version_id", "left").join(graph_version.select("version_id", F.lit(True).alias("_g")).distinct(), "version_id", "left")
-    lacking = F.col("_g").isNull() | (F.coalesce("_n", F.lit(0)) == 0) | (F.col("_l") != F.col("_n")) | (F.col("_c") != F.col("_n"))
-    second = v.filter(lacking).select("endpoint_id", F.lit("project_knowledge").alias("kind"), F.col("version_id").cast("string").alias("object_id"))
-    return first.unionByName(second).distinct()
+    first = j.select("endpoint_id", kind.alias("kind"), target.alias("object_id")).filter("kind is not null").distinct()
+    # Versions are judged once each, before they are dealt out to the endpoints whose candidates they stem from.
+    sections = version_section.select("version_id", F.lit(True).alias("_section"), F.lit(False).alias("_graph"),
+                                      F.coalesce(F.col("local_ready") & F.col("configured_ready"), F.lit(False)).alias("_ready"))
+    graph = graph_version.select("version_id", F.lit(False).alias("_section"), F.lit(True).alias("_graph"), F.lit(True).alias("_ready"))
+    complete = (sections.unionByName(graph).groupBy("version_id").agg(*[F.bool_or(c).alias(c) for c in ("_section", "_graph")], F.bool_and("_ready").alias("_ready"))
+                .filter("_section and _graph and _ready").select("version_id"))
+    lacking = (every.join(version_evidence.select("artifact_id", "version_id"), "artifact_id").select("candidate_id", "version_id")
+               .join(complete, "version_id", "left_anti"))
+    second = (lacking.select("candidate_id", "version_id").join(todo.select("endpoint_id", "candidate_id"), "candidate_id")
+              .select("endpoint_id", F.lit("project_knowledge").alias("kind"), F.col("version_id").cast("string").alias("object_id")).distinct())
+    return first.unionByName(second)

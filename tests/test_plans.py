@@ -1,5 +1,7 @@
 """Registered queries next to their SQL twins on small tables made for one rule."""
 
+import random
+from datetime import datetime, timedelta
 from pathlib import Path
 
 import duckdb
@@ -67,3 +69,19 @@ def test_metric_values_are_rounded_as_in_sql(spark):
     assert got == set(want.fetchall()) and ("a=41,b=640", 0.064062) in got
     ends = spark.sql("select 'm' as name, map('a', 'b') as labels, explode(array(double('inf'), null)) as value")
     assert {r.value for r in flat(ends).collect()} == {float("inf"), None}
+
+
+def test_repairs_of_every_kind_keep_to_the_sql(spark, tmp_path):
+    rng = random.Random(7)
+    at = lambda: datetime(1996, 1, 1) + timedelta(days=rng.randrange(900))
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save("part", [(i, "Brand#1", "SMALL", i % 50) for i in range(600)], "p_partkey bigint, p_brand string, p_type string, p_size int")
+    save("orders", [(i, i % 40, rng.choice("FFOP"), 100.0 + i, at(), "3-MEDIUM") for i in range(200)],
+         "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string")
+    lines = [(rng.randrange(200), rng.randrange(rng.choice((60, 600))), rng.randrange(3), n, float(rng.randrange(1, 30)), rng.randrange(11) / 100, rng.randrange(9) / 100,
+              rng.choice("NAR"), rng.choice("FOOOO"), at()) for n in range(900)]
+    save("lineitem", lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_discount double, l_tax double, "
+         "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz")
+    got, want = both(spark, tmp_path, "repair_plan", "part", "orders", "lineitem")
+    assert got == want
+    assert {r[1] for r in got} == {"fetch_candidate", "manual_review", "extract_artifact", "ocr_artifact", "project_knowledge"}

@@ -30,3 +30,9 @@ def test_quality_needs_no_python_process(spark):
     for name in ("quality_outcomes", "document_quality", "document_reports"):
         plan = registry[name].build(Tables(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
         assert "EvalPython" not in plan, name
+
+
+def test_repair_reads_the_lines_once_for_each_kind_of_log(spark):
+    plan = plans.load()["repair_plan"].build(Tables(spark, SMALL))._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Relation [") <= 20
+    assert plan.executedPlan().toString().count("Exchange") <= 30
