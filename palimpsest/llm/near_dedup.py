@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -212,6 +213,24 @@ def classes(nodes: DataFrame, texts, every: DataFrame, counts: np.ndarray, least
     return _classes([*links, _alike(rest.select(*pair(F.col("l_node"), F.col("r_node"))).distinct(), sets, least)])
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the table is nothing but what was read from Parquet files, whose rows have a place."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return docs._jdf.queryExecution().analyzed().children().isEmpty()
+
+
+def _in_files(docs: DataFrame) -> DataFrame:
+    """The rows of a table of files with ``__row``, made of the number of the file and the place in it: the same
+    number at every reading, so that no copy has to hold it."""
+    names = docs.select(F.col("_metadata.file_path").alias("__file")).distinct()
+    numbers = stage(names.select("__file", F.row_number().over(Window.orderBy("__file")).cast("long").alias("__number")), "near-files")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    return placed.join(F.broadcast(numbers), "__file").withColumn("__row", F.col("__number") * F.lit(1 << 40) + F.col("__place")).drop("__file", "__number", "__place")
+
+
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, words: int = WORDS, bits: int = simhash.BITS) -> DataFrame:
     """One row of each class of near duplicates, with all columns: texts reachable through pairs whose sets of
     ``words``-word shingles have similarity ``least`` or more; ``bits`` is the distance up to which SimHash
@@ -219,9 +238,10 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     class.
 
     The row that stays is the first by ``key`` (null last), then by a hash of the text: keys need be neither
-    unique nor present. Of rows equal in all columns one stays."""
+    unique nor present. Of rows equal in all columns one stays. Of a table
+    that is nothing but Parquet files (as ``stage`` gives it) no copy is written."""
     with scratch(docs.sparkSession):
-        source = stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-source")
+        source = _in_files(docs) if _is_scan(docs) else stage(docs.withColumn("__row", F.monotonically_increasing_id()), "near-source")
         rank = F.struct(F.col(f"`{key}`").isNull().alias("no_key"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("uid"), F.col("__row").alias("row"))
         sketched = stage(_sketched(source.select(rank.alias("rank"), as_bytes(f"`{text}`").alias("text")), words), "near-sketches")
         counts = counters(sketched.where("chunk is not null").select("part", "chunk", "counts"))
