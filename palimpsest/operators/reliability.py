@@ -94,8 +94,8 @@ def coverage(latest_runs: DataFrame, candidate_obs: DataFrame, artifact_obs: Dat
     last = latest_runs.select("endpoint_id", "run_id")
     found = last.join(candidate_obs.select("run_id", "candidate_id").distinct(), "run_id")
     totals = found.groupBy("endpoint_id").agg(F.count(F.lit(1)).alias("candidate_count"))
-    # Read by three steps, so its union and distinct are done once.
-    arts = stage(expanded_artifacts(of_ids(artifact_obs, found, "run_id", "candidate_id"), derivative).join(found, ["run_id", "candidate_id"]), "covered-artifacts")
+    # Artifacts count whether or not their candidate was listed. Read by three steps, so the union and distinct are done once.
+    arts = stage(expanded_artifacts(of_ids(artifact_obs, last, "run_id"), derivative).join(last, "run_id"), "covered-artifacts")
     done = extraction.filter("status = 'succeeded'").select("artifact_id", F.lit(True).alias("_x")).distinct()
     graph = graph_artifact.select("artifact_id", F.lit(True).alias("_g")).distinct()
     flagged = arts.join(done, "artifact_id", "left").join(graph, "artifact_id", "left")

@@ -85,3 +85,21 @@ def test_repairs_of_every_kind_keep_to_the_sql(spark, tmp_path):
     got, want = both(spark, tmp_path, "repair_plan", "part", "orders", "lineitem")
     assert got == want
     assert {r[1] for r in got} == {"fetch_candidate", "manual_review", "extract_artifact", "ocr_artifact", "project_knowledge"}
+
+
+def test_coverage_counts_artifacts_of_candidates_that_are_not_listed(spark, tmp_path):
+    at = datetime(2001, 7, 30)
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save([(i, f"c{i}", i, 100.0 * i, "BUILDING") for i in range(3)], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", "customer")
+    save([(i, i % 3, "F", 1000.0 + i, at + timedelta(hours=i), "2-HIGH") for i in range(9)],
+         "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string", "orders")
+    save([(1, "p1", "Brand#1", "SMALL", 5, 10.0)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double", "part")
+    save([(i, p, 1, p, 20.0, 10.0, 0.08, 0.02 * p, "A", "F", at) for i in range(9) for p in (1, 2)],  # part 2 is missing
+         "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+         "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz", "lineitem")
+    save([(i, at + timedelta(minutes=i), i % 3, "error", 20.0, "{}") for i in range(9)],
+         "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string", "events")
+    for name in ("stage_coverage", "source_metrics"):
+        got, want = both(spark, tmp_path, name, "customer", "orders", "part", "lineitem", "events")
+        assert got == want and got
+    assert {r.artifact_ready for r in plans.load()["stage_coverage"].build(Tables(spark, str(tmp_path))).collect()} == {2}
