@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Batches
 from palimpsest.session import stage
 
 K = 5
 BLOCK, QUERIES = 8192, 512  # vectors of an index block, queries of a query block
+SPAN, PARTS = 32, 128  # most index blocks and query blocks (of 64 dimensions) that meet in one cell of the grid
+CELLS = 32  # least cells, where there are as many pairs of blocks
 FEW = 32  # stop once at most one vector in so many is a possible member
 
 
@@ -59,8 +60,10 @@ def _index(dims: int):
 
 def _pack(dims: int):
     def build(group: pa.Table) -> pa.Table:
+        """One query block, its components in as few bytes as the widest needs."""
         q = matrix(group.column("x").to_pylist(), dims)
-        return pa.table({"part": group.column("part")[:1], "q_ids": pa.array([np.array(group.column("key").to_pylist(), np.int64).tobytes()]), "q": pa.array([q.tobytes()])})
+        kind = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= q.min(initial=0) and q.max(initial=0) <= np.iinfo(t).max)
+        return pa.table({"part": group.column("part")[:1], "q_ids": pa.array([np.array(group.column("key").to_pylist(), np.int64).tobytes()]), "q": pa.array([q.astype(kind).tobytes()])})
 
     return build
 
@@ -111,15 +114,32 @@ def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, signs: np.ndarray, s
     return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def leading(found: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k best of each query in ``(query, id, score)`` arrays, ties to smaller ids."""
+    order = np.lexsort((found[1], -found[2], found[0]))
+    query, ids, score = (c[order] for c in found)
+    new = np.concatenate((np.ones(len(query[:1]), bool), query[1:] != query[:-1]))
+    first = np.nonzero(new)[0]
+    near = np.arange(len(query)) - first[np.cumsum(new) - 1] < k
+    return [query[near], ids[near], score[near]]
+
+
 def _search(dims: int, k: int):
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                bits = lambda b: np.unpackbits(np.frombuffer(b, np.uint8), count=len(ids) * dims).reshape(len(ids), dims)
-                q = np.frombuffer(row["q"], np.int64).reshape(len(q_ids), dims)
-                found = best(q_ids, q, ids, bits(row["signs"]), [bits(s) for s in row["segments"]], k)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
+    def run(asked: pa.Table, index: pa.Table) -> pa.Table:
+        """One cell of the grid: each of its query blocks against each of its index blocks, k rows a query."""
+        held: list[list[np.ndarray] | None] = [None] * len(asked)
+        for i in range(len(index)):
+            row = index.slice(i, 1).to_pylist()[0]
+            ids = np.frombuffer(row["ids"], np.int64)
+            bits = lambda b: np.unpackbits(np.frombuffer(b, np.uint8), count=len(ids) * dims).reshape(len(ids), dims)  # noqa: B023
+            signs, segments = bits(row["signs"]), [bits(s) for s in row["segments"]]
+            for j in range(len(asked)):
+                q_ids, packed = (np.frombuffer(asked.column(c)[j].as_py(), np.int64 if c == "q_ids" else np.uint8) for c in ("q_ids", "q"))
+                q = packed.view(f"i{len(packed) // (len(q_ids) * dims)}").reshape(len(q_ids), dims).astype(np.int64)
+                found = best(q_ids, q, ids, signs, segments, k)
+                held[j] = found if held[j] is None else leading([np.concatenate(c) for c in zip(held[j], found)], k)
+        found = [np.concatenate(c) for c in zip(*[h for h in held if h is not None])] or [np.zeros(0, np.int64)] * 3
+        return pa.table([pa.array(c, pa.int64()) for c in found], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -131,8 +151,9 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
     together.
 
     Vectors that are null or hold null or non-finite components take no part; missing components count as
-    zero; repeated rows count once. Scores wrap beyond 64 bits. Query blocks meet index blocks in a grid,
-    each cell a task; a cell gives k rows per query, of which a window keeps the best."""
+    zero; repeated rows count once. Scores wrap beyond 64 bits. Query blocks meet index blocks in a grid whose
+    cells hold a bounded number of either; both are copied to their cells by a shuffle, queries in few bytes and
+    nothing by the driver. A cell gives k rows per query, of which a window keeps the best."""
     rows = stage(vectors(table, key, embedding), "top-vectors")
     asked = stage(vectors(queries, key, embedding).distinct(), "top-queries")
     n, dims = rows.agg(F.count("*"), F.max(F.size("x"))).first()
@@ -142,9 +163,14 @@ def search(table: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id"
         _index(dims), "block int, ids binary, signs binary, segments array<binary>")
     packed = asked.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(
         _pack(dims), "part int, q_ids binary, q binary")
-    grid = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(index, "block")
-    cells = grid.repartition(blocks * parts, "block", "part") if blocks * parts > 1 else grid
-    found = cells.select("ids", "signs", "segments", "q_ids", "q").mapInArrow(_search(dims, k), "query_id long, vec_id long, score long")
+    room = lambda most: max(1, most * 64 // max(dims, 64))
+    down = max(-(-blocks // room(SPAN)), min(blocks, CELLS))
+    across = max(-(-parts // room(PARTS)), min(parts, -(-CELLS // down)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed.withColumn("row", every(down)).withColumn("cell", F.col("row") * across + F.pmod("part", F.lit(across)))
+    right = index.withColumn("column", every(across)).withColumn("cell", F.pmod("block", F.lit(down)) * across + F.col("column"))
+    left, right = (side.repartition(down * across, "cell") for side in (left, right))
+    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(_search(dims, k), "query_id long, vec_id long, score long")
     return found.selectExpr("query_id", "row_number() over (partition by query_id order by score desc, vec_id) as rank", "vec_id", "score").where(F.col("rank") <= k)
 
 

@@ -205,3 +205,17 @@ def test_top_k_of_a_key_on_several_vectors(spark):
     got = [(r.vec_id, r.score) for r in topk.search(table, table.where("vec_id = 50")).orderBy("rank").collect()]
     pairs = sorted((-(int(256 * a) * 128 + 256 * int(256 * v[1])), key) for a in range(7) for key, v in rows if key != 50)
     assert got == [(key, -s) for s, key in pairs[:5]]
+
+
+def test_top_k_sends_no_grid_to_the_driver(spark, monkeypatch):
+    for name, value in (("BLOCK", 32), ("QUERIES", 4), ("SPAN", 3), ("PARTS", 2), ("CELLS", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    x = rng.integers(-400, 401, (500, 6))
+    x[rng.random(500) < 0.2] = x[0]
+    table = frame(spark, [(i, [float(c) / 256 for c in v]) for i, v in enumerate(x.tolist())])
+    found = topk.search(table, table.where("vec_id % 20 = 0"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+    best = {q: sorted((-int(x[q] @ v), i) for i, v in enumerate(x) if i != q)[:5] for q in range(0, 500, 20)}
+    assert got == [(q, n, i, -s) for q in best for n, (s, i) in enumerate(best[q], 1)]
