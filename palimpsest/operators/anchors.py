@@ -49,13 +49,14 @@ def _split_pattern() -> str:
     return rf"(?im)(?=^[^\S\r\n]*(?:{any_line})$)"
 
 
-def anchor_spans(sections: DataFrame) -> DataFrame:
+def anchor_spans(sections: DataFrame, offsets: bool = True) -> DataFrame:
     """Split each section at its anchor lines.
 
     Input: section_id, version_id, ordinal, text, optional heading, page_number, char_start.
     The split, the running offsets and the fallback are computed inside the row; no shuffle, linear in its pieces.
     Output per span: section_id, version_id, section_ordinal, span, anchor_type, base_key, label,
-    text, relative_start, relative_end, char_start, char_end.
+    text, relative_start, relative_end, char_start, char_end; the last four, which need a Python process, only with
+    ``offsets``.
     """
     have = set(sections.columns)
     heading = F.col("heading") if "heading" in have else F.lit("")
@@ -70,7 +71,7 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
     any_line = "|".join(f"(?:{p})" for _, p in ANCHOR_LINES)
     is_anchor = lambda text: first_line(text).rlike(rf"(?i)^(?:{any_line})$")
     # A first piece without an anchor line is the preamble and starts at 0.
-    start = lambda p, text, i: F.when(is_anchor(text), F.get("_starts", i) + lead(p))
+    start = lambda p, text, i: F.when(is_anchor(text), F.get("_starts", i) + lead(p) if offsets else i.cast("bigint"))
     pieces = F.transform("_pieces", lambda p, i: let(strip(p), lambda text: F.struct(
         i.alias("i"), text.alias("text"), start(p, text, i).alias("start"))))
     end = lambda spans, s: F.coalesce(F.get(spans, s["i"] + 1)["start"], F.length("_text").cast("bigint"))
@@ -82,7 +83,8 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
         lambda r: r["is_anchor"] | (r["text"] != "") | (r["_n"] == 1))
     spans = let(pieces, rows)
     sections = sections.withColumn("_pieces", F.split(F.col("_text"), _split_pattern()))
-    sections = sections.withColumn("_starts", running_starts(F.transform("_pieces", lambda p: F.length(p).cast("bigint"))))
+    if offsets:
+        sections = sections.withColumn("_starts", running_starts(F.transform("_pieces", lambda p: F.length(p).cast("bigint"))))
     out = sections.select("section_id", "version_id", "section_ordinal", "_text", "_heading", "_page",
                           "_base", F.inline(spans))
     label_line = first_line(F.col("text"))
@@ -104,9 +106,9 @@ def anchor_spans(sections: DataFrame) -> DataFrame:
         "section_id", "version_id", "section_ordinal", "span", kind.alias("anchor_type"),
         F.concat_ws(":", kind, reference).alias("base_key"), label.alias("label"),
         F.when(fallback, F.col("_text")).otherwise(F.col("text")).alias("text"),
-        "relative_start", "relative_end",
-        (F.col("_base") + F.col("relative_start")).alias("char_start"),
-        (F.col("_base") + F.col("relative_end")).alias("char_end"))
+        *(("relative_start", "relative_end",
+           (F.col("_base") + F.col("relative_start")).alias("char_start"),
+           (F.col("_base") + F.col("relative_end")).alias("char_end")) if offsets else ()))
 
 
 def number_anchors(spans: DataFrame) -> DataFrame:
@@ -128,5 +130,5 @@ def number_anchors(spans: DataFrame) -> DataFrame:
             .drop("_total", "_nth"))
 
 
-def version_anchors(sections: DataFrame) -> DataFrame:
-    return number_anchors(anchor_spans(sections))
+def version_anchors(sections: DataFrame, offsets: bool = True) -> DataFrame:
+    return number_anchors(anchor_spans(sections, offsets))

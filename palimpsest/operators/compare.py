@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.similarity import ratio, ratio_udf, stable_keys_udf, word_delta_udf
 from palimpsest.functions.text import normalize_inline
 from palimpsest.operators.history import History, first
-from palimpsest.session import spread
+from palimpsest.session import spread, stage
 
 SIMILARITY_THRESHOLD = 0.72
 AMBIGUITY_MARGIN = 0.03
@@ -130,11 +130,6 @@ def classify_key_pairs(pairs: DataFrame, stable: DataFrame) -> DataFrame:
     return slim.withColumn("similarity_score", F.coalesce(ratio_udf("_b", "_a"), F.lit(1.0))).drop("_b", "_a")
 
 
-def _unmatched(anchors: DataFrame, matched: DataFrame, side: str) -> DataFrame:
-    return anchors.join(matched.select("comparison_id", F.col(f"{side}_anchor_id").alias("anchor_id")),
-                        ["comparison_id", "anchor_id"], "left_anti")
-
-
 def align_by_hash(before: DataFrame, after: DataFrame) -> DataFrame:
     """Same text under different keys, when the text occurs once on each side: moved."""
     once = lambda df, p: (
@@ -248,20 +243,44 @@ def one_sided(before: DataFrame, after: DataFrame, aligned: DataFrame) -> DataFr
         shape(new, False, True, "added", "unmatched_after"))
 
 
+def marked(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The anchors of both sides with ``how`` they are matched: ``key`` where their key is on both sides, ``hash``
+    where the keys leave their text over once on each side, else ``rest``.
+
+    Texts that nothing compares (the same under a key, matched by hash) are left out; where all of a key are the same,
+    so are their hashes. Three windows over the anchors of a comparison: inputs that are already dealt out by
+    comparison_id are not moved."""
+    keep = ("comparison_id", "canonical_key", "anchor_id", "ordinal", "anchor_type", "text", "text_sha256")
+    side = lambda df, is_before: df.select(*keep, F.lit(is_before).alias("is_before"))
+    both = side(before, True).unionByName(side(after, False))
+    group = W.partitionBy("comparison_id", "canonical_key")
+    seen = lambda test: F.bool_or(test).over(group)
+    known = F.col("comparison_id").isNotNull()
+    digest = F.col("text_sha256")
+    both = both.select("*", (known & F.col("canonical_key").isNotNull() & seen("is_before") & seen(~F.col("is_before"))).alias("_key"),
+                       (F.min(digest).over(group).eqNullSafe(F.max(digest).over(group))
+                        & (F.count(digest).over(group) == F.count(F.lit(1)).over(group))).alias("_same"))
+    left = W.partitionBy("comparison_id", "_key", "text_sha256")
+    once = lambda test: F.count_if(test).over(left) == 1
+    both = both.withColumn("how", F.when(F.col("_key"), "key").when(
+        known & digest.isNotNull() & once("is_before") & once(~F.col("is_before")), "hash").otherwise("rest"))
+    same = (F.col("how") == "key") & F.col("_same")
+    return both.select("comparison_id", "canonical_key", "anchor_id", "ordinal", "anchor_type", "is_before", "how",
+                       F.when(~same & (F.col("how") != "hash"), F.col("text")).alias("text"),
+                       F.when(same, "").when(F.col("how") != "rest", digest).alias("text_sha256"))
+
+
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     """All alignment rows of every comparison: by key, by exact text, by similarity, then the
     one-sided rest.
 
-    Both inputs are read several times, so they should be tables (or staged ones), not long
-    pipelines."""
-    pairs = align_by_key(before, after)
-    keyed = classify_key_pairs(pairs, stable_keys(before, after))
-    by_key = pairs.select("comparison_id", "before_anchor_id", "after_anchor_id")
-    b1, a1 = _unmatched(before, by_key, "before"), _unmatched(after, by_key, "after")
-    hashed = align_by_hash(b1, a1)
-    b2, a2 = _unmatched(b1, hashed, "before"), _unmatched(a1, hashed, "after")
-    rest = align_by_similarity(b2, a2, with_rest=True)
-    return _as_item(keyed).unionByName(_as_item(hashed)).unionByName(rest)
+    Both inputs are read once; what they hold beyond unchanged texts is staged."""
+    anchors = stage(marked(before, after), "marked-anchors")
+    side = lambda is_before, *how: anchors.where(F.col("how").isin(*how) & (F.col("is_before") == is_before))
+    sides = lambda *how: (side(True, *how), side(False, *how))
+    keyed = classify_key_pairs(align_by_key(*sides("key")), stable_keys(*sides("key", "hash", "rest")))
+    rest = align_by_similarity(*sides("rest"), with_rest=True)
+    return _as_item(keyed).unionByName(_as_item(align_by_hash(*sides("hash")))).unionByName(rest)
 
 
 def with_text_delta(items: DataFrame, before: DataFrame, after: DataFrame, maximum: int = 200) -> DataFrame:
